@@ -464,10 +464,10 @@ def q_top_hashtags(spark, sf):
 
 
 @query("hashtag_substring_counts", with_fixtures(
-    f"WITH tags AS (SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), {O.q(O.HASHTAG)}, 1)) AS tag "
-    f"FROM posts) t GROUP BY tag) "
-    f"SELECT t.tag, CAST(sum(u.n * (length(u.tag) - length(replace(u.tag, t.tag, ''))) / length(t.tag)) AS BIGINT) AS n "
-    f"FROM tags t JOIN tags u ON contains(u.tag, t.tag) GROUP BY t.tag", "posts"))
+    "SELECT t.tag, CAST(sum(u.n * (length(u.tag) - length(replace(u.tag, t.tag, ''))) / length(t.tag)) AS BIGINT) AS n "
+    "FROM tags t JOIN tags u ON contains(u.tag, t.tag) GROUP BY t.tag", "posts",
+    extra=[("tags", f"SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), {O.q(O.HASHTAG)}, 1)) "
+                    f"AS tag FROM posts) t GROUP BY tag")]))
 def q_hashtag_substring_counts(spark, sf):
     return TP.hashtag_counts(_posts(spark, sf), match="substring")
 
