@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions import text as T
 from murmuration.operators.ordering import next_in_order
+from murmuration.session import cut_lineage
 from murmuration.sources.fixtures import STOP_WORDS
 
 
@@ -46,20 +47,17 @@ def top_hashtags(counts: DataFrame, k: int = 10) -> DataFrame:
 
 # ---------------------------------------------------------------- words and bigrams
 
-def _stop_array(stop_words: list[str] | tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(w) for w in stop_words])
-
-
 def kept_tokens(corpus: DataFrame, text_col: str = "text",
                 stop_words: list[str] | tuple[str, ...] = tuple(STOP_WORDS)) -> DataFrame:
     """P7 + P8 + J12: cleaned tokens of each post minus stop words, as an array.
 
-    The stop list is a fixed value list, so it is a literal array inside the
-    projection: no join and no shuffle.
+    The stop list is a fixed value list, so the test is an ``IN`` over
+    literals inside the projection, which the optimizer turns into a hash-set
+    lookup (``InSet``): no join and no shuffle.
     """
-    stops = _stop_array(stop_words)
     toks = T.tokenise(T.clean_for_topics(F.col(text_col)))
-    return corpus.withColumn("kept", F.filter(toks, lambda t: ~F.array_contains(stops, t)))
+    words = list(stop_words)
+    return corpus.withColumn("kept", F.filter(toks, lambda t: ~t.isin(*words)))
 
 
 def topic_items(corpus: DataFrame, order: list[tuple[str, bool]], text_col: str = "text",
@@ -73,9 +71,14 @@ def topic_items(corpus: DataFrame, order: list[tuple[str, bool]], text_col: str
     """
     keys = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
     k = kept_tokens(corpus, text_col, stop_words)
-    words = k.select(F.explode("kept").alias("item"), F.lit("word").alias("kind"))
-    inner = k.select(F.explode(T.within_post_bigrams(F.col("kept"))).alias("item"), F.lit("bigram").alias("kind"))
-    items = words.unionByName(inner)
+    if cross_posts:
+        # freeze the cleaned tokens once: both the items and the post ends read them
+        k = cut_lineage(k.select(*[c for c, _ in order], "kept"))
+    # one generator emits the words and the in-post bigrams of a post
+    tagged = F.concat(F.transform("kept", lambda w: F.struct(w.alias("item"), F.lit("word").alias("kind"))),
+                      F.transform(T.within_post_bigrams(F.col("kept")),
+                                  lambda b: F.struct(b.alias("item"), F.lit("bigram").alias("kind"))))
+    items = k.select(F.explode(tagged).alias("it")).select("it.item", "it.kind")
     if cross_posts:
         ends = (k.filter(F.size("kept") > 0)
                  .select(*[c for c, _ in order], F.get("kept", 0).alias("first"),
@@ -92,11 +95,14 @@ def token_frequency(items: DataFrame) -> DataFrame:
 
     Each list item is its own document, so the document frequency of a
     feature is its occurrence count; items are split with the vectoriser's
-    token pattern exactly as the reference's vectoriser does.
+    token pattern exactly as the reference's vectoriser does. Items are
+    counted first (partial aggregation before the shuffle), so the pattern
+    runs once per distinct item, not once per occurrence.
     """
-    feats = items.select(F.explode(F.array_distinct(
-        F.regexp_extract_all(F.col("item"), F.lit(T.FEATURE_TOKEN_RE), 0))).alias("feature"))
-    return feats.groupBy("feature").agg(F.count(F.lit(1)).alias("df"))
+    per_item = items.groupBy("item").agg(F.count(F.lit(1)).alias("_k"))
+    feats = per_item.select(F.explode(F.array_distinct(
+        F.regexp_extract_all(F.col("item"), F.lit(T.FEATURE_TOKEN_RE), 0))).alias("feature"), "_k")
+    return feats.groupBy("feature").agg(F.sum("_k").alias("df"))
 
 
 def frequent_features(items: DataFrame, min_df: int = 10, max_df: float = 0.9) -> DataFrame:
