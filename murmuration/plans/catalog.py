@@ -1064,3 +1064,19 @@ def q_checkpoint_progress(spark, sf):
     for b in range(2):   # two "batches" of the interrupted run
         SK.checkpoint_progress(outcomes.filter(F.pmod(F.xxhash64("account_id"), F.lit(2)) == b), path)
     return spark.read.parquet(path).select("account_id", "status")
+
+
+@query("dictionary_stream", with_fixtures(
+    "SELECT CAST(a.account_id AS VARCHAR) AS account_id, a.screen_name FROM (SELECT DISTINCT account_id FROM friend_ids) f "
+    "JOIN accounts a ON f.account_id = a.account_id WHERE a.verified", "friend_ids", "accounts"))
+def q_dictionary_stream(spark, sf):
+    """Streaming upkeep: the id listing arrives as two files (older orders first)."""
+    from murmuration.streaming.dictionary_stream import dictionary_from_outcomes, start_dictionary_stream
+    ids_dir, out, ckpt = _scratch(spark, "ids"), _scratch(spark, "stream-out"), _scratch(spark, "stream-ckpt")
+    prev = fx.previous_friend_ids(spark, sf)
+    prev.write.mode("overwrite").parquet(f"{ids_dir}/part=0")
+    fx.friend_ids(spark, sf).join(prev.distinct(), "account_id", "left_anti").write.mode("overwrite").parquet(f"{ids_dir}/part=1")
+    from murmuration.sources.tables import read_table  # noqa: F401
+    q = start_dictionary_stream(spark, f"{ids_dir}/*", fx.accounts(spark, sf), out, ckpt)
+    q.awaitTermination()
+    return dictionary_from_outcomes(spark, out)
