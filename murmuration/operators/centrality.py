@@ -57,17 +57,22 @@ def _adjacency(graph: DataFrame) -> DataFrame:
 def _bfs(adj: DataFrame, sources: DataFrame) -> list[DataFrame]:
     """Levels (src, node, sigma) of a multi-source BFS; level d = distance d.
 
-    sigma is the number of shortest paths (double: it can exceed 2^63).
+    sigma is the number of shortest paths (double: it can exceed 2^63). The
+    test "not reached before" is folded into the aggregation: candidate rows
+    and already-seen rows meet in one group-by on (src, node), so each level
+    costs one exchange and no sort.
     """
     step_edges = adj.select(F.col("sender").alias("node"), F.col("receiver").alias("next"))
     level = cut_lineage(sources.select(F.col("node").alias("src"), "node", F.lit(1.0).alias("sigma")))
     levels = [level]
     seen = level.select("src", "node")
     while True:
-        reached = (level.join(step_edges, "node")
-                        .groupBy("src", F.col("next").alias("node"))
-                        .agg(F.sum("sigma").alias("sigma")))
-        level = cut_lineage(reached.join(seen, ["src", "node"], "left_anti"))
+        cand = level.join(step_edges, "node").select("src", F.col("next").alias("node"), "sigma",
+                                                      F.lit(0).alias("old"))
+        old = seen.select("src", "node", F.lit(0.0).alias("sigma"), F.lit(1).alias("old"))
+        merged = (cand.unionByName(old).groupBy("src", "node")
+                      .agg(F.sum("sigma").alias("sigma"), F.max("old").alias("old")))
+        level = cut_lineage(merged.filter(F.col("old") == 0).drop("old"))
         if level.isEmpty():
             return levels
         levels.append(level)
@@ -76,7 +81,11 @@ def _bfs(adj: DataFrame, sources: DataFrame) -> list[DataFrame]:
 
 def _backward(adj: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """Brandes dependencies: delta(s,v) = sigma(s,v) * sum over successors w one
-    level deeper of (1 + delta(s,w)) / sigma(s,w). Returns (src, node, delta)."""
+    level deeper of (1 + delta(s,w)) / sigma(s,w). Returns (src, node, delta).
+
+    The pulled coefficients and the level's own rows meet in one group-by
+    (one exchange) instead of a shuffled join.
+    """
     back_edges = adj.select(F.col("receiver").alias("w"), F.col("sender").alias("node"))
     deepest = len(levels) - 1
     below = cut_lineage(levels[deepest].withColumn("delta", F.lit(0.0)))
@@ -84,10 +93,12 @@ def _backward(adj: DataFrame, levels: list[DataFrame]) -> DataFrame:
     for d in range(deepest - 1, 0, -1):
         coef = below.select("src", F.col("node").alias("w"),
                             ((F.lit(1.0) + F.col("delta")) / F.col("sigma")).alias("c"))
-        pulled = coef.join(back_edges, "w").groupBy("src", "node").agg(F.sum("c").alias("c"))
-        below = cut_lineage(levels[d].join(pulled, ["src", "node"], "left")
-                            .select("src", "node", "sigma",
-                                    (F.col("sigma") * F.coalesce(F.col("c"), F.lit(0.0))).alias("delta")))
+        pulled = coef.join(back_edges, "w").select("src", "node", F.lit(None).cast("double").alias("sigma"), "c")
+        own = levels[d].select("src", "node", "sigma", F.lit(0.0).alias("c"))
+        merged = (own.unionByName(pulled).groupBy("src", "node")
+                     .agg(F.max("sigma").alias("sigma"), F.sum("c").alias("c")))
+        below = cut_lineage(merged.filter(F.col("sigma").isNotNull())
+                            .select("src", "node", "sigma", (F.col("sigma") * F.col("c")).alias("delta")))
         parts.append(below)
     out = parts[0].select("src", "node", "delta")
     for p in parts[1:]:
