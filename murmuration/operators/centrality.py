@@ -49,6 +49,21 @@ def degree_centrality(graph: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                          norm(F.col("in_n")).alias("in_degree"), norm(F.col("out_n")).alias("out_degree")))
 
 
+def dense_ids(nodes: DataFrame) -> DataFrame:
+    """(node, vid): 0-based long ids in handle order, assigned without a
+    single-task window. Iterative rounds join and group on these longs
+    instead of on handles (some are 64-character pseudonyms)."""
+    from murmuration.operators.ordering import row_number0
+    return cut_lineage(row_number0(nodes.select("node"), [F.col("node")], "vid"))
+
+
+def id_graph(graph: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edge table with both ends replaced by their long id."""
+    s = ids.select(F.col("node").alias("sender"), F.col("vid").alias("_s"))
+    r = ids.select(F.col("node").alias("receiver"), F.col("vid").alias("_r"))
+    return graph.join(s, "sender").join(r, "receiver").select(F.col("_s").alias("sender"), F.col("_r").alias("receiver"))
+
+
 def _adjacency(graph: DataFrame) -> DataFrame:
     """Simple graph without self-loops (they never shorten a path)."""
     return simple_graph(graph).filter(F.col("sender") != F.col("receiver"))
@@ -63,7 +78,11 @@ def _bfs(adj: DataFrame, sources: DataFrame) -> list[DataFrame]:
     costs one exchange and no sort.
     """
     step_edges = adj.select(F.col("sender").alias("node"), F.col("receiver").alias("next"))
-    level = cut_lineage(sources.select(F.col("node").alias("src"), "node", F.lit(1.0).alias("sigma")))
+    # Levels are stored partitioned by source: a task then expands whole
+    # sources, and the partial aggregation merges duplicate (src, next)
+    # candidates before the shuffle instead of shipping one row per edge.
+    level = cut_lineage(sources.select(F.col("node").alias("src"), "node", F.lit(1.0).alias("sigma"))
+                        .repartition("src"))
     levels = [level]
     seen = level.select("src", "node")
     while True:
@@ -72,7 +91,7 @@ def _bfs(adj: DataFrame, sources: DataFrame) -> list[DataFrame]:
         old = seen.select("src", "node", F.lit(0.0).alias("sigma"), F.lit(1).alias("old"))
         merged = (cand.unionByName(old).groupBy("src", "node")
                       .agg(F.sum("sigma").alias("sigma"), F.max("old").alias("old")))
-        level = cut_lineage(merged.filter(F.col("old") == 0).drop("old"))
+        level = cut_lineage(merged.filter(F.col("old") == 0).drop("old").repartition("src"))
         if level.isEmpty():
             return levels
         levels.append(level)
@@ -88,7 +107,7 @@ def _backward(adj: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """
     back_edges = adj.select(F.col("receiver").alias("w"), F.col("sender").alias("node"))
     deepest = len(levels) - 1
-    below = cut_lineage(levels[deepest].withColumn("delta", F.lit(0.0)))
+    below = cut_lineage(levels[deepest].withColumn("delta", F.lit(0.0)).repartition("src"))
     parts = [below]
     for d in range(deepest - 1, 0, -1):
         coef = below.select("src", F.col("node").alias("w"),
@@ -98,7 +117,8 @@ def _backward(adj: DataFrame, levels: list[DataFrame]) -> DataFrame:
         merged = (own.unionByName(pulled).groupBy("src", "node")
                      .agg(F.max("sigma").alias("sigma"), F.sum("c").alias("c")))
         below = cut_lineage(merged.filter(F.col("sigma").isNotNull())
-                            .select("src", "node", "sigma", (F.col("sigma") * F.col("c")).alias("delta")))
+                            .select("src", "node", "sigma", (F.col("sigma") * F.col("c")).alias("delta"))
+                            .repartition("src"))
         parts.append(below)
     out = parts[0].select("src", "node", "delta")
     for p in parts[1:]:
@@ -120,7 +140,8 @@ def path_centralities(graph: DataFrame, nodes: DataFrame, n: int, want_betweenne
     distances, 0 if r = 0. betweenness(v) = sum of pair dependencies scaled
     by 1/((n-1)(n-2)) (no scaling when n <= 2).
     """
-    adj = cut_lineage(_adjacency(graph))
+    ids = dense_ids(nodes)
+    adj = cut_lineage(_adjacency(id_graph(graph, ids)))
     sources = adj.select(F.col("sender").alias("node")).distinct()
     n_sources = _count(sources)
     per_batch = max(1, state_budget // max(n, 1))
@@ -144,13 +165,16 @@ def path_centralities(graph: DataFrame, nodes: DataFrame, n: int, want_betweenne
             out = out.unionByName(p)
         return out
 
-    reach = union(reach_parts, "node string, r long, s long").groupBy("node").agg(
-        F.sum("r").alias("r"), F.sum("s").alias("s"))
+    back = ids.select(F.col("vid").alias("node"), F.col("node").alias("handle"))
+    reach = (union(reach_parts, "node long, r long, s long").groupBy("node").agg(
+        F.sum("r").alias("r"), F.sum("s").alias("s")).join(back, "node")
+        .select(F.col("handle").alias("node"), "r", "s"))
     r, s = F.col("r").cast("double"), F.col("s").cast("double")
     close = F.when((F.coalesce(s, F.lit(0.0)) > 0) & F.lit(n > 1), (r / s) * (r / F.lit(float(max(n - 1, 1))))) \
              .otherwise(F.lit(0.0))
     closeness = nodes.join(reach, "node", "left").select("node", close.alias("closeness"))
-    dep = union(dep_parts, "node string, dep double").groupBy("node").agg(F.sum("dep").alias("dep"))
+    dep = (union(dep_parts, "node long, dep double").groupBy("node").agg(F.sum("dep").alias("dep"))
+           .join(back, "node").select(F.col("handle").alias("node"), "dep"))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     betweenness = nodes.join(dep, "node", "left").select(
         "node", (F.coalesce(F.col("dep"), F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
@@ -177,9 +201,10 @@ def eigenvector_centrality(graph: DataFrame, nodes: DataFrame, n: int, max_iter:
     """
     if n == 0:
         return Eigen(nodes.select("node", F.lit(0.0).alias("eigenvector")), False, 0)
-    push = simple_graph(graph).select(F.col("sender").alias("node"), F.col("receiver").alias("to"))
+    ids = dense_ids(nodes)
+    push = simple_graph(id_graph(graph, ids)).select(F.col("sender").alias("node"), F.col("receiver").alias("to"))
     push = cut_lineage(push)
-    x = cut_lineage(nodes.select("node", F.lit(1.0 / n).alias("x")))
+    x = cut_lineage(ids.select(F.col("vid").alias("node"), F.lit(1.0 / n).alias("x")))
     steps = iterations if iterations is not None else max_iter
     converged = False
     done = 0
@@ -201,7 +226,9 @@ def eigenvector_centrality(graph: DataFrame, nodes: DataFrame, n: int, max_iter:
             x = x_next
     if iterations is None and not converged and on_failure == "zero":
         return Eigen(nodes.select("node", F.lit(0.0).alias("eigenvector")), False, done)
-    return Eigen(x.select("node", F.col("x").alias("eigenvector")), converged or iterations is not None, done)
+    scores = x.join(ids.select(F.col("vid").alias("node"), F.col("node").alias("handle")), "node") \
+              .select(F.col("handle").alias("node"), F.col("x").alias("eigenvector"))
+    return Eigen(scores, converged or iterations is not None, done)
 
 
 def centrality_table(graph: DataFrame, eigen_graph: DataFrame | None = None,

@@ -32,9 +32,16 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def connected_components(graph: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, component) with component = smallest handle of the component."""
+    """(node, component) with component = smallest handle of the component.
+
+    Rounds run on dense long ids assigned in handle order, so the smallest id
+    of a component is also its smallest handle.
+    """
+    from murmuration.operators.centrality import dense_ids, id_graph
     nodes = node_list(graph)
-    e = graph.filter(F.col("sender") != F.col("receiver")).select(
+    ids = dense_ids(nodes)
+    g = id_graph(graph.select("sender", "receiver"), ids)
+    e = g.filter(F.col("sender") != F.col("receiver")).select(
         F.greatest("sender", "receiver").alias("u"), F.least("sender", "receiver").alias("v")).distinct()
     e = cut_lineage(e)
     for _ in range(max_rounds):
@@ -46,8 +53,10 @@ def connected_components(graph: DataFrame, max_rounds: int = 64) -> DataFrame:
             break
     else:
         raise RuntimeError("connected components did not converge")
-    return (nodes.join(e.withColumnRenamed("u", "node"), "node", "left")
-                 .select("node", F.coalesce(F.col("v"), F.col("node")).alias("component")))
+    label = (ids.join(e.withColumnRenamed("u", "vid"), "vid", "left")
+                .select("node", F.coalesce(F.col("v"), F.col("vid")).alias("lbl")))
+    names = ids.select(F.col("vid").alias("lbl"), F.col("node").alias("component"))
+    return label.join(names, "lbl").select("node", "component")
 
 
 def largest_component(components: DataFrame) -> DataFrame:
