@@ -1080,3 +1080,182 @@ def q_dictionary_stream(spark, sf):
     q = start_dictionary_stream(spark, f"{ids_dir}/*", fx.accounts(spark, sf), out, ckpt)
     q.awaitTermination()
     return dictionary_from_outcomes(spark, out)
+
+
+# ================================================================== survey names that are parts of larger queries
+
+_POL = [("corp", "SELECT post_id, lower(text) AS text FROM posts")] + O.sentiment_ctes("corp", dedup=False)
+
+
+def _post_scores(spark, sf):
+    corp = _posts(spark, sf).select("post_id", F.lower("text").alias("text"))
+    return S.scored_corpus(corp, fx.lexicon(spark), remove_duplicates=False)
+
+
+@query("polarity", with_fixtures("SELECT post_id, round(polarity, 6) AS polarity FROM s_sc", "posts", "lexicon", extra=_POL))
+def q_polarity(spark, sf):
+    """P14."""
+    return rounded(_post_scores(spark, sf).select("post_id", "polarity"))
+
+
+@query("truncate_score", with_fixtures(f"SELECT post_id, {O.trunc('polarity')} AS truncated FROM s_sc", "posts", "lexicon",
+                                       extra=_POL))
+def q_truncate_score(spark, sf):
+    """P13."""
+    return rounded(_post_scores(spark, sf).select("post_id", T.truncate_score("polarity").alias("truncated")))
+
+
+@query("sentiment_label", with_fixtures(f"SELECT post_id, {O.label('polarity')} AS label FROM s_sc", "posts", "lexicon",
+                                        extra=_POL))
+def q_sentiment_label(spark, sf):
+    """P12."""
+    return _post_scores(spark, sf).select("post_id", T.sentiment_label("polarity").alias("label"))
+
+
+_EXPORT_IDS_SQL = "SELECT node, id FROM ids"
+
+
+@query("node_group", net_sql(
+    f"SELECT node, CAST(CASE WHEN length(node) >= 56 THEN 2 WHEN node = {O.q(O.GIVEN)} THEN 3 ELSE 1 END AS BIGINT) AS \"group\" "
+    f"FROM (SELECT sender AS node FROM edges UNION SELECT receiver FROM edges) n"))
+def q_node_group(spark, sf):
+    """P16."""
+    hidden = PV.is_hidden(F.col("node"))
+    return G.node_list(_network_edges(spark, sf)).select(
+        "node", F.when(hidden, F.lit(2)).when(F.col("node") == O.GIVEN, F.lit(3)).otherwise(F.lit(1)).cast("long").alias("group"))
+
+
+@query("blank_hidden_label", net_sql(
+    "SELECT node, CASE WHEN length(node) >= 56 THEN ' ' ELSE node END AS name "
+    "FROM (SELECT sender AS node FROM edges UNION SELECT receiver FROM edges) n"))
+def q_blank_hidden_label(spark, sf):
+    """P17."""
+    return G.node_list(_network_edges(spark, sf)).select(
+        "node", F.when(PV.is_hidden(F.col("node")), F.lit(" ")).otherwise(F.col("node")).alias("name"))
+
+
+@query("node_size", net_sql("SELECT id, size FROM (SELECT id, CAST(10 AS BIGINT) AS size FROM ids) x",
+                            base=_COMP_NET, extra=_lcc_ctes()))
+def q_node_size(spark, sf):
+    """P18."""
+    return X.export_graph(_network_edges(spark, sf, query=O.COMPONENT_TOPIC), O.GIVEN)[0].select("id", "size")
+
+
+@query("usage_message", with_fixtures(
+    f"SELECT CAST(row_number() OVER (ORDER BY n DESC, tag) AS VARCHAR) || '. #' || tag || ' used ' || CAST(n AS VARCHAR) || "
+    f"CASE WHEN n = 1 THEN ' time.' ELSE ' times.' END AS message FROM "
+    f"(SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), {O.q(O.HASHTAG)}, 1)) AS tag FROM posts) t "
+    f"GROUP BY tag ORDER BY n DESC, tag LIMIT 10) x", "posts"))
+def q_usage_message(spark, sf):
+    """P22."""
+    return TP.top_hashtags(TP.hashtag_counts(_posts(spark, sf)), 10).select("message")
+
+
+@query("metric_delta", _hist_sql(
+    "SELECT c.nodes - p.nodes AS delta_nodes, c.edges - p.edges AS delta_edges, "
+    "round(c.density_pct - p.density_pct, 6) AS delta_density_pct FROM c_row c CROSS JOIN p_row p"))
+def q_metric_delta(spark, sf):
+    """P23."""
+    prev, cur = _runs(spark, sf)
+    return rounded(H.compare_last_run(cur, prev).select("delta_nodes", "delta_edges", "delta_density_pct"))
+
+
+@query("percent_density", net_sql(f"SELECT round(density_pct, 6) AS density_pct FROM ({_SIZE_SQL}) s"))
+def q_percent_density(spark, sf):
+    """P24."""
+    return rounded(G.network_size(_network_edges(spark, sf)).select("density_pct"))
+
+
+@query("network_density", net_sql(
+    f"SELECT nodes, edges, round(density_pct / 100.0, 9) AS density FROM ({_SIZE_SQL}) s"))
+def q_network_density(spark, sf):
+    """A5: directed m / (n (n - 1))."""
+    s = G.network_size(_network_edges(spark, sf))
+    return s.select("nodes", "edges", F.round(F.col("density_pct") / 100.0, 9).alias("density"))
+
+
+@query("encode_links", net_sql(
+    "SELECT s.id AS source, t.id AS target FROM kept_edges e JOIN ids s ON e.sender = s.node JOIN ids t ON e.receiver = t.node",
+    base=_COMP_NET, extra=_lcc_ctes()))
+def q_encode_links(spark, sf):
+    """Both ends of the exported edges as 0-based ids."""
+    return X.export_graph(_network_edges(spark, sf, query=O.COMPONENT_TOPIC), O.GIVEN)[1].select("source", "target")
+
+
+@query("export_graph", net_sql(
+    "SELECT 'node' AS part, id AS a, CASE WHEN length(node) >= 56 THEN ' ' ELSE node END AS name, NULL::BIGINT AS b, "
+    "NULL::BIGINT AS value FROM ids UNION ALL SELECT 'link', s.id, NULL, t.id, w.value FROM kept_edges e "
+    "JOIN (SELECT sender, receiver, count(*) AS value FROM kept_edges GROUP BY sender, receiver) w "
+    "ON e.sender = w.sender AND e.receiver = w.receiver JOIN ids s ON e.sender = s.node JOIN ids t ON e.receiver = t.node",
+    base=_COMP_NET, extra=_lcc_ctes()))
+def q_export_graph(spark, sf):
+    """Node and link tables of the largest component, stacked."""
+    nodes, links = X.export_graph(_network_edges(spark, sf, query=O.COMPONENT_TOPIC), O.GIVEN)
+    n = nodes.select(F.lit("node").alias("part"), F.col("id").alias("a"), "name", F.lit(None).cast("long").alias("b"),
+                     F.lit(None).cast("long").alias("value"))
+    lk = links.select(F.lit("link").alias("part"), F.col("source").alias("a"), F.lit(None).cast("string").alias("name"),
+                      F.col("target").alias("b"), "value")
+    return n.unionByName(lk)
+
+
+@query("export_nodes_csv", net_sql(
+    "SELECT id, CASE WHEN length(node) >= 56 THEN ' ' ELSE node END AS name, "
+    f"CAST(CASE WHEN length(node) >= 56 THEN 2 WHEN node = {O.q(O.GIVEN)} THEN 3 ELSE 1 END AS BIGINT) AS \"group\", "
+    "CAST(10 AS BIGINT) AS size FROM ids", base=_COMP_NET, extra=_lcc_ctes()))
+def q_export_nodes_csv(spark, sf):
+    """K4: node table written as CSV with a header and read back."""
+    path = _scratch(spark, "nodes-csv")
+    SK.export_csv(X.export_graph(_network_edges(spark, sf, query=O.COMPONENT_TOPIC), O.GIVEN)[0], path, encoding="iso-8859-1")
+    return spark.read.option("header", True).option("encoding", "iso-8859-1").schema(
+        "id long, name string, `group` long, size long").csv(path)
+
+
+@query("export_links_csv", net_sql(
+    "SELECT s.id AS source, t.id AS target, w.value FROM kept_edges e "
+    "JOIN (SELECT sender, receiver, count(*) AS value FROM kept_edges GROUP BY sender, receiver) w "
+    "ON e.sender = w.sender AND e.receiver = w.receiver JOIN ids s ON e.sender = s.node JOIN ids t ON e.receiver = t.node",
+    base=_COMP_NET, extra=_lcc_ctes()))
+def q_export_links_csv(spark, sf):
+    """K5: link table written as CSV with a header and read back."""
+    path = _scratch(spark, "links-csv")
+    SK.export_csv(X.export_graph(_network_edges(spark, sf, query=O.COMPONENT_TOPIC), O.GIVEN)[1], path)
+    return spark.read.option("header", True).schema("source long, target long, value long").csv(path)
+
+
+@query("append_outcome_ids", with_fixtures("SELECT account_id, status FROM prev_status WHERE status <> 'valid'",
+                                           *_ACC, extra=_settled_sql()))
+def q_append_outcome_ids(spark, sf):
+    """K3: invalid / error ids appended as text lines, one folder per status."""
+    path = _scratch(spark, "outcome-ids")
+    SK.append_outcome_ids(_previous_run(spark, sf).outcomes, path)
+    lines = spark.read.text(path)    # the partition folder brings the status back
+    return lines.select(F.col("value").cast("long").alias("account_id"), "status")
+
+
+@query("append_run_history", _hist_sql(
+    f"SELECT given_user, query, {_TS.format(c='run_ts')} AS run_ts, nodes, edges FROM "
+    f"(SELECT * FROM p_row UNION ALL SELECT * FROM c_row) h"))
+def q_append_run_history(spark, sf):
+    """K6: every run is kept (append), not overwritten."""
+    prev, cur = _runs(spark, sf)
+    path = _scratch(spark, "history-all")
+    SK.append_run_history(prev, path)
+    SK.append_run_history(cur, path)
+    h = RD.read_run_history(spark, path)
+    return h.select("given_user", "query", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts"), "nodes", "edges")
+
+
+@query("network_summary_simple", net_sql(
+    f"SELECT s.nodes, s.edges, round(s.density_pct, 6) AS density_pct, s.self_loops, round(t.transitivity, 6) AS transitivity "
+    f"FROM ({O.size_sql('sg')}) s CROSS JOIN (SELECT CASE WHEN coalesce(num, 0) = 0 THEN 0.0 ELSE CAST(num AS DOUBLE) / den END "
+    f"AS transitivity FROM (SELECT count(*) AS num FROM se a JOIN se b ON a.sender = b.sender AND a.receiver <> b.receiver "
+    f"JOIN se c ON c.sender = a.receiver AND c.receiver = b.receiver) x CROSS JOIN "
+    f"(SELECT sum(d * (d - 1)) AS den FROM (SELECT sender, count(*) AS d FROM se GROUP BY sender) y) z) t",
+    extra=[("sg", "SELECT DISTINCT sender, receiver FROM edges"),
+           ("se", "SELECT DISTINCT sender, receiver FROM edges WHERE sender <> receiver")]))
+def q_network_summary_simple(spark, sf):
+    """G13 with repeated contact off: simple graph, transitivity reported."""
+    from murmuration.plans.network import NetworkResult
+    e = _network_edges(spark, sf)
+    res = NetworkResult(_params(multi=False), None, e, G.build_graph(e, False), None, None, True)
+    return rounded(res.summary().select("nodes", "edges", "density_pct", "self_loops", "transitivity"))

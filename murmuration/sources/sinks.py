@@ -38,7 +38,11 @@ def append_outcome_ids(outcomes: DataFrame, path: str) -> None:
 
 
 def export_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
-    """K4/K5: node or link table as CSV with a header."""
+    """K4/K5: node or link table as CSV with a header.
+
+    The single-machine tool wrote Windows-1252; Spark's CSV writer takes the
+    standard charsets only, so ISO-8859-1 is the closest legacy choice.
+    """
     df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
 
 
