@@ -43,7 +43,9 @@ def export_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     The single-machine tool wrote Windows-1252; Spark's CSV writer takes the
     standard charsets only, so ISO-8859-1 is the closest legacy choice.
     """
-    df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
+    # keep the single-space labels of hidden accounts as they are
+    (df.write.mode("overwrite").option("header", True).option("encoding", encoding)
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def append_run_history(rows: DataFrame, path: str) -> None:
