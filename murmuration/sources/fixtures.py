@@ -37,11 +37,10 @@ def _s(c: Column) -> Column:
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """post_id, author, created_at, is_retweet, lang, text."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    # Size of the handle space: one global aggregate, broadcast as one row.
-    space = ev.agg((F.max("user_id") + F.lit(1)).alias("space"))
-    e = (ev.withColumn("k", F.regexp_extract("props", r"([0-9]+)", 1).cast("long"))
-           .crossJoin(F.broadcast(space)))
-    a, k, u = F.col("user_id"), F.col("k"), F.col("space")
+    # Size of the handle space: one global aggregate, as a scalar subquery.
+    space = ev.agg((F.max("user_id") + F.lit(1)).alias("space")).scalar()
+    e = ev.withColumn("k", F.regexp_extract("props", r"([0-9]+)", 1).cast("long"))
+    a, k, u = F.col("user_id"), F.col("k"), space
     b = (a * a + F.lit(7) * k + F.lit(3)) % u
     c = (a + k * k) % u
     g = a - a % F.lit(COMMUNITY) + k % F.lit(COMMUNITY)
