@@ -22,8 +22,16 @@ from murmuration.session import cut_lineage
 
 METRICS = ("degree", "in_degree", "out_degree", "closeness", "betweenness", "eigenvector")
 
-# Upper bound on BFS state rows (sources x reachable nodes) per source batch.
+# Upper bound on BFS state rows (sources x reachable nodes) per source batch;
+# a cluster raises it with the session setting below.
 DEFAULT_STATE_BUDGET = 20_000_000
+STATE_BUDGET_CONF = "spark.murmuration.bfs.stateBudget"
+
+
+def state_budget_of(spark, given: int | None = None) -> int:
+    if given is not None:
+        return given
+    return int(spark.conf.get(STATE_BUDGET_CONF, str(DEFAULT_STATE_BUDGET)))
 
 
 def _count(df: DataFrame) -> int:
@@ -133,13 +141,14 @@ class PathStats:
 
 
 def path_centralities(graph: DataFrame, nodes: DataFrame, n: int, want_betweenness: bool = True,
-                      state_budget: int = DEFAULT_STATE_BUDGET) -> PathStats:
+                      state_budget: int | None = None) -> PathStats:
     """G6 closeness (inward distances, Wasserman-Faust scaled) and G7 betweenness.
 
     closeness(u) = (r/S) * (r/(n-1)), r = nodes reaching u, S = their summed
     distances, 0 if r = 0. betweenness(v) = sum of pair dependencies scaled
     by 1/((n-1)(n-2)) (no scaling when n <= 2).
     """
+    state_budget = state_budget_of(graph.sparkSession, state_budget)
     ids = dense_ids(nodes)
     adj = cut_lineage(_adjacency(id_graph(graph, ids)))
     sources = adj.select(F.col("sender").alias("node")).distinct()
@@ -232,7 +241,7 @@ def eigenvector_centrality(graph: DataFrame, nodes: DataFrame, n: int, max_iter:
 
 
 def centrality_table(graph: DataFrame, eigen_graph: DataFrame | None = None,
-                     state_budget: int = DEFAULT_STATE_BUDGET, precision: int | None = 9,
+                     state_budget: int | None = None, precision: int | None = 9,
                      **eigen_kwargs) -> tuple[DataFrame, Eigen]:
     """Node, degree, in_degree, out_degree, closeness, betweenness, eigenvector.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions.privacy import is_hidden, uniform_hash
 from murmuration.operators.ordering import row_number0, running_total
+from murmuration.session import cut_lineage
 
 RANK_ORDER = ("degree", "closeness", "eigenvector")
 
@@ -75,7 +76,7 @@ def influence_report(table: DataFrame, given: str, gain: float = 500.0, seed: st
     """
     order = rank_order(handle)
     ranked = percentile_rank(table, "score", "pct").withColumn("visible", ~is_hidden(F.col(handle)) & (F.col(handle) != given))
-    ranked = ranked.cache()
+    ranked = cut_lineage(ranked)
     g = ranked.filter(F.col(handle) == given).select(F.col("pct").alias("g_pct"), *[F.col(c).alias(f"g_{c}") for c in RANK_ORDER + (handle,)])
     # number of visible accounts ranked before the given one
     before = None

@@ -19,6 +19,7 @@ from murmuration.operators import posts as P
 from murmuration.operators import ranking as R
 from murmuration.operators import sentiment as S
 from murmuration.operators.accounts import flag_verified
+from murmuration.session import cut_lineage
 
 
 @dataclass
@@ -110,14 +111,15 @@ class NetworkResult:
 
 
 def analyse_network(posts: DataFrame, dictionary: DataFrame, p: NetworkParams | None = None,
-                    state_budget: int = C.DEFAULT_STATE_BUDGET) -> NetworkResult:
+                    state_budget: int | None = None) -> NetworkResult:
     p = p or NetworkParams()
     corpus = network_posts(posts, p)
     raw_edges = G.mention_edges(corpus.select("post_id", "author", "text"), p.selfloop)
     mapping = handle_map(raw_edges, dictionary, p.given, p.hashing, p.hash_bits)
-    edges = protect_edges(raw_edges, mapping).persist()
+    # materialised once in the shared checkpoint folder: every later step reads it
+    edges = cut_lineage(protect_edges(raw_edges, mapping))
     graph = G.build_graph(edges, p.multi)
     given_present = edges.filter((F.col("sender") == p.given) | (F.col("receiver") == p.given)).limit(1).count() > 0
     table, eig = C.centrality_table(graph, state_budget=state_budget, **p.eigen)
-    table = R.combined_score(table, p.score).persist()
+    table = cut_lineage(R.combined_score(table, p.score))
     return NetworkResult(p, corpus, edges, graph, table, eig, given_present)
