@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+OBJECT_EXPORT_MAX_ROWS = 1_000_000   # the legacy single-object export gathers one row
+
+
 def write_verified_dictionary(dictionary: DataFrame, path: str, fmt: str = "jsonl") -> None:
     """K1: the full dictionary, replacing the previous one.
 
@@ -19,6 +22,9 @@ def write_verified_dictionary(dictionary: DataFrame, path: str, fmt: str = "json
     elif fmt == "parquet":
         d.write.mode("overwrite").parquet(path)
     elif fmt == "object":
+        n = d.count()
+        if n > OBJECT_EXPORT_MAX_ROWS:
+            raise ValueError(f"{n} entries: too many for a single JSON object; use fmt='jsonl' or 'parquet'")
         obj = d.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("account_id", "screen_name")))).alias("value"))
         obj.coalesce(1).write.mode("overwrite").text(path)
     else:

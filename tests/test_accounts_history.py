@@ -98,3 +98,26 @@ def test_dictionary_stream_is_exactly_once(spark):
     assert got == expect
     outcomes = spark.read.parquet(f"{d}/out")
     assert outcomes.count() == outcomes.select("account_id").distinct().count()
+
+
+def test_update_dictionary_twice_is_idempotent(spark):
+    from murmuration.plans.verified import update_dictionary
+    d = tempfile.mkdtemp(prefix="murm-upd-")
+    prof = fx.accounts(spark, SF_SMALL)
+    first = update_dictionary(spark, fx.previous_friend_ids(spark, SF_SMALL), prof, d)
+    assert first.counts.first().reconciled
+    second = update_dictionary(spark, fx.friend_ids(spark, SF_SMALL), prof, d)
+    c = second.counts.first()
+    assert c.reconciled
+    third = update_dictionary(spark, fx.friend_ids(spark, SF_SMALL), prof, d)
+    assert third.outcomes.count() == 0                     # nothing left to settle
+    assert third.counts.first() == c
+
+
+def test_topic_report(spark):
+    from murmuration.plans.topic_report import TopicParams, topic_report
+    rep = topic_report(fx.posts(spark, SF_SMALL), fx.lexicon(spark), TopicParams(given_user="@User3", days=0))
+    n = rep.window.first().n_posts
+    assert n == rep.corpus.count() and n > 0
+    assert rep.hashtags.count() <= 10 and rep.topics.count() <= 10
+    assert rep.sentiment.first().n_posts == n
