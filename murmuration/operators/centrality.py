@@ -140,8 +140,17 @@ class PathStats:
     betweenness: DataFrame   # node, betweenness
 
 
+def _prepared(graph: DataFrame, nodes: DataFrame, prepared: tuple[DataFrame, DataFrame] | None):
+    """(ids, id_edges): handles mapped to dense ids once, reused by every metric."""
+    if prepared is not None:
+        return prepared
+    ids = dense_ids(nodes)
+    return ids, cut_lineage(id_graph(graph.select("sender", "receiver"), ids))
+
+
 def path_centralities(graph: DataFrame, nodes: DataFrame, n: int, want_betweenness: bool = True,
-                      state_budget: int | None = None) -> PathStats:
+                      state_budget: int | None = None,
+                      prepared: tuple[DataFrame, DataFrame] | None = None) -> PathStats:
     """G6 closeness (inward distances, Wasserman-Faust scaled) and G7 betweenness.
 
     closeness(u) = (r/S) * (r/(n-1)), r = nodes reaching u, S = their summed
@@ -149,8 +158,8 @@ def path_centralities(graph: DataFrame, nodes: DataFrame, n: int, want_betweenne
     by 1/((n-1)(n-2)) (no scaling when n <= 2).
     """
     state_budget = state_budget_of(graph.sparkSession, state_budget)
-    ids = dense_ids(nodes)
-    adj = cut_lineage(_adjacency(id_graph(graph, ids)))
+    ids, id_edges = _prepared(graph, nodes, prepared)
+    adj = cut_lineage(_adjacency(id_edges))
     sources = adj.select(F.col("sender").alias("node")).distinct()
     n_sources = _count(sources)
     per_batch = max(1, state_budget // max(n, 1))
@@ -199,7 +208,8 @@ class Eigen:
 
 def eigenvector_centrality(graph: DataFrame, nodes: DataFrame, n: int, max_iter: int = 100,
                            tol: float = 1.0e-6, shift: bool = True, on_failure: str = "zero",
-                           iterations: int | None = None) -> Eigen:
+                           iterations: int | None = None,
+                           prepared: tuple[DataFrame, DataFrame] | None = None) -> Eigen:
     """Power iteration on in-edges of the simple graph, L2-normalised.
 
     ``shift`` iterates with A + I (current NetworkX), otherwise A. Stops when
@@ -210,8 +220,8 @@ def eigenvector_centrality(graph: DataFrame, nodes: DataFrame, n: int, max_iter:
     """
     if n == 0:
         return Eigen(nodes.select("node", F.lit(0.0).alias("eigenvector")), False, 0)
-    ids = dense_ids(nodes)
-    push = simple_graph(id_graph(graph, ids)).select(F.col("sender").alias("node"), F.col("receiver").alias("to"))
+    ids, id_edges = _prepared(graph, nodes, prepared)
+    push = simple_graph(id_edges).select(F.col("sender").alias("node"), F.col("receiver").alias("to"))
     push = cut_lineage(push)
     x = cut_lineage(ids.select(F.col("vid").alias("node"), F.lit(1.0 / n).alias("x")))
     steps = iterations if iterations is not None else max_iter
@@ -251,8 +261,12 @@ def centrality_table(graph: DataFrame, eigen_graph: DataFrame | None = None,
     nodes = cut_lineage(node_list(graph))
     n = _count(nodes)
     deg = degree_centrality(graph, nodes, n)
-    paths = path_centralities(graph, nodes, n, state_budget=state_budget)
-    eig = eigenvector_centrality(eigen_graph if eigen_graph is not None else graph, nodes, n, **eigen_kwargs)
+    prepared = _prepared(graph, nodes, None)
+    paths = path_centralities(graph, nodes, n, state_budget=state_budget, prepared=prepared)
+    if eigen_graph is not None:
+        eig = eigenvector_centrality(eigen_graph, nodes, n, **eigen_kwargs)
+    else:
+        eig = eigenvector_centrality(graph, nodes, n, prepared=prepared, **eigen_kwargs)
     table = (deg.join(paths.closeness, "node").join(paths.betweenness, "node")
                 .join(eig.scores, "node"))
     if precision is not None:
