@@ -193,3 +193,18 @@ def test_degree_counts_repeats_and_self_loops(spark):
     nodes = G.node_list(g)
     got = {r.node: r.degree for r in C.degree_centrality(g, nodes, 3).collect()}
     assert got == {"a": 1.0, "b": 1.0, "c": 1.0}
+
+
+def test_hub_holding_a_third_of_the_edges(spark):
+    # one account is the receiver of a third of all mentions (and sends some)
+    rnd = random.Random(21)
+    edges = [(f"n{rnd.randrange(20)}", f"n{rnd.randrange(20)}") for _ in range(60)]
+    edges += [(f"n{rnd.randrange(20)}", "hub") for _ in range(25)] + [("hub", f"n{i}") for i in range(0, 20, 4)]
+    expect = py_centralities(edges)
+    table, _ = C.centrality_table(frame(spark, edges).select("sender", "receiver"), precision=None)
+    got = {r["node"]: r.asDict() for r in table.collect()}
+    for v, exp in expect.items():
+        for k, val in exp.items():
+            assert got[v][k] == pytest.approx(val, abs=1e-12), (v, k)
+    w = {(r.sender, r.receiver): r.weight for r in G.edge_weights(frame(spark, edges)).collect()}
+    assert sum(1 for e in edges if e[1] == "hub") == sum(v for (s, r), v in w.items() if r == "hub")
