@@ -23,6 +23,9 @@ _LOCAL_DEFAULTS = {
     # Broadcast only what the planner can size; 32 MB keeps per-executor
     # copies small even when the build side is a node table.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # iterative operators checkpoint every round; let Spark delete the files
+    # of rounds that are no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
