@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.functions import text as T
+from murmuration.session import cut_lineage
 
 NEGATION = -0.5
 LEXICON_BROADCAST_ROWS = 1_000_000   # a lexicon above this is shuffle-joined
@@ -58,7 +59,8 @@ def scored_corpus(corpus: DataFrame, lexicon: DataFrame, remove_duplicates: bool
     c = corpus.select(id_col, text_col)
     if remove_duplicates:
         c = distinct_posts(c, text_col, id_col)
-    c = c.withColumn("clean", T.clean_for_sentiment(F.col(text_col)))
+    # cleaned once: the tokens and the join back both read this copy
+    c = cut_lineage(c.withColumn("clean", T.clean_for_sentiment(F.col(text_col))))
     return c.join(polarity(c, lexicon, id_col, "clean"), id_col).select(id_col, text_col, "polarity")
 
 
@@ -70,7 +72,8 @@ def sentiment_summary(corpus: DataFrame, lexicon: DataFrame, remove_duplicates:
     around the *truncated* mean, truncated (A9); example = the post closest
     to that mean, ties by text then id (L4); label from the mean (P12).
     """
-    s = scored_corpus(corpus, lexicon, remove_duplicates, text_col, id_col)
+    # two passes (the spread needs the truncated mean): score the corpus once
+    s = cut_lineage(scored_corpus(corpus, lexicon, remove_duplicates, text_col, id_col))
     mean = s.agg(T.truncate_score(F.avg("polarity")).alias("mean"), F.count(F.lit(1)).alias("n_posts"))
     dev = F.abs(F.col("polarity") - F.col("mean"))
     spread = (s.crossJoin(F.broadcast(mean))
