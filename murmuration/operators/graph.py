@@ -108,18 +108,20 @@ def transitivity(graph: DataFrame) -> DataFrame:
     closing = oriented.select(F.col("lo").alias("q"), F.col("hi").alias("r"))
     closing2 = oriented.select(F.col("hi").alias("q"), F.col("lo").alias("r"))
     triangles = wedges.join(closing.unionByName(closing2), ["q", "r"])
-    # Count the ordered triples (v, w, x) of each triangle with v->w, v->x, w->x.
-    has = e.select(F.col("sender").alias("s"), F.col("receiver").alias("t"), F.lit(1).alias("h"))
-
-    def flag(s: str, t: str) -> DataFrame:
-        return has.withColumnRenamed("s", s).withColumnRenamed("t", t).withColumnRenamed("h", f"h_{s}{t}")
-
+    # Count the ordered triples (v, w, x) of each triangle with v->w, v->x, w->x:
+    # its six directed pairs are looked up in the edge table with one join,
+    # and the pairs found are folded into a 6-bit mask per triangle.
+    pairs = [("p", "q"), ("q", "p"), ("p", "r"), ("r", "p"), ("q", "r"), ("r", "q")]
     tri = triangles.select("p", "q", "r")
-    for s, t in (("p", "q"), ("q", "p"), ("p", "r"), ("r", "p"), ("q", "r"), ("r", "q")):
-        tri = tri.join(flag(s, t), [s, t], "left")
-    h = {st: F.coalesce(F.col(f"h_{st}"), F.lit(0)) for st in ("pq", "qp", "pr", "rp", "qr", "rq")}
+    probes = tri.select("p", "q", "r", F.explode(F.array(*[
+        F.struct(F.col(a).alias("s"), F.col(b).alias("t"), F.lit(1 << k).alias("bit"))
+        for k, (a, b) in enumerate(pairs)])).alias("pr")).select("p", "q", "r", "pr.*")
+    found = probes.join(e.select(F.col("sender").alias("s"), F.col("receiver").alias("t")), ["s", "t"], "left_semi")
+    masks = found.groupBy("p", "q", "r").agg(F.sum("bit").alias("mask"))
+    bit = {a + b: (F.shiftright(F.col("mask"), k) % 2) for k, (a, b) in enumerate(pairs)}
     perms = [("p", "q", "r"), ("p", "r", "q"), ("q", "p", "r"), ("q", "r", "p"), ("r", "p", "q"), ("r", "q", "p")]
-    triads = sum((h[v + w] * h[v + x] * h[w + x] for v, w, x in perms), F.lit(0))
+    triads = sum((bit[v + w] * bit[v + x] * bit[w + x] for v, w, x in perms), F.lit(0))
+    tri = masks
     num = tri.agg(F.sum(triads).alias("num"))
     ratio = F.when(F.coalesce(F.col("num"), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.col("num") / F.col("denom"))
     return num.crossJoin(denom).select(ratio.cast("double").alias("transitivity"))
