@@ -1076,7 +1076,6 @@ def q_dictionary_stream(spark, sf):
     prev = fx.previous_friend_ids(spark, sf)
     prev.write.mode("overwrite").parquet(f"{ids_dir}/part=0")
     fx.friend_ids(spark, sf).join(prev.distinct(), "account_id", "left_anti").write.mode("overwrite").parquet(f"{ids_dir}/part=1")
-    from murmuration.sources.tables import read_table  # noqa: F401
     q = start_dictionary_stream(spark, f"{ids_dir}/*", fx.accounts(spark, sf), out, ckpt)
     q.awaitTermination()
     return dictionary_from_outcomes(spark, out)

@@ -5,7 +5,6 @@ import random
 from collections import deque
 
 import pytest
-from pyspark.sql import functions as F
 
 from murmuration.operators import centrality as C
 from murmuration.operators import components as CC
