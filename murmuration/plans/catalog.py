@@ -1258,3 +1258,16 @@ def q_network_summary_simple(spark, sf):
     e = _network_edges(spark, sf)
     res = NetworkResult(_params(multi=False), None, e, G.build_graph(e, False), None, None, True)
     return rounded(res.summary().select("nodes", "edges", "density_pct", "self_loops", "transitivity"))
+
+
+@query("topic_sentiment", with_fixtures(
+    "SELECT mean, n_posts, example, sd, label FROM ts_sum", "posts", "lexicon",
+    extra=[("ts_corpus", f"SELECT post_id, lower(text) AS text FROM posts WHERE lang = 'en' "
+                         f"AND list_contains(regexp_extract_all(lower(text), {O.q(O.MENTION)}, 1), 'user7') "
+                         f"AND floor((epoch_us(TIMESTAMP '{O.AS_OF}') - epoch_us(created_at)) / 86400000000.0) <= 30")]
+    + O.sentiment_ctes("ts_corpus", dedup=False, prefix="ts")))
+def q_topic_sentiment(spark, sf):
+    """Entry 2: sentiment of the posts about an account in the last 30 days."""
+    from murmuration.plans.topic_report import TopicParams, topic_report
+    rep = topic_report(_posts(spark, sf), fx.lexicon(spark), TopicParams(given_user="@User7", days=30, as_of=O.AS_OF))
+    return rep.sentiment
