@@ -134,6 +134,68 @@ def _backward(adj: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return out
 
 
+# Up to this many adjacency rows (about 64 MB of id pairs) the edge table is
+# broadcast and the BFS runs on co-partitioned levels (below); larger graphs
+# take the adaptive path above.
+BROADCAST_EDGE_ROWS = 4_000_000
+
+
+def _keep_partitioning(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` from a non-adaptive plan so the stored copy records
+    its hash partitioning; later joins against it then need no exchange.
+
+    Only used for plans whose joins are broadcasts with a checked size, so
+    nothing adaptive (skew splitting, join switching) is given up.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def _bfs_copartitioned(adj: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """Same levels as ``_bfs``; every level is stored hash-partitioned on
+    (src, node), so the anti-join with all earlier levels reads them in place
+    (no exchange) and only the new candidates are shuffled once."""
+    step_edges = F.broadcast(adj.select(F.col("sender").alias("node"), F.col("receiver").alias("next")))
+    level = _keep_partitioning(sources.select(F.col("node").alias("src"), "node", F.lit(1.0).alias("sigma"))
+                               .repartition("src", "node"))
+    levels = [level]
+    seen = level.select("src", "node")
+    while True:
+        cand = (level.join(step_edges, "node")
+                     .groupBy("src", F.col("next").alias("node")).agg(F.sum("sigma").alias("sigma")))
+        level = _keep_partitioning(cand.join(seen, ["src", "node"], "left_anti"))
+        if level.isEmpty():
+            return levels
+        levels.append(level)
+        seen = seen.unionByName(level.select("src", "node"))
+
+
+def _backward_copartitioned(adj: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Brandes back pass over co-partitioned levels: the pulled coefficients
+    are shuffled once per level and joined with the level where it lies."""
+    back_edges = F.broadcast(adj.select(F.col("receiver").alias("w"), F.col("sender").alias("node")))
+    deepest = len(levels) - 1
+    below = levels[deepest].withColumn("delta", F.lit(0.0))
+    parts = [below]
+    for d in range(deepest - 1, 0, -1):
+        coef = below.select("src", F.col("node").alias("w"),
+                            ((F.lit(1.0) + F.col("delta")) / F.col("sigma")).alias("c"))
+        pulled = coef.join(back_edges, "w").groupBy("src", "node").agg(F.sum("c").alias("c"))
+        below = _keep_partitioning(
+            levels[d].join(pulled, ["src", "node"], "left")
+                     .select("src", "node", "sigma", (F.col("sigma") * F.coalesce(F.col("c"), F.lit(0.0))).alias("delta")))
+        parts.append(below)
+    out = parts[0].select("src", "node", "delta")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("src", "node", "delta"))
+    return out
+
+
 @dataclass
 class PathStats:
     closeness: DataFrame     # node, closeness
@@ -162,18 +224,20 @@ def path_centralities(graph: DataFrame, nodes: DataFrame, n: int, want_betweenne
     adj = cut_lineage(_adjacency(id_edges))
     sources = adj.select(F.col("sender").alias("node")).distinct()
     n_sources = _count(sources)
+    small = _count(adj) <= BROADCAST_EDGE_ROWS
+    bfs, backward = (_bfs_copartitioned, _backward_copartitioned) if small else (_bfs, _backward)
     per_batch = max(1, state_budget // max(n, 1))
     batches = max(1, math.ceil(n_sources / per_batch))
     reach_parts, dep_parts = [], []
     for b in range(batches):
         batch = sources if batches == 1 else sources.filter(
             F.pmod(F.xxhash64("node"), F.lit(batches)) == b)
-        levels = _bfs(adj, batch)
+        levels = bfs(adj, batch)
         for d, lv in enumerate(levels[1:], start=1):
             reach_parts.append(lv.groupBy("node").agg(F.count(F.lit(1)).alias("r"),
                                                       F.sum(F.lit(d)).alias("s")))
         if want_betweenness and len(levels) > 1:
-            dep_parts.append(_backward(adj, levels).groupBy("node").agg(F.sum("delta").alias("dep")))
+            dep_parts.append(backward(adj, levels).groupBy("node").agg(F.sum("delta").alias("dep")))
 
     def union(parts, schema):
         if not parts:

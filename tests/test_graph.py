@@ -207,3 +207,17 @@ def test_hub_holding_a_third_of_the_edges(spark):
             assert got[v][k] == pytest.approx(val, abs=1e-12), (v, k)
     w = {(r.sender, r.receiver): r.weight for r in G.edge_weights(frame(spark, edges)).collect()}
     assert sum(1 for e in edges if e[1] == "hub") == sum(v for (s, r), v in w.items() if r == "hub")
+
+
+def test_adaptive_and_copartitioned_paths_agree(spark, monkeypatch):
+    edges = random_edges(31, n=14, m=45)
+    g = frame(spark, edges).select("sender", "receiver")
+    nodes = G.node_list(g)
+    n = nodes.count()
+    fast = C.path_centralities(g, nodes, n)
+    monkeypatch.setattr(C, "BROADCAST_EDGE_ROWS", 0)          # force the adaptive path
+    slow = C.path_centralities(g, nodes, n)
+    for a, b in ((fast.betweenness, slow.betweenness), (fast.closeness, slow.closeness)):
+        x = {r[0]: r[1] for r in a.collect()}
+        y = {r[0]: r[1] for r in b.collect()}
+        assert x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-12 for k in x)
