@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions import text as T
 from murmuration.operators.ordering import next_in_order
-from murmuration.session import cut_lineage
+from murmuration.session import cut_lineage, spread_for_cpu
 from murmuration.sources.fixtures import STOP_WORDS
 
 
@@ -57,7 +57,7 @@ def kept_tokens(corpus: DataFrame, text_col: str = "text",
     """
     toks = T.tokenise(T.clean_for_topics(F.col(text_col)))
     words = list(stop_words)
-    return corpus.withColumn("kept", F.filter(toks, lambda t: ~t.isin(*words)))
+    return spread_for_cpu(corpus).withColumn("kept", F.filter(toks, lambda t: ~t.isin(*words)))
 
 
 def topic_items(corpus: DataFrame, order: list[tuple[str, bool]], text_col: str = "text",

@@ -79,3 +79,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame that has fewer partitions than the cluster
+    has cores, before CPU-heavy per-row work (regex cleaning of whole texts).
+
+    A small file with one row group is read by one task; large inputs
+    already have far more splits than cores and are returned unchanged.
+    """
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    except Exception:  # noqa: BLE001 - remote sessions expose no RDDs
+        pass
+    return df
