@@ -287,7 +287,15 @@ def eigenvector_centrality(graph: DataFrame, nodes: DataFrame, n: int, max_iter:
     ids, id_edges = _prepared(graph, nodes, prepared)
     push = simple_graph(id_edges).select(F.col("sender").alias("node"), F.col("receiver").alias("to"))
     push = cut_lineage(push)
-    x = cut_lineage(ids.select(F.col("vid").alias("node"), F.lit(1.0 / n).alias("x")))
+    # With a push table of checked size: broadcast it and keep the iterate
+    # hash-partitioned by node between rounds, so neither the inflow join
+    # nor the convergence test moves the iterate. Otherwise plain rounds.
+    small = _count(push) <= BROADCAST_EDGE_ROWS
+    store = _keep_partitioning if small else cut_lineage
+    if small:
+        push = F.broadcast(push)
+    x = store(ids.select(F.col("vid").alias("node"), F.lit(1.0 / n).alias("x"))
+              .repartition("node") if small else ids.select(F.col("vid").alias("node"), F.lit(1.0 / n).alias("x")))
     steps = iterations if iterations is not None else max_iter
     converged = False
     done = 0
@@ -297,7 +305,7 @@ def eigenvector_centrality(graph: DataFrame, nodes: DataFrame, n: int, max_iter:
         y = x.join(inflow, "node", "left").select("node", (base + F.coalesce(F.col("inflow"), F.lit(0.0))).alias("y"))
         norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm")) \
                 .select(F.when(F.col("norm") == 0, F.lit(1.0)).otherwise(F.col("norm")).alias("norm"))
-        x_next = cut_lineage(y.crossJoin(F.broadcast(norm)).select("node", (F.col("y") / F.col("norm")).alias("x")))
+        x_next = store(y.crossJoin(F.broadcast(norm)).select("node", (F.col("y") / F.col("norm")).alias("x")))
         if iterations is None:
             diff = (x_next.alias("a").join(x.alias("b"), "node")
                     .agg(F.sum(F.abs(F.col("a.x") - F.col("b.x"))).alias("d")).first()["d"])
