@@ -48,6 +48,27 @@ def dyad_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def dyad_substring_counts(edges: DataFrame) -> DataFrame:
+    """A2 (``match='substring'``): the reference counted the pattern ``s;r``
+    in the list of all ``S;R`` dyads, i.e. edges whose sender ends with ``s``
+    and whose receiver starts with ``r``. Exact, as two equi-joins: suffixes
+    of each distinct sender are matched against the senders, then prefixes
+    of the receiver against the receivers; no pair of dyads is compared.
+    """
+    d = dyad_counts(edges)
+    senders = d.select(F.col("sender").alias("s")).distinct()
+    receivers = d.select(F.col("receiver").alias("r")).distinct()
+    suffixes = d.select("receiver", "weight", F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("sender")), lambda i: F.substring(F.col("sender"), i, 1 << 16))).alias("s"))
+    by_sender = suffixes.join(senders, "s")
+    prefixes = by_sender.select("s", "weight", F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("receiver")), lambda j: F.substring(F.col("receiver"), 1, j))).alias("r"))
+    hits = prefixes.join(receivers, "r").groupBy("s", "r").agg(F.sum("weight").alias("weight"))
+    return (d.select(F.col("sender").alias("s"), F.col("receiver").alias("r"))
+             .join(hits, ["s", "r"])
+             .select(F.col("s").alias("sender"), F.col("r").alias("receiver"), F.col("weight").cast("long").alias("weight")))
+
+
 def edge_weights(edges: DataFrame) -> DataFrame:
     """A2 (occurrence form): every edge row carries the total of its dyad.
 

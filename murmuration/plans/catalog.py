@@ -1271,3 +1271,12 @@ def q_topic_sentiment(spark, sf):
     from murmuration.plans.topic_report import TopicParams, topic_report
     rep = topic_report(_posts(spark, sf), fx.lexicon(spark), TopicParams(given_user="@User7", days=30, as_of=O.AS_OF))
     return rep.sentiment
+
+
+@query("dyad_substring_counts", net_sql(
+    "SELECT a.sender, a.receiver, CAST(sum(b.n) AS BIGINT) AS weight FROM dy a JOIN dy b "
+    "ON suffix(b.sender, a.sender) AND starts_with(b.receiver, a.receiver) GROUP BY a.sender, a.receiver",
+    extra=[("dy", "SELECT sender, receiver, count(*) AS n FROM edges GROUP BY sender, receiver")]))
+def q_dyad_substring_counts(spark, sf):
+    """A2 in the reference's substring mode (a prefix handle also counts longer ones)."""
+    return G.dyad_substring_counts(_network_edges(spark, sf))

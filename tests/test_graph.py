@@ -221,3 +221,12 @@ def test_adaptive_and_copartitioned_paths_agree(spark, monkeypatch):
         x = {r[0]: r[1] for r in a.collect()}
         y = {r[0]: r[1] for r in b.collect()}
         assert x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-12 for k in x)
+
+
+def test_dyad_substring_mode_matches_regex_over_the_list(spark):
+    import re
+    edges = [("a", "user1"), ("a", "user12"), ("ba", "user1"), ("a", "user1"), ("xa", "user123"), ("b", "u")]
+    dyads = [s + ";" + r for s, r in edges]
+    expect = {(s, r): len(re.findall(s + ";" + r, str(dyads))) for s, r in edges}
+    got = {(r.sender, r.receiver): r.weight for r in G.dyad_substring_counts(frame(spark, edges)).collect()}
+    assert got == expect
