@@ -69,14 +69,21 @@ def dyad_substring_counts(edges: DataFrame) -> DataFrame:
              .select(F.col("s").alias("sender"), F.col("r").alias("receiver"), F.col("weight").cast("long").alias("weight")))
 
 
-def edge_weights(edges: DataFrame) -> DataFrame:
+def edge_weights(edges: DataFrame, match: str = "exact") -> DataFrame:
     """A2 (occurrence form): every edge row carries the total of its dyad.
 
     Aggregate first, then join back: a hot dyad is pre-aggregated before the
     shuffle and its join side is split by AQE's skew handling, whereas a
     window partitioned by the dyad would put all its rows into one task.
+    ``match='substring'`` uses the reference's over-counting rule.
     """
-    return edges.join(dyad_counts(edges), ["sender", "receiver"])
+    if match == "exact":
+        totals = dyad_counts(edges)
+    elif match == "substring":
+        totals = dyad_substring_counts(edges)
+    else:
+        raise ValueError(match)
+    return edges.join(totals, ["sender", "receiver"])
 
 
 def network_size(graph: DataFrame) -> DataFrame:
