@@ -707,10 +707,9 @@ def q_centrality(spark, sf):
     f"true AS allow_retweets, true AS repeated_contact, true AS remove_duplicates, false AS self_loops_allowed, "
     f"false AS user_activity FROM ({_SIZE_SQL}) s"))
 def q_network_summary(spark, sf):
+    from murmuration.plans.network import network_summary
     e = _network_edges(spark, sf)
-    from murmuration.plans.network import NetworkResult
-    res = NetworkResult(_params(), None, e, G.build_graph(e, True), None, None, True)
-    return rounded(res.summary())
+    return rounded(network_summary(G.build_graph(e, True), _params()))
 
 
 def _lcc_ctes() -> list[tuple]:
@@ -1254,10 +1253,10 @@ def q_append_run_history(spark, sf):
            ("se", "SELECT DISTINCT sender, receiver FROM edges WHERE sender <> receiver")]))
 def q_network_summary_simple(spark, sf):
     """G13 with repeated contact off: simple graph, transitivity reported."""
-    from murmuration.plans.network import NetworkResult
+    from murmuration.plans.network import network_summary
     e = _network_edges(spark, sf)
-    res = NetworkResult(_params(multi=False), None, e, G.build_graph(e, False), None, None, True)
-    return rounded(res.summary().select("nodes", "edges", "density_pct", "self_loops", "transitivity"))
+    return rounded(network_summary(G.build_graph(e, False), _params(multi=False))
+                   .select("nodes", "edges", "density_pct", "self_loops", "transitivity"))
 
 
 @query("topic_sentiment", with_fixtures(

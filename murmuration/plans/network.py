@@ -92,16 +92,7 @@ class NetworkResult:
         return pct.filter(F.col("node") == self.params.given).select(F.col("pct").alias("percentile"))
 
     def summary(self) -> DataFrame:
-        """Nodes, edges, density %, self-loops, transitivity (simple graph only), settings."""
-        size = G.network_size(self.graph)
-        p = self.params
-        if not p.multi:
-            size = size.crossJoin(G.transitivity(self.graph))
-        else:
-            size = size.withColumn("transitivity", F.lit(None).cast("double"))
-        return size.select("*", F.lit(p.allow_retweets).alias("allow_retweets"), F.lit(p.multi).alias("repeated_contact"),
-                           F.lit(p.remove_duplicates).alias("remove_duplicates"), F.lit(p.selfloop).alias("self_loops_allowed"),
-                           F.lit(p.get_user_activity).alias("user_activity"))
+        return network_summary(self.graph, self.params)
 
     def sentiment(self, lexicon: DataFrame, about_given: bool = False) -> DataFrame:
         c = self.corpus
@@ -110,6 +101,18 @@ class NetworkResult:
         return S.sentiment_summary(c, lexicon, self.params.remove_duplicates)
 
 
+def network_summary(graph: DataFrame, p: NetworkParams) -> DataFrame:
+    """Nodes, edges, density %, self-loops, transitivity (simple graph only), settings."""
+    size = G.network_size(graph)
+    if not p.multi:
+        size = size.crossJoin(G.transitivity(graph))
+    else:
+        size = size.withColumn("transitivity", F.lit(None).cast("double"))
+    return size.select("*", F.lit(p.allow_retweets).alias("allow_retweets"), F.lit(p.multi).alias("repeated_contact"),
+                       F.lit(p.remove_duplicates).alias("remove_duplicates"), F.lit(p.selfloop).alias("self_loops_allowed"),
+                       F.lit(p.get_user_activity).alias("user_activity"))
+
+
 def analyse_network(posts: DataFrame, dictionary: DataFrame, p: NetworkParams | None = None,
                     state_budget: int | None = None) -> NetworkResult:
     p = p or NetworkParams()
