@@ -1,8 +1,9 @@
 """Spark session helpers.
 
-Cluster settings come from the deployment (spark-defaults, spark-submit);
-``get_spark`` only fills in what is unset so that tests and the bench run
-with sane local values.
+``get_spark`` builds a session with the settings the engine is tuned for
+(AQE, skew joins, UTC) for tests, the bench and local use. On a cluster the
+deployment's own session is passed to the operators instead; the only
+setting read from it is the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
