@@ -104,8 +104,11 @@ def to_undirected(graph: DataFrame) -> DataFrame:
                         F.greatest("sender", "receiver").alias("b")).distinct()
 
 
-def transitivity(graph: DataFrame) -> DataFrame:
-    """Directed transitivity of the simple graph, one row.
+def transitivity(graph: DataFrame, directed: bool = True) -> DataFrame:
+    """Transitivity of the simple graph, one row.
+
+    ``directed=False`` gives the canonical undirected value,
+    3 x triangles / connected triples, on the graph without direction.
 
     sum over v, and w in succ(v), of |succ(v) & succ(w)| divided by
     sum over v of d(v)(d(v)-1), with succ() excluding the node itself.
@@ -136,6 +139,11 @@ def transitivity(graph: DataFrame) -> DataFrame:
     closing = oriented.select(F.col("lo").alias("q"), F.col("hi").alias("r"))
     closing2 = oriented.select(F.col("hi").alias("q"), F.col("lo").alias("r"))
     triangles = wedges.join(closing.unionByName(closing2), ["q", "r"])
+    if not directed:
+        tri_n = triangles.agg(F.count(F.lit(1)).alias("t"))
+        triples = deg.agg(F.sum(F.col("deg") * (F.col("deg") - 1) / 2).alias("c"))
+        value = F.when(F.coalesce(F.col("t"), F.lit(0)) == 0, F.lit(0.0)).otherwise(3 * F.col("t") / F.col("c"))
+        return tri_n.crossJoin(triples).select(value.cast("double").alias("transitivity"))
     # Count the ordered triples (v, w, x) of each triangle with v->w, v->x, w->x:
     # its six directed pairs are looked up in the edge table with one join,
     # and the pairs found are folded into a 6-bit mask per triangle.

@@ -1280,3 +1280,15 @@ def q_topic_sentiment(spark, sf):
 def q_dyad_substring_counts(spark, sf):
     """A2 in the reference's substring mode (a prefix handle also counts longer ones)."""
     return G.dyad_substring_counts(_network_edges(spark, sf))
+
+
+@query("transitivity_undirected", net_sql(
+    "SELECT round(CASE WHEN t = 0 THEN 0.0 ELSE 3.0 * t / c END, 6) AS transitivity FROM "
+    "(SELECT count(*) AS t FROM ue x JOIN ue y ON x.a = y.a AND x.b < y.b JOIN ue z ON z.a = x.b AND z.b = y.b) tt "
+    "CROSS JOIN (SELECT sum(d * (d - 1)) / 2.0 AS c FROM (SELECT n, count(*) AS d FROM "
+    "(SELECT a AS n FROM ue UNION ALL SELECT b FROM ue) w GROUP BY n) dd) cc",
+    extra=[("ue", "SELECT DISTINCT least(sender, receiver) AS a, greatest(sender, receiver) AS b FROM edges "
+                  "WHERE sender <> receiver")]))
+def q_transitivity_undirected(spark, sf):
+    """A7, canonical form: 3 x triangles / connected triples without direction."""
+    return rounded(G.transitivity(_network_edges(spark, sf), directed=False))

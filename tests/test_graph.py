@@ -230,3 +230,17 @@ def test_dyad_substring_mode_matches_regex_over_the_list(spark):
     expect = {(s, r): len(re.findall(s + ";" + r, str(dyads))) for s, r in edges}
     got = {(r.sender, r.receiver): r.weight for r in G.dyad_substring_counts(frame(spark, edges)).collect()}
     assert got == expect
+
+
+def test_undirected_transitivity_brute_force(spark):
+    from itertools import combinations
+    edges = random_edges(13, n=11, m=40)
+    und = {tuple(sorted(e)) for e in edges if e[0] != e[1]}
+    nb = {}
+    for a, b in und:
+        nb.setdefault(a, set()).add(b)
+        nb.setdefault(b, set()).add(a)
+    tri = sum(1 for a, b, c in combinations(sorted(nb), 3) if b in nb[a] and c in nb[a] and c in nb[b])
+    triples = sum(len(v) * (len(v) - 1) / 2 for v in nb.values())
+    got = G.transitivity(frame(spark, edges), directed=False).first()[0]
+    assert got == pytest.approx(3 * tri / triples if tri else 0.0, abs=1e-12)
