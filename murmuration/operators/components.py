@@ -46,8 +46,10 @@ def connected_components(graph: DataFrame, max_rounds: int = 64) -> DataFrame:
     e = cut_lineage(e)
     for _ in range(max_rounds):
         nxt = cut_lineage(_small_star(_large_star(e)))
-        changed = (nxt.join(e, ["u", "v"], "left_anti").limit(1).count() > 0
-                   or e.join(nxt, ["u", "v"], "left_anti").limit(1).count() > 0)
+        # one job: an edge present on one side only means the round changed something
+        probe = (nxt.withColumn("_n", F.lit(1)).join(e.withColumn("_o", F.lit(1)), ["u", "v"], "full_outer")
+                    .filter(F.col("_n").isNull() | F.col("_o").isNull()))
+        changed = probe.limit(1).count() > 0
         e = nxt
         if not changed:
             break
