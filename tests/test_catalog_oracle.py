@@ -19,6 +19,8 @@ SUBSET = ["topic_posts", "resolve_full_text", "extract_mentions", "clean_for_top
           "connected_components", "export_links", "words_and_bigrams", "suggested_topics", "compare_last_run",
           "read_id_list", "dictionary_stream"]
 
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
 NAMES = sorted(E.oracle_sql()) if os.environ.get("MURMURATION_FULL_ORACLE") else SUBSET
 
 
@@ -48,6 +50,10 @@ def test_query_matches_oracle(spark, duck, name):
     ocols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(ocols)
     assert canon(rows, cols) == canon(res.fetchall(), ocols)
+    # identical column types in both engines
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
+    assert spark_types == duck_types
 
 
 def test_every_query_has_an_oracle_or_is_listed():
