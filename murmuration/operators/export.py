@@ -9,6 +9,7 @@ from murmuration.functions.privacy import is_hidden
 from murmuration.operators.components import connected_components, largest_component
 from murmuration.operators.graph import dyad_counts, node_list
 from murmuration.operators.ranking import sequential_ids
+from murmuration.session import cut_lineage
 
 NODE_SIZE = 10
 
@@ -31,7 +32,8 @@ def export_graph(edges: DataFrame, given: str, weighted: bool = True) -> tuple[D
     pseudonymised names are blanked (P17); group 2 = hidden, 3 = given,
     1 = other (P16); value = repeats of the dyad, one row per edge (A2).
     """
-    kept = largest_component_edges(edges, given)
+    # read three times below (ids, weights, links): materialise once
+    kept = cut_lineage(largest_component_edges(edges, given))
     ids = sequential_ids(node_list(kept), given)
     hidden = is_hidden(F.col("node"))
     nodes = ids.select("id", F.when(hidden, F.lit(" ")).otherwise(F.col("node")).alias("name"),
