@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.functions import text as T
+from murmuration.session import cut_lineage
 
 
 def mention_edges(posts: DataFrame, selfloop: bool = False) -> DataFrame:
@@ -117,7 +118,8 @@ def transitivity(graph: DataFrame, directed: bool = True) -> DataFrame:
     (rank = degree, then name), which bounds the candidate pairs per node by
     sqrt(2m) instead of pairing all neighbours of a hub.
     """
-    e = simple_graph(graph).filter(F.col("sender") != F.col("receiver"))
+    # both are read several times below: materialise each once
+    e = cut_lineage(simple_graph(graph).filter(F.col("sender") != F.col("receiver")))
     out_deg = e.groupBy(F.col("sender").alias("v")).agg(F.count(F.lit(1)).alias("d"))
     denom = out_deg.agg(F.sum(F.col("d") * (F.col("d") - 1)).alias("denom"))
 
@@ -132,6 +134,7 @@ def transitivity(graph: DataFrame, directed: bool = True) -> DataFrame:
                              F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("hi"),
                              F.when(a_first, F.struct(F.col("db").alias("d"), F.col("b").alias("n")))
                               .otherwise(F.struct(F.col("da").alias("d"), F.col("a").alias("n"))).alias("hi_rank"))
+    oriented = cut_lineage(oriented)
     x = oriented.alias("x")
     y = oriented.alias("y")
     wedges = (x.join(y, (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi_rank") < F.col("y.hi_rank")))
