@@ -38,6 +38,7 @@ def connected_components(graph: DataFrame, max_rounds: int = 64) -> DataFrame:
     of a component is also its smallest handle.
     """
     from murmuration.operators.centrality import dense_ids, id_graph
+    graph = cut_lineage(graph.select("sender", "receiver"))   # read four times below
     nodes = node_list(graph)
     ids = dense_ids(nodes)
     g = id_graph(graph.select("sender", "receiver"), ids)
