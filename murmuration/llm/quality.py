@@ -31,7 +31,7 @@ RULES = (
     ("symbol_ratio", "n_symbols", "n_words", None, 10),
     ("alphabetic_words", "n_alpha_words", "n_words", 80, None),
     ("stop_words", "n_stop_words", "n_words", 2, None),
-    ("duplicate_lines", "n_dup_lines", "n_lines", None, 30),
+    ("duplicate_lines", "n_dup_lines", "n_lines", None, 50),
     ("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 30),
     ("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
     ("exclamations", "n_shouts", "n_words", None, 20),
