@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import quality, tokens
+from murmuration.llm import langid, quality, tokens, toxicity
 from murmuration.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -29,3 +29,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op2(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_register("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op8(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op10(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
