@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +72,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application).
+
+    The zip is served to the executors by Spark, as with ``--py-files``, so
+    functions of the package can be named in a task whatever folder or path
+    the workers were started with.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_murmuration_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="murmuration-"), "murmuration.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, n)
+                z.write(path, os.path.join(os.path.basename(root), os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._murmuration_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the reliable checkpoint folder.
 
