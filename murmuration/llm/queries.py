@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import langid, quality, tokens, toxicity
+from murmuration.llm import decontam, langid, quality, tokens, toxicity
 from murmuration.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -39,3 +39,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@_register("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op4(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
