@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import decontam, langid, quality, tokens, toxicity
+from murmuration.llm import decontam, fixity, langid, mixing, quality, tokens, toxicity
 from murmuration.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -44,3 +44,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op4(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@_register("op6_weighted_mixing", mixing.OP6_SQL)
+def op6_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op6(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op7_merkle_fixity", fixity.OP7_SQL)
+def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.op7(read_table(spark, sf_dir, "pages"))
