@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import decontam, fixity, langid, mixing, quality, tokens, toxicity
+from murmuration.llm import decontam, fixity, langid, mixing, neardup, quality, tokens, toxicity
 from murmuration.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -54,3 +54,8 @@ def op6_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op7_merkle_fixity", fixity.OP7_SQL)
 def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.op7(read_table(spark, sf_dir, "pages"))
+
+
+@_register("op9_near_duplicates")
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op9(read_table(spark, sf_dir, "documents"))
