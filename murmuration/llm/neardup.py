@@ -9,16 +9,9 @@ components.
 Lists are keyed by runs of RUN neighbouring retained values (of the first
 PREFIX), which nodes of Jaccard 0.8 share with probability above 0.9999; sets
 of up to 41 shingles also use the single values of their prefix, which
-similar sets are certain to share. Work in a list of any size stays bounded:
-
-1. every node is compared with the smallest node of its lists (a star);
-   copies of one text meet here, however many they are;
-2. lists that still hold nodes of several components compare the nodes of
-   different components: all pairs in lists of up to SMALL nodes; the nodes
-   of larger lists (a passage that many documents share) are dealt anew by
-   bands of min-hashes over their sketches, which separates different texts,
-   and what remains is compared in rounds until no list holds two
-   components that were not compared.
+similar sets are certain to share. ``lists.py`` keeps the work bounded in a
+list of any size; nodes of large lists are dealt anew by bands of min-hashes
+over their sketches.
 
 Defined results: null texts and texts without words have an empty set, link
 with nothing and stand alone; repeated rows share a component; a null id is
@@ -34,14 +27,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import SPACE_TABLE, Words, map_texts, mix, unused
-from murmuration.llm.graph import components
+from murmuration.llm.common import SPACE_TABLE, Words, map_texts, mix
+from murmuration.llm.lists import ListSearch
 from murmuration.session import cut_lineage
 
 SKETCH = 64        # retained hashes
 PREFIX = 32        # of which the smallest are used for lists
 RUN = 3            # neighbouring values of a list key
-SMALL = 32         # nodes of a list whose pairs are all compared at once
 BAND_ROWS = 8      # min-hashes of a band for large lists
 BANDS = 64
 SLACK = 0.2        # the estimate may be this much below the threshold (4 standard deviations)
@@ -139,21 +131,14 @@ def band_keys(hot: DataFrame) -> DataFrame:
     return hot.select("node", "sketch").mapInArrow(run, "key long, node binary")
 
 
-def _members(keyed: DataFrame) -> DataFrame:
-    """(key, node, rep, size) of the lists with two nodes at least."""
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).filter("size > 1")
-    return keyed.join(sizes, "key")
-
-
-class _Search:
+class _Search(ListSearch):
     """Candidate pairs of one table of nodes, compared and linked."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int, text: str):
         self.docs, self.nodes, self.k, self.percent, self.text = docs, nodes, k, percent, text
-        self.links = None
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Adds the links among ``pairs`` (u, v): sizes, then sketches, then whole sets."""
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (u, v): sizes, then sketches, then whole sets."""
         t = self.percent / 100
         a = self.nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"), F.col("h").alias("hu"))
         b = self.nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"), F.col("h").alias("hv"))
@@ -168,50 +153,10 @@ class _Search:
                     .join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v"))
         inter = F.size(F.array_intersect("gu", "gv")).cast("long")
         found = full.withColumn("i", inter).filter(F.col("i") * 100 >= (F.col("nu") + F.col("nv") - F.col("i")) * self.percent).select("u", "v")
-        found = cut_lineage(found)
-        self.links = found if self.links is None else cut_lineage(self.links.unionByName(found))
-
-    def open_lists(self, members: DataFrame) -> DataFrame:
-        """(key, node, size, part) of the lists that hold several components (part)."""
-        label = components(self.links)
-        m = members.select("key", "node", "size").join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
-        several = m.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter(F.col("a") != F.col("b")).select("key")
-        return cut_lineage(m.join(several, "key", "left_semi"))
-
-    @staticmethod
-    def across(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Distinct pairs of a list that lie in different components."""
-        x = left.select("key", F.col("node").alias("u"), F.col("part").alias("pu"))
-        y = right.select("key", F.col("node").alias("v"), F.col("part").alias("pv"))
-        return (x.join(y, "key").filter((F.col("pu") != F.col("pv")) & (F.col("u") != F.col("v")))
-                 .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-
-    def run(self) -> DataFrame:
-        keyed = self.nodes.select("node", F.explode(list_keys(self.percent)).alias("key"))
-        members = cut_lineage(_members(keyed))
-        self.compare(members.filter(F.col("node") != F.col("rep")).select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct())
-        left = self.open_lists(members)
-        small = left.filter(F.col("size") <= SMALL)
-        self.compare(self.across(small, small))
-        left = self.open_lists(left.filter(F.col("size") > SMALL))
-        hot = left.select("node").distinct().join(self.nodes.select("node", "sketch"), "node")
-        dealt = cut_lineage(_members(band_keys(hot)))
-        largest = dealt.agg(F.max("size")).first()[0] or 0
-        if largest:
-            self.compare(dealt.filter(F.col("node") != F.col("rep")).select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct())
-            left = self.open_lists(dealt)
-            largest = left.agg(F.max("size")).first()[0] or 0
-        rounds = -(-largest // SMALL)
-        turn = 0
-        while largest:     # each node of a list takes its turn; merged lists drop out
-            mine = left.filter(F.pmod(F.xxhash64("node"), F.lit(rounds)) == turn)
-            self.compare(self.across(mine, left))
-            turn += 1
-            if turn == rounds:
-                break
-            left = self.open_lists(left)
-            largest = left.agg(F.max("size")).first()[0] or 0
-        return components(self.links)
+        return cut_lineage(found)
+
+    def deal(self, hot: DataFrame) -> DataFrame:
+        return band_keys(hot.join(self.nodes.select("node", "sketch"), "node"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,7 +165,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows = cut_lineage(sketches(docs, k, id_col, text))
     nodes = cut_lineage(rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("h").alias("h"), F.max("n").alias("n"), F.first("sketch").alias("sketch")))
-    label = _Search(docs, nodes, k, percent, text).run()
+    keyed = nodes.select("node", F.explode(list_keys(percent)).alias("key"))
+    label = _Search(docs, nodes, k, percent, text).run(keyed)
     return (rows.select(F.col("id").cast(key).alias(id_col), "h", F.col("n").alias("n_shingles"), "node").join(label, "node", "left")
                 .withColumn("part", F.coalesce("label", "node")).drop("label"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import decontam, fixity, langid, mixing, neardup, quality, tokens, toxicity
+from murmuration.llm import decontam, fixity, langid, linededup, mixing, neardup, quality, tokens, toxicity
 from murmuration.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -59,3 +59,8 @@ def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op9_near_duplicates")
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op9(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.op5(read_table(spark, sf_dir, "documents"))
