@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import decontam, fixity, langid, linededup, mixing, neardup, quality, tokens, toxicity
+from murmuration.llm import decontam, fixity, langid, linededup, lm, mixing, neardup, quality, tokens, toxicity
 from murmuration.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -64,3 +64,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op5(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op1(read_table(spark, sf_dir, "documents"))
