@@ -3,11 +3,11 @@
 1. Every node is compared with the smallest node of its lists (a star);
    copies of one text meet here, however many they are.
 2. Lists that still hold nodes of several components compare the nodes of
-   different components: all pairs in lists of up to SMALL nodes; the nodes
-   of larger lists (a passage that many texts share) are dealt anew by more
-   selective keys, which separates different texts, and what remains is
-   compared in rounds until no list holds two components that were not
-   compared. Nothing is capped.
+   different components, in lists of up to SMALL nodes by a join.
+3. The nodes of larger lists (a passage that many texts share) are dealt anew
+   by more selective keys, which separates different texts; what remains is
+   compared in rounds of bounded size until no list holds two components
+   that were not compared. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from murmuration.llm.graph import components
 from murmuration.session import cut_lineage
 
-SMALL = 32         # nodes of a list whose pairs are all compared at once
+SMALL = 32                 # nodes of a list whose pairs are all compared at once
+ROUND_PAIRS = 4_000_000    # pairs a round may look at, about
 
 
 class ListSearch:
@@ -26,6 +27,9 @@ class ListSearch:
 
     links: DataFrame | None = None
 
+    def prepare(self, members: DataFrame) -> None:
+        """Called with the lists (key, node, rep, size) before their nodes are compared."""
+
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The links (u, v) among candidate ``pairs`` (u, v), materialised."""
         raise NotImplementedError
@@ -42,6 +46,7 @@ class ListSearch:
         """Compares every node with the smallest of its lists; returns the lists of two nodes at least."""
         sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).filter("size > 1")
         members = cut_lineage(keyed.join(sizes, "key"))
+        self.prepare(members)
         self._link(members.filter(F.col("node") != F.col("rep")).select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct())
         return members
 
@@ -60,23 +65,28 @@ class ListSearch:
         return (x.join(y, "key").filter((F.col("pu") != F.col("pv")) & (F.col("u") != F.col("v")))
                  .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
+    def between(self, left: DataFrame) -> DataFrame:
+        """Candidate pairs (u, v) of open lists (key, node, size, part) that need no dealing."""
+        small = left.filter(F.col("size") <= SMALL)
+        return self._across(small, small)
+
+    bound = SMALL    # largest list that ``between`` handles
+
     def run(self, keyed: DataFrame) -> DataFrame:
         """(node, label) of all linked nodes, from (key, node) lists without repeats."""
         left = self._open(self._star(keyed))
-        small = left.filter(F.col("size") <= SMALL)
-        if not small.isEmpty():
-            self._link(self._across(small, small))
-        large = left.filter(F.col("size") > SMALL)
+        self._link(self.between(left))
+        large = left.filter(F.col("size") > self.bound)
         if not large.isEmpty():
             large = self._open(large)
             left = self._open(self._star(cut_lineage(self.deal(large.select("node").distinct()))))
-            rounds = turn = 0
-            while (largest := left.agg(F.max("size")).first()[0]) is not None:
-                rounds = rounds or -(-largest // SMALL)
-                if turn == rounds:
-                    break
-                # each node of a list takes its turn; merged lists drop out
+            self._link(self.between(left))
+            left = self._open(left.filter(F.col("size") > self.bound))
+            sizes = left.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("s"))
+            pairs = sizes.agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0
+            rounds = int(-(-pairs // ROUND_PAIRS))
+            for turn in range(rounds):    # each node of a list takes its turn; merged lists drop out
                 self._link(self._across(left.filter(F.pmod(F.xxhash64("node"), F.lit(rounds)) == turn), left))
-                turn += 1
-                left = self._open(left)
+                if turn + 1 < rounds:
+                    left = self._open(left)
         return components(self.links)

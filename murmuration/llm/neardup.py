@@ -24,11 +24,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import SPACE_TABLE, Words, map_texts, mix
-from murmuration.llm.lists import ListSearch
+from murmuration.llm.common import SPACE_TABLE, Words, map_texts, mix, unused
+from murmuration.llm.lists import SMALL, ListSearch
 from murmuration.session import cut_lineage
 
 SKETCH = 64        # retained hashes
@@ -83,6 +84,30 @@ def sketches(docs: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
     return map_texts(rows, fn, {"id": "string", "h": "long", "node": "binary", "n": "long", "sketch": "array<long>"})
 
 
+def similar_pairs(sketches: list[np.ndarray], part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in different parts that share enough retained values for a Jaccard estimate of ``least``.
+
+    Shared values are counted by one matrix product of the nodes outside the
+    largest part with all nodes.
+    """
+    size = np.array([len(s) for s in sketches])
+    row = np.repeat(np.arange(len(size)), size)
+    _, value, n = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    on = n[value] > 1
+    row, value = row[on], np.cumsum(n > 1)[value[on]] - 1
+    _, code, members = np.unique(part, return_inverse=True, return_counts=True)
+    other = np.flatnonzero(code != members.argmax())
+    shared = np.zeros((len(other), len(size)), np.float32)
+    width = 4096
+    for lo in range(0, int((n > 1).sum()), width):    # columns in blocks: bounded memory
+        x = np.zeros((len(size), width), np.float32)
+        at = (value >= lo) & (value < lo + width)
+        x[row[at], value[at] - lo] = 1
+        shared += x[other] @ x.T
+    i, j = np.nonzero((shared >= least * np.maximum(size[other][:, None], size[None])) & (code[other][:, None] != code[None]))
+    return other[i], j
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
     """(node, grams): the whole sets of the nodes in ``wanted`` (node, h), from one text of each."""
     def fn(rows, texts, _):
@@ -90,7 +115,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFram
         return [[_node(s) for s in sets], [s.view(np.int64) for s in sets]]
 
     texts = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
-    one = texts.join(wanted.select("h"), "h", "left_semi").dropDuplicates(["h"])
+    one = texts.join(wanted.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
     return map_texts(one, fn, {"node": "binary", "grams": "array<long>"}).dropDuplicates(["node"])
 
 
@@ -134,27 +159,47 @@ def band_keys(hot: DataFrame) -> DataFrame:
 class _Search(ListSearch):
     """Candidate pairs of one table of nodes, compared and linked."""
 
+    bound = 1024     # nodes of a list whose sketches one task compares (0.5 MB)
+
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int, text: str):
         self.docs, self.nodes, self.k, self.percent, self.text = docs, nodes, k, percent, text
+        self.sets = None
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (u, v): sizes, then sketches, then whole sets."""
         t = self.percent / 100
-        a = self.nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"), F.col("h").alias("hu"))
-        b = self.nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"), F.col("h").alias("hv"))
+        a = self.nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+        b = self.nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
         near = pairs.join(a, "u").join(b, "v").filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * self.percent)
         both = F.slice(F.sort_array(F.array_union("su", "sv")), 1, SKETCH)   # bottom-k of the union
         near = near.withColumn("both", both).withColumn("shared", F.size(F.array_intersect("both", F.array_intersect("su", "sv"))))
-        near = near.filter(F.col("shared") >= F.size("both") * (t - SLACK)).select("u", "v", "nu", "nv", "hu", "hv")
-        near = cut_lineage(near)
-        wanted = near.select(F.col("u").alias("node"), F.col("hu").alias("h")).unionByName(near.select(F.col("v").alias("node"), F.col("hv").alias("h"))).distinct()
-        sets = cut_lineage(full_sets(self.docs, wanted, self.k, self.text))
-        full = (near.select("u", "v", "nu", "nv").join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u")
-                    .join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v"))
+        near = near.filter(F.col("shared") >= F.size("both") * (t - SLACK)).select("u", "v", "nu", "nv")
+        full = (near.join(self.sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u")
+                    .join(self.sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v"))
         inter = F.size(F.array_intersect("gu", "gv")).cast("long")
         found = full.withColumn("i", inter).filter(F.col("i") * 100 >= (F.col("nu") + F.col("nv") - F.col("i")) * self.percent).select("u", "v")
         return cut_lineage(found)
 
+    def prepare(self, members: DataFrame) -> None:
+        """Whole sets of all nodes that share a list, made once."""
+        wanted = members.select("node").distinct().join(self.nodes.select("node", "h"), "node")
+        self.sets = cut_lineage(full_sets(self.docs, wanted, self.k, self.text)) if self.sets is None else self.sets
+
+    def between(self, left: DataFrame) -> DataFrame:
+        """Small lists by a join; lists of up to ``bound`` nodes by their sketches, each in one task."""
+        pairs = super().between(left)
+        middle = left.filter((F.col("size") > SMALL) & (F.col("size") <= self.bound))
+        least = self.percent / 100 - SLACK
+
+        def search(group):
+            nodes = group["node"].tolist()
+            i, j = similar_pairs([np.asarray(s, np.int64) for s in group["sketch"]], group["part"].to_numpy(), least)
+            pairs = sorted({(min(nodes[a], nodes[b]), max(nodes[a], nodes[b])) for a, b in zip(i.tolist(), j.tolist())})
+            return pd.DataFrame({"u": [p[0] for p in pairs], "v": [p[1] for p in pairs]}, dtype=object)
+
+        found = middle.join(self.nodes.select("node", "sketch"), "node").groupBy("key").applyInPandas(search, "u binary, v binary")
+        return pairs.unionByName(found).distinct()
+
     def deal(self, hot: DataFrame) -> DataFrame:
         return band_keys(hot.join(self.nodes.select("node", "sketch"), "node"))
 
@@ -181,3 +226,20 @@ def component_ids(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 def op9(docs: DataFrame) -> DataFrame:
     got = component_ids(docs, 4, 80)
     return got.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component (the smallest id; ties by text hash), columns unchanged.
+
+    Documents without words all stay. Repeated rows of one id and text are
+    one document and leave one row.
+    """
+    rows = near_duplicates(docs, k, percent, id_col, text).select(F.col(id_col).alias("id"), "h", "part")
+    rows = cut_lineage(rows)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    stays = rows.filter("part IS NOT NULL").groupBy("part").agg(F.min(place).alias("p")).select("p.id", "p.h")
+    stays = stays.unionByName(rows.filter("part IS NULL").select("id", "h")).distinct().alias("_s")
+    mark = unused("_h", docs.columns)
+    own = docs.withColumn(mark, F.xxhash64(F.col(text))).alias("_d")
+    kept = own.join(stays, F.col(f"_d.`{id_col}`").eqNullSafe(F.col("_s.id")) & (F.col(f"_d.{mark}") == F.col("_s.h")), "left_semi")
+    return kept.dropDuplicates([id_col, mark]).drop(mark)
