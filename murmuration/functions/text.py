@@ -99,6 +99,7 @@ def truncate_score(x: Column | str) -> Column:
 def sentiment_label(score: Column | str) -> Column:
     """Seven English bands."""
     s = _c(score)
+    # fixed values: the bands
     return (F.when(s <= -0.5, "very negative").when(s <= -0.3, "negative")
              .when(s <= -0.1, "slightly negative").when(s < 0.1, "neutral")
              .when(s < 0.3, "slightly positive").when(s < 0.5, "positive")
@@ -108,7 +109,7 @@ def sentiment_label(score: Column | str) -> Column:
 def capitalise(c: Column | str) -> Column:
     """First character upper, rest lower (not ``initcap``)."""
     s = _c(c)
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(s.substr(F.lit(2), F.length(s))))
 
 
 def usage_message(rank: Column | str, tag: Column | str, n: Column | str) -> Column:

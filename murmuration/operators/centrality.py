@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.operators.graph import node_list, simple_graph
@@ -34,6 +34,11 @@ def state_budget_of(spark, given: int | None = None) -> int:
     return int(spark.conf.get(STATE_BUDGET_CONF, str(DEFAULT_STATE_BUDGET)))
 
 
+def significant(x: Column, digits: int) -> Column:
+    """``x`` with its first ``digits`` significant digits, at any magnitude."""
+    return F.format_string(f"%.{digits - 1}e", x).cast("double")
+
+
 def _count(df: DataFrame) -> int:
     return int(df.count())
 
@@ -228,35 +233,38 @@ def path_centralities(graph: DataFrame, nodes: DataFrame, n: int, want_betweenne
     bfs, backward = (_bfs_copartitioned, _backward_copartitioned) if small else (_bfs, _backward)
     per_batch = max(1, state_budget // max(n, 1))
     batches = max(1, math.ceil(n_sources / per_batch))
-    reach_parts, dep_parts = [], []
+    # one accumulator per metric, brought up to date after each batch: the
+    # levels of a batch are not referenced once its sums are added
+    reach_sum, dep_sum = None, None
+
+    def added(total, parts, sums):
+        for p in parts:
+            total = p if total is None else total.unionByName(p)
+        if total is None:
+            return None
+        return cut_lineage(total.groupBy("node").agg(*[F.sum(c).alias(c) for c in sums]))
+
     for b in range(batches):
         batch = sources if batches == 1 else sources.filter(
             F.pmod(F.xxhash64("node"), F.lit(batches)) == b)
         levels = bfs(adj, batch)
-        for d, lv in enumerate(levels[1:], start=1):
-            reach_parts.append(lv.groupBy("node").agg(F.count(F.lit(1)).alias("r"),
-                                                      F.sum(F.lit(d)).alias("s")))
+        reach_sum = added(reach_sum, [lv.groupBy("node").agg(F.count(F.lit(1)).alias("r"), F.sum(F.lit(d)).alias("s"))
+                                      for d, lv in enumerate(levels[1:], start=1)], ("r", "s"))
         if want_betweenness and len(levels) > 1:
-            dep_parts.append(backward(adj, levels).groupBy("node").agg(F.sum("delta").alias("dep")))
+            dep_sum = added(dep_sum, [backward(adj, levels).groupBy("node").agg(F.sum("delta").alias("dep"))], ("dep",))
 
-    def union(parts, schema):
-        if not parts:
-            return nodes.sparkSession.createDataFrame([], schema)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def total(table, schema):
+        return nodes.sparkSession.createDataFrame([], schema) if table is None else table
 
     back = ids.select(F.col("vid").alias("node"), F.col("node").alias("handle"))
-    reach = (union(reach_parts, "node long, r long, s long").groupBy("node").agg(
-        F.sum("r").alias("r"), F.sum("s").alias("s")).join(back, "node")
+    reach = (total(reach_sum, "node long, r long, s long").join(back, "node")
         .select(F.col("handle").alias("node"), "r", "s"))
     r, s = F.col("r").cast("double"), F.col("s").cast("double")
     close = F.when((F.coalesce(s, F.lit(0.0)) > 0) & F.lit(n > 1), (r / s) * (r / F.lit(float(max(n - 1, 1))))) \
              .otherwise(F.lit(0.0))
     closeness = nodes.join(reach, "node", "left").select("node", close.alias("closeness"))
-    dep = (union(dep_parts, "node long, dep double").groupBy("node").agg(F.sum("dep").alias("dep"))
-           .join(back, "node").select(F.col("handle").alias("node"), "dep"))
+    dep = (total(dep_sum, "node long, dep double").join(back, "node")
+           .select(F.col("handle").alias("node"), "dep"))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     betweenness = nodes.join(dep, "node", "left").select(
         "node", (F.coalesce(F.col("dep"), F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
@@ -323,12 +331,13 @@ def eigenvector_centrality(graph: DataFrame, nodes: DataFrame, n: int, max_iter:
 
 
 def centrality_table(graph: DataFrame, eigen_graph: DataFrame | None = None,
-                     state_budget: int | None = None, precision: int | None = 9,
+                     state_budget: int | None = None, digits: int | None = 10,
                      **eigen_kwargs) -> tuple[DataFrame, Eigen]:
     """Node, degree, in_degree, out_degree, closeness, betweenness, eigenvector.
 
     ``graph`` is the multigraph (degree counts repeats); paths and the
-    eigenvector use its simple form (or ``eigen_graph`` if given).
+    eigenvector use its simple form (or ``eigen_graph`` if given). ``digits``
+    leading digits of the two summed metrics are kept (None: all).
     """
     nodes = cut_lineage(node_list(graph))
     n = _count(nodes)
@@ -341,7 +350,9 @@ def centrality_table(graph: DataFrame, eigen_graph: DataFrame | None = None,
         eig = eigenvector_centrality(graph, nodes, n, prepared=prepared, **eigen_kwargs)
     table = (deg.join(paths.closeness, "node").join(paths.betweenness, "node")
                 .join(eig.scores, "node"))
-    if precision is not None:
-        # equal scores must compare equal whatever the summation order was
-        table = table.select("node", *[F.round(c, precision).alias(c) for c in METRICS])
+    if digits is not None:
+        # sums of doubles depend on their order: keep the leading digits only, so that
+        # equal scores compare equal, however small they are (degree and closeness are
+        # computed from whole numbers and need no rounding)
+        table = table.withColumns({c: significant(F.col(c), digits) for c in ("betweenness", "eigenvector")})
     return table, eig

@@ -31,7 +31,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(graph: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(graph: DataFrame) -> DataFrame:
     """(node, component) with component = smallest handle of the component.
 
     Rounds run on dense long ids assigned in handle order, so the smallest id
@@ -45,17 +45,14 @@ def connected_components(graph: DataFrame, max_rounds: int = 64) -> DataFrame:
     e = g.filter(F.col("sender") != F.col("receiver")).select(
         F.greatest("sender", "receiver").alias("u"), F.least("sender", "receiver").alias("v")).distinct()
     e = cut_lineage(e)
-    for _ in range(max_rounds):
+    changed = True
+    while changed:
         nxt = cut_lineage(_small_star(_large_star(e)))
         # one job: an edge present on one side only means the round changed something
         probe = (nxt.withColumn("_n", F.lit(1)).join(e.withColumn("_o", F.lit(1)), ["u", "v"], "full_outer")
                     .filter(F.col("_n").isNull() | F.col("_o").isNull()))
         changed = probe.limit(1).count() > 0
         e = nxt
-        if not changed:
-            break
-    else:
-        raise RuntimeError("connected components did not converge")
     label = (ids.join(e.withColumnRenamed("u", "vid"), "vid", "left")
                 .select("node", F.coalesce(F.col("v"), F.col("vid")).alias("lbl")))
     names = ids.select(F.col("vid").alias("lbl"), F.col("node").alias("component"))

@@ -60,7 +60,7 @@ def dyad_substring_counts(edges: DataFrame) -> DataFrame:
     senders = d.select(F.col("sender").alias("s")).distinct()
     receivers = d.select(F.col("receiver").alias("r")).distinct()
     suffixes = d.select("receiver", "weight", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("sender")), lambda i: F.substring(F.col("sender"), i, 1 << 16))).alias("s"))
+        F.sequence(F.lit(1), F.length("sender")), lambda i: F.col("sender").substr(i, F.length("sender")))).alias("s"))
     by_sender = suffixes.join(senders, "s")
     prefixes = by_sender.select("s", "weight", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("receiver")), lambda j: F.substring(F.col("receiver"), 1, j))).alias("r"))

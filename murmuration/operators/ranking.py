@@ -12,16 +12,17 @@ from murmuration.session import cut_lineage
 RANK_ORDER = ("degree", "closeness", "eigenvector")
 
 
-def combined_score(table: DataFrame, score: str = "sum", precision: int | None = 9) -> DataFrame:
+def combined_score(table: DataFrame, score: str = "sum") -> DataFrame:
     """The reference's missing ``Combined_cent``: degree + closeness + eigenvector
-    (``sum``) or the eigenvector alone (``eigenvector``)."""
+    (``sum``) or the eigenvector alone (``eigenvector``); never rounded to
+    fixed places, which would tie the small scores of a large graph."""
     if score == "sum":
         expr = F.col("degree") + F.col("closeness") + F.col("eigenvector")
     elif score == "eigenvector":
         expr = F.col("eigenvector")
     else:
         raise ValueError(score)
-    return table.withColumn("score", F.round(expr, precision) if precision is not None else expr)
+    return table.withColumn("score", expr)
 
 
 def rank_order(handle: str = "node") -> list[Column]:
@@ -44,18 +45,27 @@ def percentile_rank(df: DataFrame, score: str = "score", name: str = "pct") -> D
     return df.join(values, score)
 
 
+def _given(table: DataFrame, given: str, handle: str, *extra: Column) -> DataFrame:
+    """The given account's row as g_* columns: one row at most, safe to broadcast."""
+    return table.filter(F.col(handle) == given).select(*extra, *[F.col(c).alias(f"g_{c}") for c in RANK_ORDER + (handle,)]).limit(1)
+
+
+def _ranked_before(handle: str) -> Column:
+    """Is a row ahead of the given account (g_* columns) in rank order?"""
+    keys = RANK_ORDER + (handle,)
+    before = F.lit(False)
+    for c in reversed(keys):
+        ahead = F.col(c) < F.col(f"g_{c}") if c == handle else F.col(c) > F.col(f"g_{c}")
+        before = ahead | ((F.col(c) == F.col(f"g_{c}")) & before)
+    return before
+
+
 def account_position(table: DataFrame, given: str, handle: str = "node") -> DataFrame:
     """0-based position of the given account in rank order (one row, NULL if absent)."""
-    g = table.filter(F.col(handle) == given).select(*[F.col(c).alias(f"g_{c}") for c in RANK_ORDER + (handle,)])
-    before = None
-    for i, c in enumerate(RANK_ORDER + (handle,)):
-        cmp = (F.col(c) > F.col(f"g_{c}")) if c != handle else (F.col(c) < F.col(f"g_{c}"))
-        for prev in (RANK_ORDER + (handle,))[:i]:
-            cmp = cmp & (F.col(prev) == F.col(f"g_{prev}"))
-        before = cmp if before is None else (before | cmp)
-    return (g.join(table, before, "left")
-             .groupBy(F.col(f"g_{handle}").alias(handle))
-             .agg(F.count(F.col(handle)).cast("long").alias("position")))
+    return (table.crossJoin(F.broadcast(_given(table, given, handle)))
+                 .groupBy(F.col(f"g_{handle}").alias("_g"))
+                 .agg(F.count_if(_ranked_before(handle)).cast("long").alias("position"))
+                 .withColumnRenamed("_g", handle).select(handle, "position"))
 
 
 def sequential_ids(nodes: DataFrame, given: str, handle: str = "node") -> DataFrame:
@@ -77,16 +87,11 @@ def influence_report(table: DataFrame, given: str, gain: float = 500.0, seed: st
     order = rank_order(handle)
     ranked = percentile_rank(table, "score", "pct").withColumn("visible", ~is_hidden(F.col(handle)) & (F.col(handle) != given))
     ranked = cut_lineage(ranked)
-    g = ranked.filter(F.col(handle) == given).select(F.col("pct").alias("g_pct"), *[F.col(c).alias(f"g_{c}") for c in RANK_ORDER + (handle,)])
-    # number of visible accounts ranked before the given one
-    before = None
-    for i, c in enumerate(RANK_ORDER + (handle,)):
-        cmp = (F.col(c) > F.col(f"g_{c}")) if c != handle else (F.col(c) < F.col(f"g_{c}"))
-        for prev in (RANK_ORDER + (handle,))[:i]:
-            cmp = cmp & (F.col(prev) == F.col(f"g_{prev}"))
-        before = cmp if before is None else (before | cmp)
     vis = ranked.filter("visible")
-    g_info = (g.join(vis, before, "left").groupBy("g_pct").agg(F.count(F.col(handle)).alias("g_before")))
+    # number of visible accounts ranked before the given one: one pass, then one row
+    g_info = cut_lineage(
+        ranked.crossJoin(F.broadcast(_given(ranked, given, handle, F.col("pct").alias("g_pct"))))
+              .groupBy("g_pct").agg(F.count_if(F.col("visible") & _ranked_before(handle)).alias("g_before")))
     n_top = F.when(F.col("g_before") <= top - 1, F.lit(top - 1)).otherwise(F.lit(top))
     # the first `top` visible rows, distributed top-k
     top_rows = vis.orderBy(*order).limit(top)

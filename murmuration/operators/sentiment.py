@@ -17,27 +17,25 @@ from murmuration.functions import text as T
 from murmuration.session import cut_lineage
 
 NEGATION = -0.5
-LEXICON_BROADCAST_ROWS = 1_000_000   # a lexicon above this is shuffle-joined
 
 
-def _lex(lexicon: DataFrame, kind: str, prefix: str, broadcast: bool) -> DataFrame:
-    out = lexicon.filter(F.col("kind") == kind).select(
+def _lex(lexicon: DataFrame, kind: str, prefix: str) -> DataFrame:
+    """One kind of lexicon entries; the planner broadcasts it when its size allows."""
+    return lexicon.filter(F.col("kind") == kind).select(
         F.col("token").alias(f"{prefix}_tok"), F.col("weight").alias(f"{prefix}_w"))
-    return F.broadcast(out) if broadcast else out
 
 
 def polarity(corpus: DataFrame, lexicon: DataFrame, id_col: str = "post_id",
              text_col: str = "clean") -> DataFrame:
     """(id, polarity) for every row of ``corpus``."""
-    small = lexicon.count() <= LEXICON_BROADCAST_ROWS
     words = corpus.select(id_col, F.regexp_extract_all(F.col(text_col), F.lit("[a-z]+"), 0).alias("_t"))
     tok = words.select(id_col, "_t", F.posexplode("_t").alias("_p", "tok"))
     tok = tok.select(id_col, "tok", F.get("_t", F.col("_p") - 1).alias("prev1"),
                      F.get("_t", F.col("_p") - 2).alias("prev2"))
-    scored = (tok.join(_lex(lexicon, "word", "w", small), F.col("tok") == F.col("w_tok"))
-                 .join(_lex(lexicon, "intensifier", "i", small), F.col("prev1") == F.col("i_tok"), "left")
-                 .join(_lex(lexicon, "negator", "n1", small), F.col("prev1") == F.col("n1_tok"), "left")
-                 .join(_lex(lexicon, "negator", "n2", small), F.col("prev2") == F.col("n2_tok"), "left"))
+    scored = (tok.join(_lex(lexicon, "word", "w"), F.col("tok") == F.col("w_tok"))
+                 .join(_lex(lexicon, "intensifier", "i"), F.col("prev1") == F.col("i_tok"), "left")
+                 .join(_lex(lexicon, "negator", "n1"), F.col("prev1") == F.col("n1_tok"), "left")
+                 .join(_lex(lexicon, "negator", "n2"), F.col("prev2") == F.col("n2_tok"), "left"))
     boosted = F.col("w_w") * F.coalesce(F.col("i_w"), F.lit(1.0))
     clamped = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), boosted))
     negated = F.col("n1_tok").isNotNull() | (F.col("i_tok").isNotNull() & F.col("n2_tok").isNotNull())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions import text as T
 from murmuration.operators.ordering import next_in_order
-from murmuration.session import cut_lineage, spread_for_cpu
+from murmuration.session import cut_lineage
 from murmuration.sources.fixtures import STOP_WORDS
 
 
@@ -57,7 +57,7 @@ def kept_tokens(corpus: DataFrame, text_col: str = "text",
     """
     toks = T.tokenise(T.clean_for_topics(F.col(text_col)))
     words = list(stop_words)
-    return spread_for_cpu(corpus).withColumn("kept", F.filter(toks, lambda t: ~t.isin(*words)))
+    return corpus.withColumn("kept", F.filter(toks, lambda t: ~t.isin(*words)))
 
 
 def topic_items(corpus: DataFrame, order: list[tuple[str, bool]], text_col: str = "text",
@@ -99,7 +99,14 @@ def token_frequency(items: DataFrame) -> DataFrame:
     counted first (partial aggregation before the shuffle), so the pattern
     runs once per distinct item, not once per occurrence.
     """
-    per_item = items.groupBy("item").agg(F.count(F.lit(1)).alias("_k"))
+    return _features(_per_item(items))
+
+
+def _per_item(items: DataFrame) -> DataFrame:
+    return items.groupBy("item").agg(F.count(F.lit(1)).alias("_k"))
+
+
+def _features(per_item: DataFrame) -> DataFrame:
     feats = per_item.select(F.explode(F.array_distinct(
         F.regexp_extract_all(F.col("item"), F.lit(T.FEATURE_TOKEN_RE), 0))).alias("feature"), "_k")
     return feats.groupBy("feature").agg(F.sum("_k").alias("df"))
@@ -107,8 +114,9 @@ def token_frequency(items: DataFrame) -> DataFrame:
 
 def frequent_features(items: DataFrame, min_df: int = 10, max_df: float = 0.9) -> DataFrame:
     """features with min_df <= df <= max_df * (number of items)."""
-    n_docs = items.agg(F.count(F.lit(1)).alias("n_docs"))
-    return (token_frequency(items).crossJoin(F.broadcast(n_docs))
+    per_item = _per_item(items)
+    n_docs = per_item.agg(F.sum("_k").alias("n_docs"))   # the counted items again: one exchange, read twice
+    return (_features(per_item).crossJoin(F.broadcast(n_docs))
             .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
             .select("feature", F.col("df").cast("long").alias("df")))
 
@@ -126,20 +134,25 @@ def suggested_topics(features: DataFrame, k: int = 10, order: str = "alphabetica
 # ---------------------------------------------------------------- topic model
 
 def lda_topics(corpus: DataFrame, text_col: str = "text", k: int = 3, top_words: int = 5,
-               seed: int = 0, max_iter: int = 10, min_df: float = 1.0, vocab_size: int = 1 << 18) -> DataFrame:
-    """M1: LDA with k topics, top words and weights per topic (one document per post)."""
+               seed: int = 0, max_iter: int = 10, min_df: float = 1.0) -> DataFrame:
+    """M1: LDA with k topics, top words and weights per topic (one document per post).
+
+    Every step reads every document (no mini-batch sample), and the
+    vocabulary holds every word of at least ``min_df`` documents.
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     docs = kept_tokens(corpus, text_col).select(F.filter("kept", lambda t: t != "").alias("kept"))
     docs = docs.filter(F.size("kept") > 0)
+    vocab_size = max(1, docs.select(F.explode("kept").alias("w")).distinct().count())
     cv = CountVectorizer(inputCol="kept", outputCol="tf", minDF=min_df, vocabSize=vocab_size).fit(docs)
-    model = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="tf", optimizer="online").fit(cv.transform(docs))
-    # the fitted model already holds the vocabulary (bounded by vocab_size)
+    model = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="tf", optimizer="online", subsamplingRate=1.0).fit(cv.transform(docs))
+    # the fitted model already holds the vocabulary
     vocab = corpus.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "term long, word string")
     topics = model.describeTopics(top_words)
     z = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "tw"))
     z = z.select("topic", "rank", F.col("tw.termIndices").cast("long").alias("term"), F.col("tw.termWeights").alias("w"))
-    return (z.join(F.broadcast(vocab), "term")
+    return (z.join(vocab, "term")
              .select(F.col("topic").cast("long").alias("topic"), F.col("rank").cast("long").alias("rank"),
                      "word", F.round(F.col("w"), 6).alias("weight")))

@@ -115,10 +115,10 @@ def centrality_ctes(graph: str = "graph", depth: int = BFS_DEPTH, max_iter: int
     out.append(("xs", " UNION ALL ".join(f"SELECT {k} AS step, node, x FROM x{k}" for k in range(1, max_iter + 1))))
     out.append(("eig_c", "SELECT nodes.node, coalesce(xs.x, 0.0) AS eigenvector FROM nodes "
                          "LEFT JOIN (SELECT xs.node, xs.x FROM xs JOIN conv ON xs.step = conv.step) xs ON nodes.node = xs.node"))
-    out.append(("cent", "SELECT d.node, round(degree, 9) AS degree, round(in_degree, 9) AS in_degree, "
-                        "round(out_degree, 9) AS out_degree, round(closeness, 9) AS closeness, "
-                        "round(betweenness, 9) AS betweenness, round(eigenvector, 9) AS eigenvector, "
-                        "round(round(degree, 9) + round(closeness, 9) + round(eigenvector, 9), 9) AS score "
+    digits = "CAST(printf('%.9e', {0}) AS DOUBLE)"
+    out.append(("cent", "SELECT d.node, degree, in_degree, out_degree, closeness, "
+                        f"{digits.format('betweenness')} AS betweenness, {digits.format('eigenvector')} AS eigenvector, "
+                        f"degree + closeness + {digits.format('eigenvector')} AS score "
                         "FROM deg_c d JOIN close_c c ON d.node = c.node JOIN betw_c b ON d.node = b.node "
                         "JOIN eig_c e ON d.node = e.node", True))
     return out

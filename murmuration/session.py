@@ -51,19 +51,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and points at shared storage.
-    Only when it is unset (unit tests on a laptop) a private folder is made.
+    Only when it is unset and the master is local (unit tests on a laptop) a
+    private folder is made; executors elsewhere could not read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
-        sc = None
+    sc = getattr(spark, "sparkContext", None)
     if sc is not None:
         current = sc.getCheckpointDir()
         if current:
             return current
         configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if sc is not None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="murmuration-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is not None:
@@ -102,19 +102,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Round-robin a DataFrame that has fewer partitions than the cluster
-    has cores, before CPU-heavy per-row work (regex cleaning of whole texts).
-
-    A small file with one row group is read by one task; large inputs
-    already have far more splits than cores and are returned unchanged.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    except Exception:  # noqa: BLE001 - remote sessions expose no RDDs
-        pass
-    return df

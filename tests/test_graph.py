@@ -97,7 +97,7 @@ def py_eigen(edges, max_iter=100, tol=1e-6):
 def test_centralities_match_brandes(spark, seed):
     edges = random_edges(seed)
     expect = py_centralities(edges)
-    table, eig = C.centrality_table(frame(spark, edges).select("sender", "receiver"), precision=None)
+    table, eig = C.centrality_table(frame(spark, edges).select("sender", "receiver"), digits=None)
     got = {r["node"]: r.asDict() for r in table.collect()}
     assert set(got) == set(expect)
     for v, exp in expect.items():
@@ -200,7 +200,7 @@ def test_hub_holding_a_third_of_the_edges(spark):
     edges = [(f"n{rnd.randrange(20)}", f"n{rnd.randrange(20)}") for _ in range(60)]
     edges += [(f"n{rnd.randrange(20)}", "hub") for _ in range(25)] + [("hub", f"n{i}") for i in range(0, 20, 4)]
     expect = py_centralities(edges)
-    table, _ = C.centrality_table(frame(spark, edges).select("sender", "receiver"), precision=None)
+    table, _ = C.centrality_table(frame(spark, edges).select("sender", "receiver"), digits=None)
     got = {r["node"]: r.asDict() for r in table.collect()}
     for v, exp in expect.items():
         for k, val in exp.items():
