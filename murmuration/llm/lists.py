@@ -65,23 +65,31 @@ class ListSearch:
         return (x.join(y, "key").filter((F.col("pu") != F.col("pv")) & (F.col("u") != F.col("v")))
                  .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
-    def between(self, left: DataFrame) -> DataFrame:
-        """Candidate pairs (u, v) of open lists (key, node, size, part) that need no dealing."""
-        small = left.filter(F.col("size") <= SMALL)
-        return self._across(small, small)
-
-    bound = SMALL    # largest list that ``between`` handles
+    def fits(self, left: DataFrame) -> DataFrame:
+        """Open lists (key, node, size, part) with ``fits``: need they no dealing?"""
+        return left.withColumn("fits", F.col("size") <= SMALL)
+
+    def inside(self, left: DataFrame) -> DataFrame | None:
+        """Links (u, v) found in open lists of more than SMALL nodes that fit a task, if a subclass looks into them."""
+        return None
+
+    def _search(self, left: DataFrame) -> DataFrame:
+        """Links the open lists that fit; returns the others as they are then."""
+        left = cut_lineage(self.fits(left))
+        small = left.filter(F.col("fits") & (F.col("size") <= SMALL))
+        self._link(self._across(small, small))
+        more = self.inside(left.filter(F.col("fits") & (F.col("size") > SMALL)))
+        if more is not None:
+            self.links = cut_lineage(self.links.unionByName(more))
+        return left.filter(~F.col("fits")).drop("fits")
 
     def run(self, keyed: DataFrame) -> DataFrame:
         """(node, label) of all linked nodes, from (key, node) lists without repeats."""
-        left = self._open(self._star(keyed))
-        self._link(self.between(left))
-        large = left.filter(F.col("size") > self.bound)
+        large = self._search(self._open(self._star(keyed)))
         if not large.isEmpty():
             large = self._open(large)
-            left = self._open(self._star(cut_lineage(self.deal(large.select("node").distinct()))))
-            self._link(self.between(left))
-            left = self._open(left.filter(F.col("size") > self.bound))
+            left = self._search(self._open(self._star(cut_lineage(self.deal(large.select("node").distinct())))))
+            left = self._open(left)
             sizes = left.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("s"))
             pairs = sizes.agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0
             rounds = int(-(-pairs // ROUND_PAIRS))

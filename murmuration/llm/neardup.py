@@ -84,8 +84,8 @@ def sketches(docs: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
     return map_texts(rows, fn, {"id": "string", "h": "long", "node": "binary", "n": "long", "sketch": "array<long>"})
 
 
-def similar_pairs(sketches: list[np.ndarray], part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs in different parts that share enough retained values for a Jaccard estimate of ``least``.
+def similar_pairs(sketches: list[np.ndarray], part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in different parts that share enough retained values for a Jaccard estimate of ``least``; and that share.
 
     Shared values are counted by one matrix product of the nodes outside the
     largest part with all nodes.
@@ -104,8 +104,37 @@ def similar_pairs(sketches: list[np.ndarray], part: np.ndarray, least: float) ->
         at = (value >= lo) & (value < lo + width)
         x[row[at], value[at] - lo] = 1
         shared += x[other] @ x.T
-    i, j = np.nonzero((shared >= least * np.maximum(size[other][:, None], size[None])) & (code[other][:, None] != code[None]))
-    return other[i], j
+    share = shared / np.maximum(size[other][:, None], size[None])
+    i, j = np.nonzero((share >= least) & (code[other][:, None] != code[None]))
+    return other[i], j, share[i, j]
+
+
+def linked(sets: list[np.ndarray], part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join parts of one list: candidates by sketch, most similar first, confirmed on whole sets.
+
+    A pair whose parts are joined already adds nothing and is passed over, so
+    at most one link per node comes out.
+    """
+    i, j, shared = similar_pairs([s[:SKETCH] for s in sets], part, percent / 100 - SLACK)
+    parent = {p: p for p in set(part.tolist())}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out, part = [], part.tolist()
+    for k in np.argsort(-shared, kind="stable").tolist():
+        a, b = int(i[k]), int(j[k])
+        x, y = find(part[a]), find(part[b])
+        if x != y:
+            n = len(sets[a]) + len(sets[b])
+            both = n - len(np.union1d(sets[a], sets[b]))
+            if both * 100 >= (n - both) * percent:
+                parent[x] = y
+                out.append((a, b))
+    return out
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
@@ -116,7 +145,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFram
 
     texts = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     one = texts.join(wanted.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
-    return map_texts(one, fn, {"node": "binary", "grams": "array<long>"}).dropDuplicates(["node"])
+    return map_texts(one, fn, {"node": "binary", "grams": "array<long>"}).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def list_keys(percent: int) -> Column:
@@ -159,7 +188,8 @@ def band_keys(hot: DataFrame) -> DataFrame:
 class _Search(ListSearch):
     """Candidate pairs of one table of nodes, compared and linked."""
 
-    bound = 1024     # nodes of a list whose sketches one task compares (0.5 MB)
+    bound = 1024             # nodes of a list that one task searches,
+    bound_grams = 1 << 21    # with so many shingles in all (16 MB)
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int, text: str):
         self.docs, self.nodes, self.k, self.percent, self.text = docs, nodes, k, percent, text
@@ -185,20 +215,21 @@ class _Search(ListSearch):
         wanted = members.select("node").distinct().join(self.nodes.select("node", "h"), "node")
         self.sets = cut_lineage(full_sets(self.docs, wanted, self.k, self.text)) if self.sets is None else self.sets
 
-    def between(self, left: DataFrame) -> DataFrame:
-        """Small lists by a join; lists of up to ``bound`` nodes by their sketches, each in one task."""
-        pairs = super().between(left)
-        middle = left.filter((F.col("size") > SMALL) & (F.col("size") <= self.bound))
-        least = self.percent / 100 - SLACK
+    def fits(self, left: DataFrame) -> DataFrame:
+        sized = left.join(self.nodes.select("node", "n"), "node")
+        grams = sized.filter(F.col("size") <= self.bound).groupBy("key").agg(F.sum("n").alias("grams"))
+        return left.join(grams, "key", "left").withColumn("fits", (F.col("size") <= SMALL) | (
+            (F.col("size") <= self.bound) & (F.coalesce("grams", F.lit(0)) <= self.bound_grams))).drop("grams")
+
+    def inside(self, left: DataFrame) -> DataFrame:
+        percent = self.percent
 
         def search(group):
             nodes = group["node"].tolist()
-            i, j = similar_pairs([np.asarray(s, np.int64) for s in group["sketch"]], group["part"].to_numpy(), least)
-            pairs = sorted({(min(nodes[a], nodes[b]), max(nodes[a], nodes[b])) for a, b in zip(i.tolist(), j.tolist())})
-            return pd.DataFrame({"u": [p[0] for p in pairs], "v": [p[1] for p in pairs]}, dtype=object)
+            at = linked([np.asarray(g, np.int64).view(np.uint64) for g in group["grams"]], group["part"].to_numpy(), percent)
+            return pd.DataFrame({"u": [nodes[a] for a, _ in at], "v": [nodes[b] for _, b in at]}, dtype=object)
 
-        found = middle.join(self.nodes.select("node", "sketch"), "node").groupBy("key").applyInPandas(search, "u binary, v binary")
-        return pairs.unionByName(found).distinct()
+        return left.select("key", "node", "part").join(self.sets, "node").groupBy("key").applyInPandas(search, "u binary, v binary")
 
     def deal(self, hot: DataFrame) -> DataFrame:
         return band_keys(hot.join(self.nodes.select("node", "sketch"), "node"))
