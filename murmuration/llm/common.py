@@ -18,6 +18,15 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double"
           "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
 
 
+# rows of a materialised table that may be broadcast (about 30 MB of ids)
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A materialised table of ids, marked for broadcast if it has at most BROADCAST_ROWS rows; else as it is."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(modulus)), F.lit(-1))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmuration.llm.common import sized
 from murmuration.llm.graph import components
 from murmuration.session import cut_lineage
 
@@ -45,7 +46,7 @@ class ListSearch:
     def _star(self, keyed: DataFrame) -> DataFrame:
         """Compares every node with the smallest of its lists; returns the lists of two nodes at least."""
         sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).filter("size > 1")
-        members = cut_lineage(keyed.join(sizes, "key"))
+        members = cut_lineage(keyed.join(sized(cut_lineage(sizes)), "key"))
         self.prepare(members)
         self._link(members.filter(F.col("node") != F.col("rep")).select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct())
         return members

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import SPACE_TABLE, Words, map_texts, mix, unused
+from murmuration.llm.common import SPACE_TABLE, Words, map_texts, mix, sized, unused
 from murmuration.llm.lists import SMALL, ListSearch
 from murmuration.session import cut_lineage
 
@@ -144,7 +144,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFram
         return [[_node(s) for s in sets], [s.view(np.int64) for s in sets]]
 
     texts = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
-    one = texts.join(wanted.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    wanted = cut_lineage(wanted)
+    one = texts.join(sized(wanted.select("h").distinct()), "h", "left_semi").dropDuplicates(["h"])
     return map_texts(one, fn, {"node": "binary", "grams": "array<long>"}).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 

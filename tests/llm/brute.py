@@ -55,7 +55,7 @@ def near_duplicates(docs, k=4):
 
 
 def line_sets(norm):
-    return frozenset(norm[m.start():m.start() + 16] for m in re.finditer(r"(?:^|(?<=\s))\S", norm))
+    return frozenset(norm[m.start():m.start() + 16] for m in re.finditer(r"(?a:(?:[!-\u0DFF]+|\S)\s*)", norm))
 
 
 def dropped_lines(docs):

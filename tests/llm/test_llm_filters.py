@@ -112,7 +112,7 @@ def test_drop_duplicate_lines(docs, empty):
 
 def test_line_dedup_plan_has_no_python(docs):
     found = linededup.lines(docs.select("doc_id", "text"), "doc_id", "text")
-    plan = linededup.signatures(found)._jdf.queryExecution().toString()
+    plan = linededup.band_keys(found)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
