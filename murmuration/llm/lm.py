@@ -187,6 +187,26 @@ class LogBilinear:
         return at
 
 
+def frequent_words(counts: DataFrame, limit: int = HEAD) -> list[tuple[bytes, int]]:
+    """The most frequent words, ``limit`` at most: all whose count reaches a cut-off.
+
+    The cut-off comes from a histogram of counts (eight steps an octave), so
+    no task sees more words than its own.
+    """
+    step = F.floor(F.log2("n") * 8).cast("long")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v")).collect()   # 512 rows at most
+    total, least = 0, None
+    for s, v in sorted(((r["step"], r["v"]) for r in sizes), reverse=True):
+        total += v
+        if total > limit:
+            break
+        least = s
+    if least is None:
+        return []
+    got = counts.filter(step >= least).toArrow()
+    return sorted(zip((bytes(w) for w in got["word"].to_pylist()), got["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
+
+
 class Model:
     """Corpus statistics and the trained network; ``counts`` stays a distributed table."""
 
@@ -201,9 +221,9 @@ class Model:
         self.ends = n_texts
         self.discount = (got[2] or 0) / max(1, (got[2] or 0) + 2 * (got[3] or 0))
         self.discount = min(0.95, max(0.05, self.discount))
-        head = self.counts.orderBy(F.col("n").desc(), "word").limit(HEAD).toArrow()
-        self.head = [bytes(w) for w in head["word"].to_pylist()]
-        self.head_n = head["n"].to_numpy().astype(np.int64)
+        head = frequent_words(self.counts)
+        self.head = [w for w, _ in head]
+        self.head_n = np.array([n for _, n in head], np.int64)
         words = self.head[:WORDS]
         # counts and types of each ending over all words without a symbol of their own
         z = F.lit(1 + WORDS) + F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")), F.lit(ENDINGS))
@@ -287,7 +307,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     # summary rows carry a key with a space, which no word has: they match nothing and spread evenly
     tail = model.counts.withColumnRenamed("n", "c")
     if len(model.head):
-        tail = tail.filter(F.col("c") <= int(model.head_n[-1]))   # head words never occur among the rare ones
+        tail = tail.filter(F.col("c") < int(model.head_n[-1]))   # the head holds all words from its last count on
     rare = part.join(tail, "word", "left")
     const = lambda x: F.element_at(F.array(*[F.lit(float(v)) for v in x]), F.col("z") + 1)
     mass = np.log10(np.maximum(model.mass, 1e-300))
