@@ -192,3 +192,21 @@ def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.select(F.col("id").cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "n_words", F.col("n_hit").cast("long").alias("n_hit"),
                        F.size("item_ids").cast("long").alias("n_items"),
                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP4_SQL = """
+WITH low AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT rid, doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM low),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+iw AS (SELECT item_id, m, unnest([array_to_string(w[j:j + m - 1], ' ') FOR j IN range(1, len(w) - m + 2)]) AS g
+    FROM (SELECT *, least(10, len(w)) AS m FROM i WHERE len(w) > 0) x),
+dw AS (SELECT rid, m, unnest([array_to_string(w[j:j + m - 1], ' ') FOR j IN range(1, len(w) - m + 2)]) AS g, unnest(range(1, len(w) - m + 2)) AS j
+    FROM d CROSS JOIN (SELECT DISTINCT m FROM iw) ms WHERE len(w) >= m),
+hit AS (SELECT DISTINCT dw.rid, dw.j, dw.m, iw.item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.m = iw.m),
+p AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(j, j + m)) AS pos FROM (SELECT DISTINCT rid, j, m FROM hit) x) y GROUP BY rid),
+n AS (SELECT rid, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hit) x GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items, sha256(coalesce(n.ids, '')) AS items_sha256,
+  coalesce(p.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -275,3 +275,17 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     own = docs.withColumn(mark, F.xxhash64(F.col(text))).alias("_d")
     kept = own.join(stays, F.col(f"_d.`{id_col}`").eqNullSafe(F.col("_s.id")) & (F.col(f"_d.{mark}") == F.col("_s.h")), "left_semi")
     return kept.dropDuplicates([id_col, mark]).drop(mark)
+
+
+OP9_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT rid, doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+s AS (SELECT rid, len(g) AS n, unnest(g) AS g FROM l),
+e AS (SELECT a.rid AS u, b.rid AS v FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT rid AS u, rid AS v FROM d UNION SELECT r.u, x.v FROM r JOIN (SELECT u, v FROM e UNION ALL SELECT v, u FROM e) x ON r.v = x.u),
+c AS (SELECT r.u AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.v GROUP BY r.u)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM l JOIN c USING (rid)
+"""

@@ -41,7 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-@_register("op4_decontamination")
+@_register("op4_decontamination", decontam.OP4_SQL)
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op4(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +56,7 @@ def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.op7(read_table(spark, sf_dir, "pages"))
 
 
-@_register("op9_near_duplicates")
+@_register("op9_near_duplicates", neardup.OP9_SQL)
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op9(read_table(spark, sf_dir, "documents"))
 
