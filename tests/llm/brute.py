@@ -140,3 +140,30 @@ def mixture(docs, frame, block_rows):
         for n, i in enumerate(order):
             out[i, s] = (n // block_rows, slots[s, n // block_rows], n % block_rows)
     return out
+
+
+def passes_rules(t, rules, stop_words):
+    """The method's verdict of the quality rules."""
+    q = quality(t)
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    q |= {"n_lines": len(lines), "n_alpha_words": sum(any(c.isalpha() for c in x) for x in w),
+          "n_stop_words": sum(x.lower() in stop_words for x in w), "n_shouts": (t or "").count("!"),
+          "n_ellipsis_lines": sum(x.endswith(("...", "…")) for x in lines), "n_bullet_lines": sum(x.startswith(("- ", "* ", "•")) for x in lines)}
+    return not q["base_failed"] and all((least is None or 100 * q[a] >= least * q[b]) and (most is None or 100 * q[a] <= most * q[b])
+                                        for _, a, b, least, most in rules)
+
+
+def pipeline(docs, items, rules, stop_words):
+    """{doc_id: text} after the first four stages over rows (doc_id, text) with distinct ids."""
+    docs = [(i, t) for i, t in docs if passes_rules(t, rules, stop_words)]
+    gone, left = dropped_lines(docs), []
+    for i, t in docs:
+        drop = gone.get((i, t))
+        new = t if drop is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in drop)
+        if new.strip(" \t\n\x0b\f\r"):
+            left.append((i, new))
+    least = {i for i, n, c in near_duplicates(left, 5) if i == c}
+    left = [(i, t) for i, t in left if i in least]
+    bad = {r[0] for r in contamination(left, items) if r[-1]}
+    return {i: t for i, t in left if i not in bad}
