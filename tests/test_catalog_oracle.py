@@ -5,12 +5,16 @@ A representative subset runs by default; MURMURATION_FULL_ORACLE=1 runs all.
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from murmuration.plans import catalog
 from murmuration.sources.tables import TABLES
 
 SUBSET = ["topic_posts", "resolve_full_text", "extract_mentions", "clean_for_topics", "bigrams", "pseudonymise",
@@ -21,7 +25,7 @@ SUBSET = ["topic_posts", "resolve_full_text", "extract_mentions", "clean_for_top
 
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
-NAMES = sorted(E.oracle_sql()) if os.environ.get("MURMURATION_FULL_ORACLE") else SUBSET
+NAMES = sorted(catalog.ORACLE) if os.environ.get("MURMURATION_FULL_ORACLE") else SUBSET
 
 
 @pytest.fixture(scope="module")
@@ -57,8 +61,18 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == {"lda_topics"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"lda_topics"}
+    assert set(catalog.QUERIES) <= set(E.queries())
+
+
+def test_entry_without_the_optional_subpackage(tmp_path):
+    """The entry module still imports, with the library's own queries, when the optional folders are gone."""
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copytree(os.path.join(root, "murmuration"), tmp_path / "murmuration", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), sum(q.startswith('op') and q[2].isdigit() for q in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert out.stdout.split() == [str(len(catalog.QUERIES)), "0"], out.stderr
 
 
 def test_entry_smoke(spark):
