@@ -84,7 +84,7 @@ def measured(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str,
             " ", w, F.get(c["w"], i + 1), F.get(c["w"], i + 2)))).otherwise(F.array().cast("array<string>")))
     # a column of its own: an expression inside a lambda is evaluated once per element
     df = df.withColumn(name["placed"], _placed(c["g"]))
-    df = df.withColumns({
+    stats = {
         name["n_words"]: size(c["w"]),
         name["n_lines"]: size(c["l"]),
         name["n_dup_lines"]: size(c["l"]) - size(F.array_distinct(c["l"])),
@@ -92,8 +92,12 @@ def measured(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str,
         name["n_alpha_words"]: size(F.filter(c["w"], lambda w: w.rlike("\\p{L}"))),
         name["n_stop_words"]: size(F.filter(c["w"], lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))),
         name["n_ellipsis_lines"]: size(F.filter(c["l"], lambda x: x.endswith("...") | x.endswith("…"))),
-        name["n_bullet_lines"]: size(F.filter(c["l"], lambda x: x.startswith("- ") | x.startswith("* ") | x.startswith("•")))})
-    return df.drop(*[name[k] for k in ("t", "w", "l", "g", "placed")]), name
+        name["n_bullet_lines"]: size(F.filter(c["l"], lambda x: x.startswith("- ") | x.startswith("* ") | x.startswith("•")))}
+    done = ("word_chars", "n_symbols", "n_shouts")
+    # a one-row generator: a filter on the statistics stays above it and reads them,
+    # where the optimizer would else copy their expressions into the filter
+    one = F.inline(F.array(F.struct(*[F.col(name[k]).alias(name[k]) for k in done], *[v.alias(k) for k, v in stats.items()])))
+    return df.select(*[F.col(f"`{x}`") for x in docs.columns], one), name
 
 
 def base_failed(c: dict[str, Column], min_words: int = 50, max_repeat_percent: int = 50) -> Column:
