@@ -70,19 +70,27 @@ class ListSearch:
         """Open lists (key, node, size, part) with ``fits``: need they no dealing?"""
         return left.withColumn("fits", F.col("size") <= SMALL)
 
-    def inside(self, left: DataFrame) -> DataFrame | None:
-        """Links (u, v) found in open lists of more than SMALL nodes that fit a task, if a subclass looks into them."""
-        return None
+    def waves(self, left: DataFrame) -> int:
+        """In how many turns ``inside`` takes these lists (0: it has nothing to do)."""
+        return 0
+
+    def inside(self, left: DataFrame) -> DataFrame:
+        """Links (u, v) found in open lists of more than SMALL nodes, each in one task."""
+        raise NotImplementedError
 
     def _search(self, left: DataFrame) -> DataFrame:
         """Links the open lists that fit; returns the others as they are then."""
         left = cut_lineage(self.fits(left))
         small = left.filter(F.col("fits") & (F.col("size") <= SMALL))
         self._link(self._across(small, small))
-        more = self.inside(left.filter(F.col("fits") & (F.col("size") > SMALL)))
-        if more is not None:
-            self.links = cut_lineage(self.links.unionByName(more))
-        return left.filter(~F.col("fits")).drop("fits")
+        middle = left.filter(F.col("fits") & (F.col("size") > SMALL))
+        waves = self.waves(middle)
+        for turn in range(waves):
+            if turn:
+                middle = self._open(middle)     # lists whose nodes met elsewhere drop out
+            mine = middle.filter(F.pmod(F.xxhash64("key"), F.lit(waves)) == turn)
+            self.links = cut_lineage(self.links.unionByName(self.inside(mine)))
+        return left.filter(~F.col("fits")).select("key", "node", "size", "part")
 
     def run(self, keyed: DataFrame) -> DataFrame:
         """(node, label) of all linked nodes, from (key, node) lists without repeats."""
