@@ -55,7 +55,8 @@ def near_duplicates(docs, k=4):
 
 
 def line_sets(norm):
-    return frozenset(norm[m.start():m.start() + 16] for m in re.finditer(r"(?a:(?:[!-\u0DFF]+|\S)\s*)", norm))
+    starts = [m.start() for m in re.finditer(r"(?a:(?:[!-\u0DFF]+|\S)\s*)", norm)]
+    return frozenset(norm[i:i + 16] for i in starts if i + 16 <= len(norm)) if len(norm) >= 16 else frozenset([norm])
 
 
 def dropped_lines(docs):
