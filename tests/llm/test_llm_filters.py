@@ -62,7 +62,7 @@ def test_near_duplicates_with_every_list_large(docs, monkeypatch):
     monkeypatch.setattr(lists, "SMALL", 2)
     monkeypatch.setattr(neardup, "SMALL", 2)
     monkeypatch.setattr(neardup._Search, "bound", 3)
-    monkeypatch.setattr(lists, "ROUND_PAIRS", 200)
+    monkeypatch.setattr(lists, "ROUND_PAIRS", 40_000)
     same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.op9(docs).collect()], brute.near_duplicates(cases.pairs()))
 
 
@@ -91,8 +91,9 @@ def test_line_dedup(docs, empty):
 
 def test_line_dedup_with_every_list_large(docs, monkeypatch):
     monkeypatch.setattr(lists, "SMALL", 2)
-    monkeypatch.setattr(lists.ListSearch, "bound", 2)
-    monkeypatch.setattr(lists, "ROUND_PAIRS", 200)
+    monkeypatch.setattr(linededup, "SMALL", 2)
+    monkeypatch.setattr(linededup, "BOUND", 3)
+    monkeypatch.setattr(lists, "ROUND_PAIRS", 40_000)
     got = {(r["doc_id"], r["n_lines"]): list(r["dropped"]) for r in linededup.op5(docs).collect() if r["n_dropped"]}
     assert got == {(i, len(t.split("\n"))): v for (i, t), v in brute.dropped_lines(cases.pairs()).items()}
 
