@@ -3,7 +3,7 @@
 1. Every node is compared with the smallest node of its lists (a star);
    copies of one text meet here, however many they are.
 2. Lists that still hold nodes of several components compare the nodes of
-   different components, in lists of up to SMALL nodes by a join.
+   different components, in lists of up to ``small`` nodes by a join.
 3. The nodes of larger lists (a passage that many texts share) are dealt anew
    by more selective keys, which separates different texts; what remains is
    compared in rounds of bounded size until no list holds two components
@@ -19,13 +19,13 @@ from murmuration.llm.common import sized
 from murmuration.llm.graph import components
 from murmuration.session import cut_lineage
 
-SMALL = 32                 # nodes of a list whose pairs are all compared at once
 ROUND_PAIRS = 4_000_000    # pairs a round may look at, about
 
 
 class ListSearch:
     """Subclasses say how pairs are compared and how the nodes of large lists are dealt anew."""
 
+    small = 32      # nodes of a list whose pairs are all compared by a join
     links: DataFrame | None = None
 
     def prepare(self, members: DataFrame) -> None:
@@ -68,22 +68,22 @@ class ListSearch:
 
     def fits(self, left: DataFrame) -> DataFrame:
         """Open lists (key, node, size, part) with ``fits``: need they no dealing?"""
-        return left.withColumn("fits", F.col("size") <= SMALL)
+        return left.withColumn("fits", F.col("size") <= self.small)
 
     def waves(self, left: DataFrame) -> int:
         """In how many turns ``inside`` takes these lists (0: it has nothing to do)."""
         return 0
 
     def inside(self, left: DataFrame) -> DataFrame:
-        """Links (u, v) found in open lists of more than SMALL nodes, each in one task."""
+        """Links (u, v) found in open lists of more than ``small`` nodes, each in one task."""
         raise NotImplementedError
 
     def _search(self, left: DataFrame) -> DataFrame:
         """Links the open lists that fit; returns the others as they are then."""
         left = cut_lineage(self.fits(left))
-        small = left.filter(F.col("fits") & (F.col("size") <= SMALL))
+        small = left.filter(F.col("fits") & (F.col("size") <= self.small))
         self._link(self._across(small, small))
-        middle = left.filter(F.col("fits") & (F.col("size") > SMALL))
+        middle = left.filter(F.col("fits") & (F.col("size") > self.small))
         waves = self.waves(middle)
         for turn in range(waves):
             if turn:

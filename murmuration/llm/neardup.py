@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.llm.common import SPACE_TABLE, Words, map_texts, mix, sized, unused
-from murmuration.llm.lists import SMALL, ListSearch
+from murmuration.llm.lists import ListSearch
 from murmuration.session import cut_lineage
 
 SKETCH = 64        # retained hashes
@@ -219,7 +219,7 @@ class _Search(ListSearch):
     def fits(self, left: DataFrame) -> DataFrame:
         sized = left.join(self.nodes.select("node", "n"), "node")
         grams = sized.filter(F.col("size") <= self.bound).groupBy("key").agg(F.sum("n").alias("grams"))
-        return left.join(grams, "key", "left").withColumn("fits", (F.col("size") <= SMALL) | (
+        return left.join(grams, "key", "left").withColumn("fits", (F.col("size") <= self.small) | (
             (F.col("size") <= self.bound) & (F.coalesce("grams", F.lit(0)) <= self.bound_grams)))
 
     def waves(self, left: DataFrame) -> int:

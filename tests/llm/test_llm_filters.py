@@ -59,8 +59,7 @@ def test_near_duplicates(docs, empty):
 
 def test_near_duplicates_with_every_list_large(docs, monkeypatch):
     """Tiny bounds send the lists through dealing and rounds; the links stay the same."""
-    monkeypatch.setattr(lists, "SMALL", 2)
-    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup._Search, "small", 2)
     monkeypatch.setattr(neardup._Search, "bound", 3)
     monkeypatch.setattr(lists, "ROUND_PAIRS", 40_000)
     same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.op9(docs).collect()], brute.near_duplicates(cases.pairs()))
@@ -90,8 +89,7 @@ def test_line_dedup(docs, empty):
 
 
 def test_line_dedup_with_every_list_large(docs, monkeypatch):
-    monkeypatch.setattr(lists, "SMALL", 2)
-    monkeypatch.setattr(linededup, "SMALL", 2)
+    monkeypatch.setattr(linededup._Search, "small", 2)
     monkeypatch.setattr(linededup, "BOUND", 3)
     monkeypatch.setattr(lists, "ROUND_PAIRS", 40_000)
     got = {(r["doc_id"], r["n_lines"]): list(r["dropped"]) for r in linededup.op5(docs).collect() if r["n_dropped"]}
