@@ -96,7 +96,6 @@ class ListSearch:
         """(node, label) of all linked nodes, from (key, node) lists without repeats."""
         large = self._search(self._open(self._star(keyed)))
         if not large.isEmpty():
-            large = self._open(large)
             left = self._search(self._open(self._star(cut_lineage(self.deal(large.select("node").distinct())))))
             left = self._open(left)
             sizes = left.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("s"))

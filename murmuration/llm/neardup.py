@@ -223,10 +223,10 @@ class _Search(ListSearch):
             (F.col("size") <= self.bound) & (F.coalesce("grams", F.lit(0)) <= self.bound_grams)))
 
     def waves(self, left: DataFrame) -> int:
-        """Four where the lists would move more than the nodes' whole sets once; most lists close after the first."""
+        """Two where the lists would move more than the nodes' whole sets once; most lists close after the first."""
         moved = left.agg(F.sum(F.col("grams") / F.col("size"))).first()[0] or 0
         held = self.sets.agg(F.sum(F.size("grams"))).first()[0] or 1
-        return 0 if not moved else 4 if moved > held else 1
+        return 0 if not moved else 2 if moved > held else 1
 
     def inside(self, left: DataFrame) -> DataFrame:
         percent = self.percent
