@@ -54,7 +54,7 @@ def test_legacy_history_files(spark):
     for name, text in saved.items():
         with open(os.path.join(d, name), "w") as f:
             f.write(text)
-    row = RD.read_legacy_history(spark, d, "adidasuk", "#daretocreate").first()
+    row = RD.read_legacy_history(spark, d, "someaccount", "#sometopic").first()
     assert (row.nodes, row.edges) == (312, 588)
     assert row.density_pct == 0.6059856542171654 and row.percentile == 95.83333333333333
     assert (row.sentiment_all, row.sentiment_user) == (0.14, 0.26)

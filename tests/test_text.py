@@ -1,6 +1,5 @@
 """Column functions against golden values from the reference's comments and saved runs."""
 
-import re
 
 from pyspark.sql import functions as F
 
@@ -27,25 +26,27 @@ def test_mentions_email_and_unicode(spark):
     assert one(spark, T.extract_hashtags, "#Launch1 and #promo_2.") == ["Launch1", "promo_2"]
 
 
-def test_sentiment_cleaning_matches_python_regex(spark):
-    pattern = ("@\\w+|^rt |[^a-z| ]|(http|ftp|https)://([\\w_-]+(?:(?:\\.[\\w_-]+)+))"
-               "([\\w.,@?^=%&:/~+#-]*[\\w@?^=%&/~+#-])?")
-    for text in ["rt @bob: don't|go\nto URL https://a.b/c great", "thanks @user1 for the #happy news",
-                 "visit http://t.example/12 now!!", "rt rt @x: ok"]:
-        assert one(spark, T.clean_for_sentiment, text) == re.sub(pattern, "", text)
-
-
-def test_topic_cleaning_matches_python(spark):
-    def py(x):
-        x = x.lower()
-        for p in ["http\\S+", "bit.ly/\\S+", "rt @\\w+:", "#\\w+", "[^\\w\\d\\s]", "htt", "\\d+"]:
-            x = re.sub(p, "", x)
-        for p in ["\\s\\s+", "\\n"]:
-            x = re.sub(p, " ", x)
-        return x.strip()
-    for text in ["RT @User1: Great launch, love it #Launch2 https://t.example/2",
-                 "Thanks  @User3\nfor the happy news #Launch", "Éclair été 42 fois!", "", "   "]:
-        assert one(spark, T.clean_for_topics, text) == py(text)
+def test_sentiment_cleaning(spark):
+    cases = {
+        "rt @bob: don't|go\nto URL https://a.b/c great": ' dont|goto   great',
+        'thanks @user1 for the #happy news': 'thanks  for the happy news',
+        'visit http://t.example/12 now!!': 'visit  now',
+        'rt rt @x: ok': 'rt  ok',
+    }
+    for text, clean in cases.items():
+        assert one(spark, T.clean_for_sentiment, text) == clean
+
+
+def test_topic_cleaning(spark):
+    cases = {
+        'RT @User1: Great launch, love it #Launch2 https://t.example/2': 'great launch love it',
+        'Thanks  @User3\nfor the happy news #Launch': 'thanks user for the happy news',
+        'Éclair été 42 fois!': 'éclair été fois',
+        '': '',
+        '   ': '',
+    }
+    for text, clean in cases.items():
+        assert one(spark, T.clean_for_topics, text) == clean
 
 
 def test_truncate_score_golden(spark):
