@@ -108,3 +108,31 @@ def test_hashtag_substring_mode(spark):
     sub = {r.tag: r.n for r in TP.hashtag_counts(posts, match="substring").collect()}
     assert exact == {"art": 2, "party": 1}
     assert sub == {"art": 3, "party": 1}
+
+
+def _random_table(spark, n=200):
+    rnd = random.Random(4)
+    rows = [(f"user{i}", rnd.choice([0.1, 0.2, 0.3]), rnd.choice([1e-9, 4e-10, 0.5]), rnd.random() * 1e-9) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "node string, degree double, closeness double, eigenvector double")
+
+
+def test_account_position_counts_in_one_pass(spark):
+    rows, df = _random_table(spark)
+    order = [r[0] for r in sorted(rows, key=lambda r: (-r[1], -r[2], -r[3], r[0]))]
+    for name in ("user0", "user77", "user199"):
+        assert [tuple(r) for r in R.account_position(df, name).collect()] == [(name, order.index(name))]
+    assert R.account_position(df, "nobody").collect() == []
+    plan = R.account_position(df, "user0")._jdf.queryExecution().toString()
+    assert "LeftOuter" not in plan     # only the given row is sent around
+
+
+def test_small_scores_stay_apart(spark):
+    """Scores below 1e-9 keep their order: nothing is rounded to fixed places before ranking."""
+    from murmuration.operators import centrality as C
+    df = spark.createDataFrame([(4.4e-11,), (4.5e-11,), (0.0,), (0.1234567890123,)], "v double")
+    got = [r[0] for r in df.select(C.significant(F.col("v"), 10)).collect()]
+    assert got == [4.4e-11, 4.5e-11, 0.0, 0.123456789]
+    df = spark.createDataFrame([("a", 1e-10, 0.0, 0.0), ("b", 4e-10, 0.0, 0.0), ("c", 0.0, 0.0, 0.0)],
+                               "node string, degree double, closeness double, eigenvector double")
+    pct = {r["node"]: r["pct"] for r in R.percentile_rank(R.combined_score(df)).collect()}
+    assert pct["c"] < pct["a"] < pct["b"]
