@@ -5,9 +5,10 @@
 2. Lists that still hold nodes of several components compare the nodes of
    different components, in lists of up to ``small`` nodes by a join.
 3. The nodes of larger lists (a passage that many texts share) are dealt anew
-   by more selective keys, which separates different texts; what remains is
-   compared in rounds of bounded size until no list holds two components
-   that were not compared. Nothing is capped.
+   by their rarest elements, which separates different texts: similar sets
+   are certain to share one of them (prefix filter), so no pair of a large
+   list is lost. What remains is compared in rounds of bounded size until no
+   list holds two components that were not compared. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -20,6 +21,26 @@ from murmuration.llm.graph import components
 from murmuration.session import cut_lineage
 
 ROUND_PAIRS = 4_000_000    # pairs a round may look at, about
+CELLS = 1 << 14    # counters of elements, by hash
+
+
+def by_rarest(sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """(key, node) of the n - ceil(t n) + 1 rarest elements of each node of ``hot`` (node), from its whole set in ``sets`` (node, grams).
+
+    Sets of Jaccard t or more share one of these under any common order of
+    the elements, so the order may use counts that elements share by hash.
+    """
+    own = cut_lineage(sets.join(sized(cut_lineage(hot)), "node"))
+    cell = lambda x: F.pmod(F.xxhash64(x), F.lit(CELLS)).cast("int")
+    seen = own.select(F.explode("grams").alias("x")).groupBy(cell(F.col("x")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    every = own.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("c"), F.lit(0).cast("long").alias("n"))
+    counts = seen.unionByName(every).groupBy("c").agg(F.sum("n").alias("n"))
+    # one row of CELLS numbers
+    counts = cut_lineage(counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "n"))), lambda s: s["n"]).alias("often")))
+    order = F.sort_array(F.transform("grams", lambda x: F.struct(F.get("often", cell(x)).alias("n"), x.alias("x"))))
+    size = F.size("grams")
+    rarest = F.slice(order, F.lit(1), (size - F.ceil(size * percent / 100) + 1).cast("int"))
+    return own.crossJoin(F.broadcast(counts)).select("node", F.explode(F.transform(rarest, lambda s: s["x"])).alias("key"))
 
 
 class ListSearch:

@@ -10,8 +10,8 @@ Lists are keyed by runs of RUN neighbouring retained values (of the first
 PREFIX), which nodes of Jaccard 0.8 share with probability above 0.9999; sets
 of up to 41 shingles also use the single values of their prefix, which
 similar sets are certain to share. ``lists.py`` keeps the work bounded in a
-list of any size; nodes of large lists are dealt anew by bands of min-hashes
-over their sketches.
+list of any size; nodes of large lists are dealt anew by the rarest shingles
+of their whole sets.
 
 Defined results: null texts and texts without words have an empty set, link
 with nothing and stand alone; repeated rows share a component; a null id is
@@ -29,14 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.llm.common import SPACE_TABLE, Words, map_texts, mix, sized, unused
-from murmuration.llm.lists import ListSearch
+from murmuration.llm.lists import ListSearch, by_rarest
 from murmuration.session import cut_lineage
 
 SKETCH = 64        # retained hashes
 PREFIX = 32        # of which the smallest are used for lists
 RUN = 3            # neighbouring values of a list key
-BAND_ROWS = 8      # min-hashes of a band for large lists
-BANDS = 64
 SLACK = 0.2        # the estimate may be this much below the threshold (4 standard deviations)
 
 _BIAS = np.uint64(1 << 63)
@@ -162,30 +160,6 @@ def list_keys(percent: int) -> Column:
     return F.array_distinct(F.concat(runs, single))
 
 
-def band_keys(hot: DataFrame) -> DataFrame:
-    """(key, node) by bands of min-hashes over the sketch, for nodes of large lists."""
-    rng = np.random.default_rng(7)
-    flips = rng.integers(0, 1 << 63, (BANDS, BAND_ROWS), np.uint64) * np.uint64(2)
-
-    def run(batches):
-        import pyarrow as pa
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                nodes, keys = [], []
-                for node, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    v = np.array(s, np.int64).view(np.uint64) ^ _BIAS
-                    low = np.stack([mix(v ^ f).min() for f in flips.ravel()]).reshape(flips.shape)
-                    key = np.arange(BANDS, dtype=np.uint64)
-                    for j in range(BAND_ROWS):
-                        key = mix(key * np.uint64(31) + low[:, j])
-                    nodes += [node] * BANDS
-                    keys += key.view(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary())], names=["key", "node"])
-
-    return hot.select("node", "sketch").mapInArrow(run, "key long, node binary")
-
-
 class _Search(ListSearch):
     """Candidate pairs of one table of nodes, compared and linked."""
 
@@ -239,7 +213,7 @@ class _Search(ListSearch):
         return left.select("key", "node", "part").join(self.sets, "node").groupBy("key").applyInPandas(search, "u binary, v binary")
 
     def deal(self, hot: DataFrame) -> DataFrame:
-        return band_keys(hot.join(self.nodes.select("node", "sketch"), "node"))
+        return by_rarest(self.sets, hot, self.percent)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
