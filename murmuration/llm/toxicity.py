@@ -10,8 +10,10 @@ token of a text give the offending offsets; their largest log-odds and their
 sum give the document score through a logistic layer.
 
 Labels are learnt from a bounded sample of labelled rows (``SAMPLE_TOXIC``
-and ``SAMPLE_CLEAN`` rows, chosen by a hash of the id); scoring covers every
-token of every row. A chain is a run of CHAIN tokens of one text.
+and ``SAMPLE_CLEAN`` rows, chosen by a hash of the id), the field from
+SAMPLE_CHAINS chains with and without marked tokens, chosen by a hash of id,
+text and chain number; scoring covers every token of every row. A chain is a
+run of CHAIN tokens of one text.
 
 Defined results: a text without letters (null, empty) gets the score of a
 text whose tokens are all neutral; without labelled rows of both kinds the
@@ -250,12 +252,15 @@ def train(docs: DataFrame, labels: DataFrame, chains: int = SAMPLE_CHAINS) -> tu
         ids, on, row = tagger.chains(part)
         toxic = np.array(rows.column(1).to_pylist())
         y = ((ids > 0).any(2) & (toxic[row] == 1)[:, None]).astype(np.int64)
-        return [ids.reshape(len(row), -1).tolist(), on.sum(1), y.tolist(), y.any(1).tolist(), (ids > 0).any((1, 2)).tolist()]
+        number = np.arange(len(row)) - np.searchsorted(row, row)     # of the chain in its text
+        place = np.array(rows.column(2).to_pylist(), np.int64)[row]
+        return [ids.reshape(len(row), -1).tolist(), on.sum(1), y.tolist(), y.any(1).tolist(), place, number]
 
-    rows = map_texts(texts.select("text", "toxic"), pick, {
-        "ids": "array<long>", "size": "long", "y": "array<long>", "toxic": "boolean", "marked": "boolean"}, setup=lambda: Tagger(crf))
+    rows = map_texts(texts.select("text", "toxic", F.xxhash64("doc_id", F.xxhash64("text")).alias("place")), pick, {
+        "ids": "array<long>", "size": "long", "y": "array<long>", "toxic": "boolean", "place": "long", "number": "long"}, setup=lambda: Tagger(crf))
     counts = {(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("ids", "y"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    # by where a chain stands, not by what it holds: equal chains are drawn apart
+    draw = F.pmod(F.xxhash64("place", "number"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.when(F.col("toxic"), F.lit(min(1.0, chains / max(1, counts.get(True, 0))))).otherwise(
         F.lit(min(1.0, chains / max(1, counts.get(False, 0)))))
     got = sorted((tuple(r["ids"]), tuple(r["y"]), r["size"]) for r in rows.filter(draw < share).select("ids", "y", "size").collect())
