@@ -6,8 +6,8 @@ slots; block j of a source with a quanta has release time floor(j*FRAME/a)
 and deadline ceil((j+1)*FRAME/a). Earliest-deadline-first among released
 blocks fills every slot of a frame (Baruah et al., 1996), and frames repeat,
 so the slot of a block is arithmetic on one table of FRAME rows: at every
-slot each source is less than one block off its weight while all sources
-last. After a source ends its slots stay empty and the others keep their
+slot each source is less than one block off its whole quanta while all
+sources last; its given weight may differ from those. After a source ends its slots stay empty and the others keep their
 proportions. Every row is placed exactly once.
 
 Defined results: a null source is a source of its own; repeated rows are
