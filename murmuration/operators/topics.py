@@ -137,8 +137,9 @@ def lda_topics(corpus: DataFrame, text_col: str = "text", k: int = 3, top_words:
                seed: int = 0, max_iter: int = 10, min_df: float = 1.0) -> DataFrame:
     """M1: LDA with k topics, top words and weights per topic (one document per post).
 
-    Every step reads every document (no mini-batch sample), and the
-    vocabulary holds every word of at least ``min_df`` documents.
+    Every step draws as many documents as there are, with replacement (Spark's
+    online optimizer), so about 37 % are not read in a step. The vocabulary
+    holds every word of at least ``min_df`` documents, on the driver.
     """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
