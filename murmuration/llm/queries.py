@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import decontam, fixity, langid, linededup, lm, mixing, neardup, quality, tokens, toxicity
+from murmuration.llm import decontam, fixity, langid, linededup, lm, manifest, mixing, neardup, quality, tokens, toxicity
 from murmuration.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -69,3 +69,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op1_lm_scoring")
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op1(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op11_dataset_manifest", manifest.OP11_SQL)
+def op11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof digest of every document, and whether it still folds to the root."""
+    return manifest.op11(read_table(spark, sf_dir, "documents"))
