@@ -5,6 +5,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from murmuration.operators import centrality as C
 from murmuration.operators import components as CC
@@ -244,3 +245,31 @@ def test_undirected_transitivity_brute_force(spark):
     triples = sum(len(v) * (len(v) - 1) / 2 for v in nb.values())
     got = G.transitivity(frame(spark, edges), directed=False).first()[0]
     assert got == pytest.approx(3 * tri / triples if tri else 0.0, abs=1e-12)
+
+
+def test_star_of_a_hub_is_not_gathered(spark, monkeypatch):
+    """A hub with most of the edges, smallest, largest and in the middle, beside chains: labels, and rows of any task after the join."""
+    from murmuration.operators import skew
+    for hub, heavy in ((0, 100), (500_000, skew.HEAVY)):
+        monkeypatch.setattr(skew, "HEAVY", heavy)
+        star = spark.range(1, 40_001).select(F.lit(hub).cast("long").alias("u"), (F.col("id") * 10 + 3).alias("v"))
+        chain = spark.range(0, 40).select((F.col("id") + 3_000_000).alias("u"), (F.col("id") + 3_000_001).alias("v"))
+        got = CC.star_components(star.union(chain)).groupBy("label").agg(F.count("node").alias("n"), F.countDistinct("node").alias("d")).collect()
+        assert sorted(tuple(r) for r in got) == sorted([(min(hub, 13), 40_001, 40_001), (3_000_000, 41, 41)])
+    monkeypatch.setattr(skew, "HEAVY", 100)
+    e = star.repartition(8, "v")
+    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("deg"))
+    rows = skew.join_heavy(e, low, "u", "deg", 40_000).groupBy(F.spark_partition_id()).count().select("count")
+    most = [r[0] for r in rows.collect()]
+    assert len(most) >= 8 and max(most) <= 3 * sorted(most)[len(most) // 2]
+
+
+def test_join_heavy_equals_a_join(spark, monkeypatch):
+    from murmuration.operators import skew
+    monkeypatch.setattr(skew, "HEAVY", 4)
+    rows = spark.createDataFrame([(k, i) for k, c in ((1, 50), (2, 3), (3, 1), (9, 2)) for i in range(c)], "k long, i long")
+    table = spark.createDataFrame([(1, "a", 50), (2, "b", 3), (3, None, 1), (4, "d", 1)], "k long, x string, n long")
+    for how in ("inner", "left"):
+        got = skew.join_heavy(rows, table, "k", "n", 56, how).select("k", "i", "x").collect()
+        want = rows.join(table.drop("n"), "k", how).select("k", "i", "x").collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
