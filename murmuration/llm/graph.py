@@ -1,33 +1,5 @@
 """Connected components of an undirected link table."""
 
-from __future__ import annotations
+from murmuration.operators.components import star_components as components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from murmuration.operators.components import _large_star, _small_star
-from murmuration.session import cut_lineage
-
-
-EDGES_PER_PARTITION = 100_000
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every node in ``links`` (u, v): label is the smallest node of its component.
-
-    Alternating large and small stars (Kiveris et al., 2014), one checkpoint
-    a round, until a round changes nothing.
-    """
-    e = links.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = cut_lineage(e)
-    mark = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    # the edges only get fewer: as many partitions as the first count asks for
-    parts = 1 + mark[0] // EDGES_PER_PARTITION
-    while mark[0]:
-        e = cut_lineage(_small_star(_large_star(e.coalesce(parts)).coalesce(parts)).coalesce(parts))
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            break
-        mark = now
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select("node", F.col("node").alias("label")))
+__all__ = ["components"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import decontam, fixity, langid, linededup, lm, manifest, mixing, neardup, quality, tokens, toxicity
+from murmuration.llm import decontam, fixity, langid, linededup, lm, manifest, mixing, neardup, quality, simhash, tokens, toxicity
 from murmuration.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -75,3 +75,9 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof digest of every document, and whether it still folds to the root."""
     return manifest.op11(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op13_simhash_duplicates", simhash.OP13_SQL)
+def op13_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest id that its links reach."""
+    return simhash.op13(read_table(spark, sf_dir, "documents"))
