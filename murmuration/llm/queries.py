@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import decontam, fixity, langid, linededup, lm, manifest, mixing, neardup, quality, simhash, tokens, toxicity
+from murmuration.llm import decontam, fixity, langid, linededup, lm, manifest, mixing, neardup, phrases, quality, simhash, tokens, toxicity
 from murmuration.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -81,3 +81,9 @@ def op11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest id that its links reach."""
     return simhash.op13(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op12_phrase_collocations", phrases.OP12_SQL)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to four words of every language of the documents."""
+    return phrases.op12(read_table(spark, sf_dir, "documents"))
