@@ -184,11 +184,12 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group: str = "source", fie
     rows, nodes, root = build(leaves(docs, id_col, group, fields, text))
     folded, above = climb(rows, nodes)
     runs = above.join(nodes.select(F.col("node").alias("up"), "children"), "up")
-    got = rows.select("id", "leaf", "g", "n", "up", "place").join(runs, "up", "left")
+    # the narrow rows meet first: proofs are put together in the last join and never move
+    got = rows.select("id", "leaf", "g", "n", "up", "place").join(folded, "g").join(runs, "up", "left")
     siblings = F.concat(F.substring("children", F.lit(1), 32 * F.col("place")), F.substring("children", 32 * F.col("place") + 33, F.lit(32 * FANOUT)), "above")
-    got = got.select("id", "leaf", "g", F.when(F.col("n") == 1, F.col("leaf")).otherwise(F.col("subroot")).alias("subroot"),
-                     F.coalesce(siblings, F.lit(b"")).alias("proof"))
-    return got.join(folded, "g").select(F.col("id").alias(id_col), "leaf", "subroot", F.lit(root).cast("binary").alias("root"), "proof", "folded")
+    subroot = F.when(F.col("n") == 1, F.col("leaf")).otherwise(F.col("subroot"))
+    return got.select(F.col("id").alias(id_col), "leaf", subroot.alias("subroot"), F.lit(root).cast("binary").alias("root"),
+                      F.coalesce(siblings, F.lit(b"")).alias("proof"), "folded")
 
 
 def op11(docs: DataFrame) -> DataFrame:
