@@ -9,14 +9,16 @@ abandoned at once, whatever it holds.
 
 What is routed is kept small without losing a phrase: a phrase that occurs
 ``least`` times consists of word pairs that do. Pairs are counted first, by a
-hash of their words, and the frequent ones set bits of a filter of fixed size
-(FILTER_BITS); suffixes end before a pair that is not in it. A full filter only
-lets more through. Tasks add up equal suffixes before they are routed, and the
-suffixes of the very frequent pairs (HOT of them at most) are routed by three
-words, beside one row with the pair's own count.
+hash of PAIR_BITS bits, and the frequent ones set bits of a filter of fixed
+size (FILTER_BITS); suffixes end before a pair that is not in it. Pairs with
+equal hashes and a full filter only let more through. Tasks add up equal
+suffixes before they are routed, the commonest words (NUMBERED of them at
+most) travel as small numbers, and the suffixes of the very frequent pairs (HOT
+of them at most) are routed by three words, beside one row with the pair's own
+count.
 
-Words are compared by 64-bit hashes: V distinct words have two equal ones with
-probability V^2 / 2^65 (10^8 words: 0.0003).
+Words are compared by 63-bit hashes: V distinct words have two equal ones with
+probability V^2 / 2^64 (10^8 words: 0.0005).
 
 Defined results: null texts are empty, a null language is ``und``; repeated
 rows count each time; empty tables have no phrases; words of any length count;
@@ -42,8 +44,10 @@ COVERED = 80            # percent of a phrase's occurrences that lie in one long
 SCALE = 2_000_000
 FILTER_BITS = 1 << 26   # 8 MB
 HOT = 1000              # a pair with this share of all words is routed by three words
-BUFFER = 1 << 20        # suffixes or words that a task adds up before it passes them on
-ROUTED = 1 << 20        # suffixes sorted at once
+NUMBERED = 1 << 17      # a word with this share of all words gets a number
+PAIR_BITS, ROUTE_BITS = 40, 24
+BUFFER = 24 << 20       # bytes of suffixes, pairs or words that a task adds up before it passes them on
+ROUTED = 1 << 18        # suffixes sorted at once
 NUL = 0xFF              # stands for the character U+0000, in no UTF-8 text
 
 _PIECE = [ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E))
@@ -86,8 +90,11 @@ def chain(*parts: np.ndarray) -> np.ndarray:
 
 
 def _groups(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order, starts and sizes of groups of equal rows; ``key`` is a hash of ``columns``, which are compared too."""
-    order = np.argsort(key)
+    """Order, starts and sizes of groups of equal rows; ``key`` is a hash of ``columns``, which are compared too.
+
+    The rows are ordered by the first of the columns, then by ``key``.
+    """
+    order = np.lexsort((key, columns[0])) if columns else np.argsort(key)
     new = np.ones(len(key), bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
     for c in columns:
@@ -97,18 +104,18 @@ def _groups(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class _Sums:
-    """Rows (key, weights, payload) added up by key until there are BUFFER of them."""
+    """Columns of rows, kept until they have BUFFER bytes."""
 
     def __init__(self):
-        self.parts, self.rows = [], 0
+        self.parts, self.bytes = [], 0
 
     def add(self, part: list) -> bool:
         self.parts.append(part)
-        self.rows += len(part[0])
-        return self.rows >= BUFFER
+        self.bytes += sum(c.nbytes for c in part)
+        return self.bytes >= BUFFER
 
     def take(self) -> list:
-        parts, self.parts, self.rows = self.parts, [], 0
+        parts, self.parts, self.bytes = self.parts, [], 0
         return [pa.concat_arrays(c) if isinstance(c[0], pa.Array) else np.concatenate(c) for c in zip(*parts)]
 
 
@@ -118,7 +125,7 @@ def _summed(docs: DataFrame, part: Callable, pack: Callable, schema: dict[str, s
         lang = rows.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         return pack(state.take()) if state.add(part(Tokens(texts, lang))) else None
 
-    return map_texts(docs, fn, schema, setup=_Sums, finish=lambda state: pack(state.take()) if state.rows else None)
+    return map_texts(docs, fn, schema, setup=_Sums, finish=lambda state: pack(state.take()) if state.parts else None)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -145,7 +152,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def pair_counts(docs: DataFrame) -> DataFrame:
     """(pair, n) of the hashes of all word pairs of a language."""
     def part(t):
-        key = chain(t.lang[:-1], t.hash[:-1], t.hash[1:])[t.together()] if len(t.hash) else t.hash
+        key = pair_key(t)[t.together()] if len(t.hash) else t.hash
         order, start, size = _groups(key)
         return [key[order[start]], size]
 
@@ -156,6 +163,11 @@ def pair_counts(docs: DataFrame) -> DataFrame:
     return _summed(docs, part, pack, {"pair": "long", "n": "long"}).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def pair_key(t: Tokens) -> np.ndarray:
+    """PAIR_BITS bits for each word and the next, in one piece or not."""
+    return chain(t.lang[:-1], t.hash[:-1], t.hash[1:]) >> np.uint64(64 - PAIR_BITS)
+
+
 def bit_filter(pairs: DataFrame) -> np.ndarray:
     """FILTER_BITS bits, as bytes, with those of ``pairs`` set."""
     cell = F.pmod("pair", F.lit(FILTER_BITS)) + 1    # bitmap positions count from 1
@@ -166,23 +178,31 @@ def bit_filter(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def suffixes(docs: DataFrame, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """(route, lang_key, w1 .. w4, c2, c): suffixes of frequent pairs and how often a task met them.
+def codes(h: np.ndarray, numbered: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The words' numbers, or their hashes with the highest bit set."""
+    known, number = numbered
+    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    high = h | np.uint64(1 << 63)
+    return np.where(known[at] == h, number[at], high) if len(known) else high
+
+
+def suffixes(docs: DataFrame, bits: np.ndarray, hot: np.ndarray, numbered: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(route, lang_key, w1 .. w4, c2, c): suffixes of frequent pairs, their words as ``codes``, and how often a task met them.
 
     ``w3`` and ``w4`` are 0 where the suffix ends. ``c2`` counts towards its
     pair, ``c`` towards longer phrases; they differ for ``hot`` pairs only.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((bits, np.sort(hot)))
+    shared = docs.sparkSession.sparkContext.broadcast((bits, np.sort(hot), numbered))
 
     def part(t):
-        bits, hot = shared.value
+        bits, hot, numbered = shared.value
         n = max(len(t.hash) - 1, 0)
-        pair = chain(t.lang[:n], t.hash[:n], t.hash[1:])
+        pair = pair_key(t) if n else t.hash[:0]
         cell = (pair % np.uint64(FILTER_BITS)).astype(np.int64)
         on = np.zeros(n + MAX_WORDS, bool)
         on[:n] = t.together() & ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool) if n else on[:0]
         at = np.flatnonzero(on)
-        word = np.concatenate([t.hash, np.zeros(MAX_WORDS, np.uint64)])
+        word = np.concatenate([codes(t.hash, numbered), np.zeros(MAX_WORDS, np.uint64)])
         cols, far = [t.lang[at], word[at], word[at + 1]], np.ones(len(at), bool)
         for k in range(2, MAX_WORDS):
             far = far & on[at + k - 1]
@@ -191,7 +211,8 @@ def suffixes(docs: DataFrame, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
         often = np.isin(route, hot) if len(hot) else np.zeros(len(at), bool)
         longer = often & (cols[3] != 0)
         one = np.ones(len(at), np.int64)
-        rows = [np.where(longer, chain(route, cols[3]), route), *cols, np.where(often, 0, one), one]
+        route = route >> np.uint64(PAIR_BITS - ROUTE_BITS)
+        rows = [np.where(longer, chain(pair[at], cols[3]) >> np.uint64(64 - ROUTE_BITS), route), *cols, np.where(often, 0, one), one]
         own = [route[often], *[c[often] for c in cols[:3]], *[np.zeros(often.sum(), np.uint64)] * (MAX_WORDS - 2), one[often], one[often] * 0]
         rows = [np.concatenate(c) for c in zip(rows, own)]
         return add_up(chain(*rows[1:-2], (rows[-1] > 0).astype(np.uint64)), rows)
@@ -292,12 +313,24 @@ def phrase_counts(rows: DataFrame, least: int) -> DataFrame:
     return rows.repartition("route").sortWithinPartitions("route").mapInArrow(run, "key array<long>, a long")
 
 
-def frequent_words(counts: DataFrame) -> DataFrame:
-    """``word_counts`` with the words' hashes as ``h``."""
+def coded_words(counts: DataFrame, all_words: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """``word_counts`` with the words' ``codes`` as ``w``, and the numbered words' hashes, ordered, with their numbers."""
     def fn(rows, texts, _):
         return [rows.column(0), rows.column(1), rows.column(2), np.maximum(Words(texts, TABLE).hash, np.uint64(1)).view(np.int64)]
 
-    return map_texts(counts.select("lang_key", "word", "n"), fn, {"lang_key": "long", "word": "string", "n": "long", "h": "long"}, text="word")
+    words = map_texts(counts.select("lang_key", "word", "n"), fn, {"lang_key": "long", "word": "string", "n": "long", "h": "long"}, text="word")
+    words = cut_lineage(words)
+    often = words.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") * NUMBERED > all_words)    # fewer than NUMBERED
+    known = np.array([r["h"] for r in often.orderBy(F.col("n").desc(), "h").select("h").collect()], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    numbered = known[order], (order + 1).astype(np.uint64)
+
+    def code(batches):
+        for batch in batches:
+            w = codes(batch.column(3).to_numpy().view(np.uint64), numbered).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(w)], names=["lang_key", "word", "n", "w"])
+
+    return cut_lineage(words.mapInArrow(code, "lang_key long, word string, n long, w long")), numbered
 
 
 def cut(key: Column | str, first: Column, last: Column) -> Column:
@@ -312,14 +345,14 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str
     texts = own.select("lang_key", "text")
     counts = cut_lineage(word_counts(texts).filter(F.col("word").isNull() | (F.col("n") >= least)))
     total = counts.filter("word IS NULL").select("lang_key", "n")
-    words = cut_lineage(frequent_words(counts.filter("word IS NOT NULL")))
-    pairs = cut_lineage(pair_counts(texts).filter(F.col("n") >= least))
     all_words = total.agg(F.sum("n")).first()[0] or 0
+    words, numbered = coded_words(counts.filter("word IS NOT NULL"), all_words)
+    pairs = cut_lineage(pair_counts(texts).filter(F.col("n") >= least))
     hot = np.array([r[0] for r in pairs.filter(F.col("n") * HOT > all_words).select("pair").collect()], np.int64).view(np.uint64)
-    found = cut_lineage(phrase_counts(suffixes(texts, bit_filter(pairs), hot), least))
+    found = cut_lineage(phrase_counts(suffixes(texts, bit_filter(pairs), hot, numbered), least))
 
     # both parts of a phrase occur as often as it does: they are known
-    known = words.select(F.array("lang_key", "h").alias("key"), F.col("n").alias("f")).unionByName(found.select("key", F.col("a").alias("f")))
+    known = words.select(F.array("lang_key", "w").alias("key"), F.col("n").alias("f")).unionByName(found.select("key", F.col("a").alias("f")))
     size = F.size("key") - 1
     cuts = found.select("key", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
     cuts = cuts.select("key", "a", "k", cut("key", F.lit(1), F.col("k")).alias("left"), cut("key", F.col("k") + 1, size).alias("right"))
@@ -340,7 +373,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str
     by_lang = Window.partitionBy("lang_key")
     best = best.withColumn("place", F.rank().over(by_lang.orderBy(*order))).filter(F.col("place") <= top)    # ties are told apart below
     best = cut_lineage(best)
-    spelled = best.select("key", "lang_key", F.posexplode(F.slice("key", 2, MAX_WORDS)).alias("at", "h")).join(words.select("lang_key", "h", "word"), ["lang_key", "h"])
+    spelled = best.select("key", "lang_key", F.posexplode(F.slice("key", 2, MAX_WORDS)).alias("at", "w")).join(words.select("lang_key", "w", "word"), ["lang_key", "w"])
     spelled = spelled.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     langs = own.select("lang", "lang_key").distinct()
     got = best.join(spelled, "key").join(total, "lang_key").join(langs, "lang_key")
