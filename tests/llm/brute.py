@@ -54,9 +54,8 @@ def near_duplicates(docs, k=4):
     return [(i, len(s), least.get(part[s]) if s else i) for i, s in ((i, shingles(t, k)) for i, t in docs)]
 
 
-def line_sets(norm):
-    starts = [m.start() for m in re.finditer(r"(?a:(?:[!-\u0DFF]+|\S)\s*)", norm)]
-    return frozenset(norm[i:i + 16] for i in starts if i + 16 <= len(norm)) if len(norm) >= 16 else frozenset([norm])
+def line_sets(norm, k=5):
+    return frozenset(norm[i:i + k] for i in range(len(norm) - k + 1)) if len(norm) >= k else frozenset([norm])
 
 
 def dropped_lines(docs):
