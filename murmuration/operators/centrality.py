@@ -1,37 +1,38 @@
 """Node centralities over edge tables.
 
-Degree measures are one aggregation. Closeness and betweenness come from a
-breadth-first search run from every source at once, level by level, as
-joins of the frontier with the edge table; sources are split into batches
-so that the BFS state (sources x reached nodes) stays bounded, and the
-batches' partial sums are added, so the result stays exact. Eigenvector
-centrality is a power iteration of join + sum. Every round is cut from its
-lineage with a reliable checkpoint.
+Degree measures are one aggregation. Closeness is a bit-parallel breadth-first
+search: a row holds the bits of 512 sources. Betweenness folds leaves, merges
+twins and runs Brandes' algorithm on the core, LANES sources in a row. Sources
+take turns so that the state (sources x nodes) stays bounded, and the turns'
+sums are added, so the results stay exact. Eigenvector centrality is a power
+iteration of join + sum. Every round is cut from its lineage with a reliable
+checkpoint, and all sizes take the same path.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.operators.graph import node_list, simple_graph
+from murmuration.operators.skew import join_heavy, sized
 from murmuration.session import cut_lineage
 
 METRICS = ("degree", "in_degree", "out_degree", "closeness", "betweenness", "eigenvector")
 
-# Upper bound on BFS state rows (sources x reachable nodes) per source batch;
-# a cluster raises it with the session setting below.
-DEFAULT_STATE_BUDGET = 20_000_000
+# (source, node) pairs per core that a turn of sources may hold (a bit or a
+# double each); the session setting gives the pairs of all cores together.
+PAIRS_PER_CORE = 16_000_000
 STATE_BUDGET_CONF = "spark.murmuration.bfs.stateBudget"
 
 
 def state_budget_of(spark, given: int | None = None) -> int:
     if given is not None:
         return given
-    return int(spark.conf.get(STATE_BUDGET_CONF, str(DEFAULT_STATE_BUDGET)))
+    cores = spark.sparkContext.defaultParallelism
+    return int(spark.conf.get(STATE_BUDGET_CONF, str(PAIRS_PER_CORE * max(cores, 1))))
 
 
 def significant(x: Column, digits: int) -> Column:
@@ -82,125 +83,217 @@ def _adjacency(graph: DataFrame) -> DataFrame:
     return simple_graph(graph).filter(F.col("sender") != F.col("receiver"))
 
 
-def _bfs(adj: DataFrame, sources: DataFrame) -> list[DataFrame]:
-    """Levels (src, node, sigma) of a multi-source BFS; level d = distance d.
+SOURCES = 64       # sources of a bit mask
+MASKS = 8          # masks of a row of the reachability search
+LANES = 16         # sources of a row of path counts
 
-    sigma is the number of shortest paths (double: it can exceed 2^63). The
-    test "not reached before" is folded into the aggregation: candidate rows
-    and already-seen rows meet in one group-by on (src, node), so each level
-    costs one exchange and no sort.
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def _batches(sources: DataFrame, nodes: int, width: int, budget: int):
+    """``sources`` (node, idx) in turns of whole blocks of ``width``, with at most about ``budget`` (source, node) pairs each."""
+    top = sources.agg(F.max("idx")).first()[0]
+    if top is None:
+        return
+    per_turn = max(1, budget // (width * max(nodes, 1))) * width
+    for lo in range(0, top + 1, per_turn):
+        yield sources.filter((F.col("idx") >= lo) & (F.col("idx") < lo + per_turn))
+
+
+def arrivals(adj: DataFrame, sources: DataFrame, nodes: int, budget: int) -> DataFrame:
+    """(node, r, s, far): how many of ``sources`` (node, idx) reach a node, the sum and the largest of their distances.
+
+    A bit-parallel breadth-first search from all sources of a turn at once. A
+    row is a node and a block of MASKS * SOURCES sources, whose bits say
+    which of them have reached the node; a step is one ``bit_or`` over the
+    in-edges, new arrivals are the bits that were not set before, and
+    ``bit_count`` counts them.
     """
-    step_edges = adj.select(F.col("sender").alias("node"), F.col("receiver").alias("next"))
-    # Levels are stored partitioned by source: a task then expands whole
-    # sources, and the partial aggregation merges duplicate (src, next)
-    # candidates before the shuffle instead of shipping one row per edge.
-    level = cut_lineage(sources.select(F.col("node").alias("src"), "node", F.lit(1.0).alias("sigma"))
-                        .repartition("src"))
-    levels = [level]
-    seen = level.select("src", "node")
-    while True:
-        cand = level.join(step_edges, "node").select("src", F.col("next").alias("node"), "sigma",
-                                                      F.lit(0).alias("old"))
-        old = seen.select("src", "node", F.lit(0.0).alias("sigma"), F.lit(1).alias("old"))
-        merged = (cand.unionByName(old).groupBy("src", "node")
-                      .agg(F.sum("sigma").alias("sigma"), F.max("old").alias("old")))
-        level = cut_lineage(merged.filter(F.col("old") == 0).drop("old").repartition("src"))
-        if level.isEmpty():
-            return levels
-        levels.append(level)
-        seen = seen.unionByName(level.select("src", "node"))
+    width = SOURCES * MASKS
+    names = range(MASKS)
+    zero = F.lit(0).cast("long")
+    total = None
+    next_of = sized(cut_lineage(adj.select(F.col("sender").alias("node"), "receiver")))
+    for batch in _batches(sources, nodes, width, budget):
+        mask = _bit((F.col("idx") % SOURCES).cast("int"))
+        first = [F.when(F.expr(f"idx div {SOURCES} % {MASKS}") == i, mask).otherwise(zero) for i in names]
+        state = cut_lineage(batch.select("node", F.expr(f"idx div {width}").alias("block"), *[m.alias(f"seen{i}") for i, m in enumerate(first)],
+                                         *[m.alias(f"new{i}") for i, m in enumerate(first)], *[zero.alias(c) for c in ("r", "s", "far", "d")]))
+        arrived = " OR ".join(f"new{i} != 0" for i in names)
+        while True:    # the distance is a column, so that all steps run the same compiled code
+            step = state.filter(arrived).join(next_of, "node").selectExpr(
+                "receiver AS node", "block", *[f"new{i} AS c{i}" for i in names], *[f"0L AS seen{i}" for i in names], "0L AS r", "0L AS s", "0L AS far", "d")
+            held = state.selectExpr("node", "block", *[f"0L AS c{i}" for i in names], *[f"seen{i}" for i in names], "r", "s", "far", "d")
+            met = step.unionByName(held).groupBy("node", "block").agg(*[F.expr(x) for x in (
+                *[f"bit_or(c{i}) & ~bit_or(seen{i}) AS new{i}" for i in names], *[f"bit_or(seen{i}) | bit_or(c{i}) AS seen{i}" for i in names],
+                "max(r) AS r", "max(s) AS s", "max(far) AS far", "max(d) + 1 AS d")])
+            count = " + ".join(f"bit_count(new{i})" for i in names)
+            state = cut_lineage(met.withColumn("n", F.expr(f"cast({count} AS bigint)")).selectExpr(
+                "node", "block", *[f"seen{i}" for i in names], *[f"new{i}" for i in names], "r + n AS r", "s + n * d AS s", "if(n > 0, d, far) AS far", "d"))
+            if state.filter(arrived).isEmpty():
+                break
+        got = state.select("node", "r", "s", "far")
+        got = got if total is None else got.unionByName(total)
+        total = cut_lineage(got.groupBy("node").agg(F.sum("r").alias("r"), F.sum("s").alias("s"), F.max("far").alias("far")))
+    if total is None:
+        return adj.sparkSession.createDataFrame([], "node long, r long, s long, far long")
+    return total
 
 
-def _backward(adj: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Brandes dependencies: delta(s,v) = sigma(s,v) * sum over successors w one
-    level deeper of (1 + delta(s,w)) / sigma(s,w). Returns (src, node, delta).
+@dataclass
+class Core:
+    """What is left of a graph when leaves are folded and twins merged.
 
-    The pulled coefficients and the level's own rows meet in one group-by
-    (one exchange) instead of a shuffled join.
+    ``nodes``: (node, idx, m, k, e, rec) of each class of twins, named by its
+    smallest member: ``m`` members, each with ``k`` folded accounts that reach
+    it, ``e`` that it reaches and ``rec`` that are both. ``adj``: its edges.
+    ``member``: (member, node) of every account that was not folded.
     """
-    back_edges = adj.select(F.col("receiver").alias("w"), F.col("sender").alias("node"))
-    deepest = len(levels) - 1
-    below = cut_lineage(levels[deepest].withColumn("delta", F.lit(0.0)).repartition("src"))
-    parts = [below]
-    for d in range(deepest - 1, 0, -1):
-        coef = below.select("src", F.col("node").alias("w"),
-                            ((F.lit(1.0) + F.col("delta")) / F.col("sigma")).alias("c"))
-        pulled = coef.join(back_edges, "w").select("src", "node", F.lit(None).cast("double").alias("sigma"), "c")
-        own = levels[d].select("src", "node", "sigma", F.lit(0.0).alias("c"))
-        merged = (own.unionByName(pulled).groupBy("src", "node")
-                     .agg(F.max("sigma").alias("sigma"), F.sum("c").alias("c")))
-        below = cut_lineage(merged.filter(F.col("sigma").isNotNull())
-                            .select("src", "node", "sigma", (F.col("sigma") * F.col("c")).alias("delta"))
-                            .repartition("src"))
-        parts.append(below)
-    out = parts[0].select("src", "node", "delta")
-    for p in parts[1:]:
-        out = out.unionByName(p.select("src", "node", "delta"))
-    return out
 
+    nodes: DataFrame
+    adj: DataFrame
+    member: DataFrame
 
-# Up to this many adjacency rows (about 64 MB of id pairs) the edge table is
-# broadcast and the BFS runs on co-partitioned levels (below); larger graphs
-# take the adaptive path above.
-BROADCAST_EDGE_ROWS = 4_000_000
 
+def reduce_graph(adj: DataFrame) -> Core:
+    """Folds the accounts with one neighbour and merges accounts with equal neighbours.
+
+    An account whose only neighbour has other neighbours hangs on it and is
+    never between two others. Of the rest, accounts with the same in- and
+    out-neighbours, and as many folded accounts of each kind, are twins: the
+    shortest paths through one of them are those through any other.
+    Neighbour sets are compared by size and two 64-bit sums of hashes.
+    """
+    ends = adj.select(F.col("sender").alias("node"), F.col("receiver").alias("other"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
+        adj.select(F.col("receiver").alias("node"), F.col("sender").alias("other"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    around = cut_lineage(ends.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high"), F.max("o").alias("o"), F.max("i").alias("i")))
+    leaf = around.filter("low = high").select(F.col("node").alias("leaf"), F.col("low").alias("node"), "o", "i")
+    leaf = cut_lineage(leaf.join(around.filter("low != high").select("node"), "node", "left_semi"))
+    hung = leaf.groupBy("node").agg(F.sum("o").alias("k"), F.sum("i").alias("e"), F.sum(F.col("o") * F.col("i")).alias("rec"))
+    gone = leaf.select(F.col("leaf").alias("node"))
+    kept = adj.join(gone.withColumnRenamed("node", "sender"), "sender", "left_anti").join(gone.withColumnRenamed("node", "receiver"), "receiver", "left_anti")
+    kept = cut_lineage(kept.select("sender", "receiver"))
+
+    def marks(own: str, other: str, x: str):
+        return kept.groupBy(F.col(own).alias("node")).agg(F.struct(
+            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(other)).alias("a"), F.bit_xor(F.xxhash64(F.lit("b"), F.col(other))).alias("b")).alias(x))
+    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "a", "b")])
+    number = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("k", "e", "rec")]
+    stay = around.select("node").join(gone, "node", "left_anti")
+    sign = stay.join(hung, "node", "left").join(marks("sender", "receiver", "to"), "node", "left").join(marks("receiver", "sender", "from"), "node", "left")
+    sign = cut_lineage(sign.select("node", F.struct(*number, F.coalesce("to", none).alias("to"), F.coalesce("from", none).alias("from")).alias("like")))
+    classes = cut_lineage(sign.groupBy("like").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m")))
+    from murmuration.operators.ordering import row_number0
+    nodes = cut_lineage(row_number0(classes.select(F.col("rep").alias("node"), "m", "like.k", "like.e", "like.rec"), [F.col("node")], "idx"))
+    member = join_heavy(sign, classes, "like", "m", _count(sign)).select(F.col("node").alias("member"), F.col("rep").alias("node"))
+    rep = nodes.select("node")
+    core = kept.join(rep.withColumnRenamed("node", "sender"), "sender", "left_semi").join(rep.withColumnRenamed("node", "receiver"), "receiver", "left_semi")
+    return Core(nodes, cut_lineage(core), member)
 
-def _keep_partitioning(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` from a non-adaptive plan so the stored copy records
-    its hash partitioning; later joins against it then need no exchange.
 
-    Only used for plans whose joins are broadcasts with a checked size, so
-    nothing adaptive (skew splitting, join switching) is given up.
+def _path_counts(core: Core, batch: DataFrame) -> list[DataFrame]:
+    """Levels (node, block, mask, f) of a search from the sources of ``batch``: level d holds the sources at distance d.
+
+    ``f`` has the numbers of shortest paths from the LANES sources of the
+    block (0 where the distance is another), as doubles: they can exceed
+    2^63. A source whose class has more members may come back to its class,
+    which then stands for the others.
     """
-    spark = df.sparkSession
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return cut_lineage(df)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
-
-
-def _bfs_copartitioned(adj: DataFrame, sources: DataFrame) -> list[DataFrame]:
-    """Same levels as ``_bfs``; every level is stored hash-partitioned on
-    (src, node), so the anti-join with all earlier levels reads them in place
-    (no exchange) and only the new candidates are shuffled once."""
-    step_edges = F.broadcast(adj.select(F.col("sender").alias("node"), F.col("receiver").alias("next")))
-    level = _keep_partitioning(sources.select(F.col("node").alias("src"), "node", F.lit(1.0).alias("sigma"))
-                               .repartition("src", "node"))
-    levels = [level]
-    seen = level.select("src", "node")
+    lane, none = range(LANES), F.lit(None).cast("array<double>")
+    own = F.expr(f"cast(idx % {LANES} AS int)")
+    state = cut_lineage(batch.select("node", F.expr(f"idx div {LANES}").alias("block"), own.alias("i"), "m").selectExpr(
+        "node", "block", "if(m = 1, shiftleft(1L, i), 0L) AS seen", "shiftleft(1L, i) AS mask",
+        f"transform(sequence(0, {LANES - 1}), j -> if(j = i, 1D, 0D)) AS f"))
+    edges = core.adj.join(core.nodes.select(F.col("node").alias("sender"), "m"), "sender")
+    edges = sized(cut_lineage(edges.select(F.col("sender").alias("node"), "receiver", F.col("m").cast("double").alias("m"))))
+    levels = [state.drop("seen")]
+    new = f"transform(array({', '.join(f'f{i}' for i in lane)}), (x, j) -> if(x > 0 AND getbit(seen, j) = 0, x, 0D))"
     while True:
-        cand = (level.join(step_edges, "node")
-                     .groupBy("src", F.col("next").alias("node")).agg(F.sum("sigma").alias("sigma")))
-        level = _keep_partitioning(cand.join(seen, ["src", "node"], "left_anti"))
+        times = F.lit(1.0) if len(levels) == 1 else F.col("m")    # one member of its class is the source
+        step = levels[-1].join(edges, "node").select(F.col("receiver").alias("node"), "block", F.lit(0).cast("long").alias("seen"), times.alias("m"), "f")
+        held = state.select("node", "block", "seen", F.lit(0.0).alias("m"), none.alias("f"))
+        met = step.unionByName(held).groupBy("node", "block").agg(F.bit_or("seen").alias("seen"), *[F.expr(f"sum(f[{i}] * m)").alias(f"f{i}") for i in lane])
+        met = met.selectExpr("node", "block", "seen", f"{new} AS f").selectExpr(
+            "*", "aggregate(transform(f, (x, j) -> if(x > 0, shiftleft(1L, j), 0L)), 0L, (x, y) -> x | y) AS mask")
+        state = cut_lineage(met.selectExpr("node", "block", "seen | mask AS seen", "mask", "if(mask != 0, f, NULL) AS f"))
+        level = state.filter("mask != 0").select("node", "block", "mask", "f")
         if level.isEmpty():
             return levels
         levels.append(level)
-        seen = seen.unionByName(level.select("src", "node"))
-
-
-def _backward_copartitioned(adj: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Brandes back pass over co-partitioned levels: the pulled coefficients
-    are shuffled once per level and joined with the level where it lies."""
-    back_edges = F.broadcast(adj.select(F.col("receiver").alias("w"), F.col("sender").alias("node")))
-    deepest = len(levels) - 1
-    below = levels[deepest].withColumn("delta", F.lit(0.0))
-    parts = [below]
-    for d in range(deepest - 1, 0, -1):
-        coef = below.select("src", F.col("node").alias("w"),
-                            ((F.lit(1.0) + F.col("delta")) / F.col("sigma")).alias("c"))
-        pulled = coef.join(back_edges, "w").groupBy("src", "node").agg(F.sum("c").alias("c"))
-        below = _keep_partitioning(
-            levels[d].join(pulled, ["src", "node"], "left")
-                     .select("src", "node", "sigma", (F.col("sigma") * F.coalesce(F.col("c"), F.lit(0.0))).alias("delta")))
-        parts.append(below)
-    out = parts[0].select("src", "node", "delta")
-    for p in parts[1:]:
-        out = out.unionByName(p.select("src", "node", "delta"))
+
+
+def _dependencies(core: Core, batch: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(node, dep, reached) summed over the sources of ``batch``: Brandes' dependencies, and what each source's class reaches.
+
+    delta(v) = e(v) + sum over successors w one level deeper of
+    m(w) * sigma(v) / sigma(w) * (1 + delta(w)), for LANES sources at once;
+    a class that its own source comes back to has a member less.
+    """
+    lane = range(LANES)
+    back = sized(cut_lineage(core.adj.select(F.col("receiver").alias("node"), "sender")))
+    about = sized(core.nodes).selectExpr("node", f"idx div {LANES} AS own_block", f"cast(idx % {LANES} AS int) AS own", "cast(m AS double) AS m", "cast(e AS double) AS e")
+    # how many accounts a source stands for: its class and what hangs on it
+    weight = batch.groupBy(F.expr(f"idx div {LANES}").alias("block")).agg(F.expr(
+        f"map_from_entries(collect_list(struct(cast(idx % {LANES} AS int), struct(cast(k + 1 AS double) AS w, cast(m AS double) AS m)))) AS src"))
+    weight = cut_lineage(weight)    # LANES entries a row
+    source = batch.selectExpr(f"idx div {LANES} AS block", f"cast(idx % {LANES} AS int) AS i", "node AS source")
+    back_home = "(own_block = block AND own = j)"
+    members = f"if({back_home}, m - 1, m)"
+    times = f"if({back_home}, src[j].m - 1, src[j].m) * src[j].w"
+    deps, reached, pulled = [], [], None
+    for d in range(len(levels) - 1, 0, -1):
+        rows = levels[d].join(about, "node")
+        rows = rows.withColumn("p", F.lit(None).cast("array<double>")) if pulled is None else rows.join(pulled, ["node", "block"], "left")
+        rows = rows.withColumn("delta", F.expr("transform(f, (x, j) -> if(x > 0, e + x * coalesce(p[j], 0D), 0D))")).join(weight, "block")
+        rows = cut_lineage(rows.selectExpr(
+            "node", "block", f"aggregate(transform(delta, (x, j) -> if(x > 0, x * {times}, 0D)), 0D, (x, y) -> x + y) AS dep",
+            f"transform(f, (x, j) -> if(x > 0, {members} * (1 + delta[j]) / x, 0D)) AS g", f"transform(f, (x, j) -> if(x > 0, {members} * (1 + e), 0D)) AS got"))
+        deps.append(rows.groupBy("node").agg(F.sum("dep").alias("dep")))
+        counts = rows.groupBy("block").agg(*[F.expr(f"sum(got[{i}])").alias(f"n{i}") for i in lane])
+        reached.append(counts.select("block", F.posexplode(F.array(*[f"n{i}" for i in lane])).alias("i", "n")))
+        if d > 1:
+            pulled = rows.join(back, "node").groupBy(F.col("sender").alias("node"), "block").agg(*[F.expr(f"sum(g[{i}])").alias(f"p{i}") for i in lane])
+            pulled = pulled.select("node", "block", F.array(*[f"p{i}" for i in lane]).alias("p"))
+    for part in reached:
+        n = part.join(source, ["block", "i"]).select(F.col("source").alias("node"), F.lit(0.0).alias("dep"), F.col("n").alias("reached"))
+        deps.append(n)
+    out = None
+    for part in deps:
+        part = part if "reached" in part.columns else part.withColumn("reached", F.lit(0.0))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def betweenness_sums(adj: DataFrame, budget: int) -> DataFrame:
+    """(node, dep): the unscaled betweenness of every account that is between any others, from the reduced graph.
+
+    The search runs on the core; a folded account's paths are those of what
+    it hangs on, which is between it and all that the latter reaches:
+    dep(v) = sum over sources s of (members and folded accounts of s) *
+    delta_s(v) + k(v) * reached(v) - rec(v).
+    """
+    core = reduce_graph(adj)
+    n = _count(core.nodes)
+    sources = core.nodes
+    total = None
+    for batch in _batches(sources, n, LANES, budget):
+        batch = cut_lineage(batch)
+        levels = _path_counts(core, batch)
+        if len(levels) < 2:
+            continue
+        part = _dependencies(core, batch, levels)
+        part = part if total is None else part.unionByName(total)
+        total = cut_lineage(part.groupBy("node").agg(F.sum("dep").alias("dep"), F.sum("reached").alias("reached")))
+    dep = core.nodes if total is None else core.nodes.join(total, "node", "left")
+    if total is None:
+        dep = dep.select("*", F.lit(0.0).alias("dep"), F.lit(0.0).alias("reached"))
+    whole = F.coalesce("dep", F.lit(0.0)) + F.col("k") * (F.col("e") + F.coalesce("reached", F.lit(0.0))) - F.col("rec")
+    dep = dep.select("node", whole.alias("dep"))
+    return core.member.join(dep, "node").select(F.col("member").alias("node"), "dep")
+
+
 @dataclass
 class PathStats:
     closeness: DataFrame     # node, closeness
@@ -216,58 +309,33 @@ def _prepared(graph: DataFrame, nodes: DataFrame, prepared: tuple[DataFrame, Dat
 
 
 def path_centralities(graph: DataFrame, nodes: DataFrame, n: int, want_betweenness: bool = True,
-                      state_budget: int | None = None,
-                      prepared: tuple[DataFrame, DataFrame] | None = None) -> PathStats:
-    """G6 closeness (inward distances, Wasserman-Faust scaled) and G7 betweenness.
+                      state_budget: int | None = None, prepared: tuple[DataFrame, DataFrame] | None = None,
+                      want_closeness: bool = True) -> PathStats:
+    """G6 closeness (inward distances, Wasserman-Faust scaled) and G7 betweenness; what is not wanted is 0.
 
     closeness(u) = (r/S) * (r/(n-1)), r = nodes reaching u, S = their summed
     distances, 0 if r = 0. betweenness(v) = sum of pair dependencies scaled
     by 1/((n-1)(n-2)) (no scaling when n <= 2).
     """
-    state_budget = state_budget_of(graph.sparkSession, state_budget)
+    budget = state_budget_of(graph.sparkSession, state_budget)
     ids, id_edges = _prepared(graph, nodes, prepared)
     adj = cut_lineage(_adjacency(id_edges))
-    sources = adj.select(F.col("sender").alias("node")).distinct()
-    n_sources = _count(sources)
-    small = _count(adj) <= BROADCAST_EDGE_ROWS
-    bfs, backward = (_bfs_copartitioned, _backward_copartitioned) if small else (_bfs, _backward)
-    per_batch = max(1, state_budget // max(n, 1))
-    batches = max(1, math.ceil(n_sources / per_batch))
-    # one accumulator per metric, brought up to date after each batch: the
-    # levels of a batch are not referenced once its sums are added
-    reach_sum, dep_sum = None, None
-
-    def added(total, parts, sums):
-        for p in parts:
-            total = p if total is None else total.unionByName(p)
-        if total is None:
-            return None
-        return cut_lineage(total.groupBy("node").agg(*[F.sum(c).alias(c) for c in sums]))
-
-    for b in range(batches):
-        batch = sources if batches == 1 else sources.filter(
-            F.pmod(F.xxhash64("node"), F.lit(batches)) == b)
-        levels = bfs(adj, batch)
-        reach_sum = added(reach_sum, [lv.groupBy("node").agg(F.count(F.lit(1)).alias("r"), F.sum(F.lit(d)).alias("s"))
-                                      for d, lv in enumerate(levels[1:], start=1)], ("r", "s"))
-        if want_betweenness and len(levels) > 1:
-            dep_sum = added(dep_sum, [backward(adj, levels).groupBy("node").agg(F.sum("delta").alias("dep"))], ("dep",))
-
-    def total(table, schema):
-        return nodes.sparkSession.createDataFrame([], schema) if table is None else table
-
-    back = ids.select(F.col("vid").alias("node"), F.col("node").alias("handle"))
-    reach = (total(reach_sum, "node long, r long, s long").join(back, "node")
-        .select(F.col("handle").alias("node"), "r", "s"))
-    r, s = F.col("r").cast("double"), F.col("s").cast("double")
-    close = F.when((F.coalesce(s, F.lit(0.0)) > 0) & F.lit(n > 1), (r / s) * (r / F.lit(float(max(n - 1, 1))))) \
-             .otherwise(F.lit(0.0))
-    closeness = nodes.join(reach, "node", "left").select("node", close.alias("closeness"))
-    dep = (total(dep_sum, "node long, dep double").join(back, "node")
-           .select(F.col("handle").alias("node"), "dep"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    betweenness = nodes.join(dep, "node", "left").select(
-        "node", (F.coalesce(F.col("dep"), F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+    handle = ids.select(F.col("vid").alias("node"), F.col("node").alias("handle"))
+
+    def zeros(name):
+        return nodes.select("node", F.lit(0.0).alias(name))
+
+    closeness, betweenness = zeros("closeness"), zeros("betweenness")
+    if want_closeness:
+        sources = adj.select(F.col("sender").alias("node")).distinct().select("node", F.col("node").alias("idx"))
+        reach = arrivals(adj, sources, n, budget).join(handle, "node").select(F.col("handle").alias("node"), "r", "s")
+        r, s = F.col("r").cast("double"), F.col("s").cast("double")
+        close = F.when((F.coalesce(s, F.lit(0.0)) > 0) & F.lit(n > 1), (r / s) * (r / F.lit(float(max(n - 1, 1))))).otherwise(F.lit(0.0))
+        closeness = nodes.join(reach, "node", "left").select("node", close.alias("closeness"))
+    if want_betweenness:
+        dep = betweenness_sums(adj, budget).join(handle, "node").select(F.col("handle").alias("node"), "dep")
+        scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+        betweenness = nodes.join(dep, "node", "left").select("node", (F.coalesce(F.col("dep"), F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
     return PathStats(closeness, betweenness)
 
 
@@ -293,36 +361,30 @@ def eigenvector_centrality(graph: DataFrame, nodes: DataFrame, n: int, max_iter:
     if n == 0:
         return Eigen(nodes.select("node", F.lit(0.0).alias("eigenvector")), False, 0)
     ids, id_edges = _prepared(graph, nodes, prepared)
-    push = simple_graph(id_edges).select(F.col("sender").alias("node"), F.col("receiver").alias("to"))
-    push = cut_lineage(push)
-    # With a push table of checked size: broadcast it and keep the iterate
-    # hash-partitioned by node between rounds, so neither the inflow join
-    # nor the convergence test moves the iterate. Otherwise plain rounds.
-    small = _count(push) <= BROADCAST_EDGE_ROWS
-    store = _keep_partitioning if small else cut_lineage
-    if small:
-        push = F.broadcast(push)
-    x = store(ids.select(F.col("vid").alias("node"), F.lit(1.0 / n).alias("x"))
-              .repartition("node") if small else ids.select(F.col("vid").alias("node"), F.lit(1.0 / n).alias("x")))
+    push = cut_lineage(simple_graph(id_edges).select(F.col("sender").alias("node"), F.col("receiver").alias("to")))
+    edges = _count(push)
+    out = push.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+    # the iterate with each account's out-degree: a hub's value goes to its edges by
+    # broadcast, and a hub's inflow is summed where it arises before it is shuffled
+    x = cut_lineage(ids.select(F.col("vid").alias("node"), F.lit(1.0 / n).alias("y")).join(out, "node", "left").withColumn("prev", F.lit(0.0)))
+    norm = 1.0
     steps = iterations if iterations is not None else max_iter
     converged = False
     done = 0
     for done in range(1, steps + 1):
-        inflow = push.join(x, "node").groupBy(F.col("to").alias("node")).agg(F.sum("x").alias("inflow"))
-        base = F.col("x") if shift else F.lit(0.0)
-        y = x.join(inflow, "node", "left").select("node", (base + F.coalesce(F.col("inflow"), F.lit(0.0))).alias("y"))
-        norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm")) \
-                .select(F.when(F.col("norm") == 0, F.lit(1.0)).otherwise(F.col("norm")).alias("norm"))
-        x_next = store(y.crossJoin(F.broadcast(norm)).select("node", (F.col("y") / F.col("norm")).alias("x")))
+        value = F.col("y") / F.lit(norm)
+        sent = join_heavy(push, x.filter("deg IS NOT NULL").select("node", "deg", value.alias("x")), "node", "deg", edges)
+        inflow = sent.groupBy(F.col("to").alias("node")).agg(F.sum("x").alias("inflow"))
+        base = value if shift else F.lit(0.0)
+        x = cut_lineage(x.join(inflow, "node", "left").select(
+            "node", "deg", value.alias("prev"), (base + F.coalesce(F.col("inflow"), F.lit(0.0))).alias("y")))
+        norm = x.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
         if iterations is None:
-            diff = (x_next.alias("a").join(x.alias("b"), "node")
-                    .agg(F.sum(F.abs(F.col("a.x") - F.col("b.x"))).alias("d")).first()["d"])
-            x = x_next
+            diff = x.agg(F.sum(F.abs(F.col("y") / F.lit(norm) - F.col("prev")))).first()[0]
             if diff is not None and diff < n * tol:
                 converged = True
                 break
-        else:
-            x = x_next
+    x = x.select("node", (F.col("y") / F.lit(norm)).alias("x"))
     if iterations is None and not converged and on_failure == "zero":
         return Eigen(nodes.select("node", F.lit(0.0).alias("eigenvector")), False, done)
     scores = x.join(ids.select(F.col("vid").alias("node"), F.col("node").alias("handle")), "node") \

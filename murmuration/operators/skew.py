@@ -24,3 +24,12 @@ def join_heavy(rows: DataFrame, table: DataFrame, key: str, count: str, total: i
     there = rows.join(heavy, key)
     other = rows.join(heavy.select(key), key, "left_anti").join(table.filter(~is_heavy).drop(count), key, how)
     return there.unionByName(other)
+
+
+# rows of a stored table of a few numbers that may be broadcast (some 30 MB)
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most BROADCAST_ROWS rows; else the planner joins it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

@@ -632,30 +632,31 @@ def q_out_degree_centrality(spark, sf):
     return rounded(_degree_only(spark, sf).select("node", "out_degree"))
 
 
-def _paths(spark, sf):
+def _paths(spark, sf, **wanted):
     e = _network_edges(spark, sf)
     nodes = G.node_list(e)
-    return C.path_centralities(e, nodes, nodes.count())
+    return C.path_centralities(e, nodes, nodes.count(), **wanted)
 
 
 @query("closeness_centrality", net_sql("SELECT node, round(closeness, 6) AS closeness FROM close_c", base=CENT))
 def q_closeness_centrality(spark, sf):
-    return rounded(_paths(spark, sf).closeness)
+    return rounded(_paths(spark, sf, want_betweenness=False).closeness)
 
 
 @query("betweenness_centrality", net_sql("SELECT node, round(betweenness, 6) AS betweenness FROM betw_c", base=CENT))
 def q_betweenness_centrality(spark, sf):
-    return rounded(_paths(spark, sf).betweenness)
+    return rounded(_paths(spark, sf, want_closeness=False).betweenness)
 
 
 @query("bfs_depth_check", net_sql("SELECT deepest_rows FROM bfs_check", base=CENT))
 def q_bfs_depth_check(spark, sf):
-    """The oracle unrolls 12 BFS levels; the 12th must be empty (diameter <= 11)."""
+    """Accounts that some other account reaches in 12 steps or more: the oracle unrolls so many levels."""
     e = _network_edges(spark, sf)
-    adj = C._adjacency(e)
-    levels = C._bfs(adj, adj.select(F.col("sender").alias("node")).distinct())
-    n = len(levels) - 1
-    return spark.range(1).select(F.lit(0 if n < O.BFS_DEPTH else -1).cast("long").alias("deepest_rows"))
+    ids, edges = C._prepared(e, G.node_list(e), None)
+    adj = C._adjacency(edges)
+    sources = adj.select(F.col("sender").alias("node")).distinct().select("node", F.col("node").alias("idx"))
+    reach = C.arrivals(adj, sources, ids.count(), C.state_budget_of(spark))
+    return reach.agg(F.count_if(F.col("far") >= O.BFS_DEPTH).alias("deepest_rows"))
 
 
 @query("eigenvector_centrality", net_sql("SELECT node, round(eigenvector, 6) AS eigenvector FROM eig_c", base=CENT))

@@ -110,13 +110,16 @@ def test_centralities_match_brandes(spark, seed):
         assert got[v]["eigenvector"] == pytest.approx(val, abs=1e-9)
 
 
-def test_source_batches_give_the_same_result(spark):
+def test_source_batches_give_the_same_result(spark, monkeypatch):
+    monkeypatch.setattr(C, "SOURCES", 4)
+    monkeypatch.setattr(C, "MASKS", 2)
+    monkeypatch.setattr(C, "LANES", 3)
     edges = random_edges(7, n=15, m=40)
     g = frame(spark, edges).select("sender", "receiver")
     nodes = G.node_list(g)
     n = nodes.count()
     one = C.path_centralities(g, nodes, n)
-    many = C.path_centralities(g, nodes, n, state_budget=n * 3)   # forces 5 batches
+    many = C.path_centralities(g, nodes, n, state_budget=1)   # a block a turn
     a = {r[0]: r[1] for r in one.betweenness.collect()}
     b = {r[0]: r[1] for r in many.betweenness.collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
@@ -210,18 +213,41 @@ def test_hub_holding_a_third_of_the_edges(spark):
     assert sum(1 for e in edges if e[1] == "hub") == sum(v for (s, r), v in w.items() if r == "hub")
 
 
-def test_adaptive_and_copartitioned_paths_agree(spark, monkeypatch):
-    edges = random_edges(31, n=14, m=45)
+def test_leaves_and_twins_are_folded_exactly(spark):
+    """50 random graphs, in one table of as many components, with leaves of all kinds, twins on and off cycles, chains and pairs."""
+    rnd = random.Random(8)
+    edges = []
+    for g in range(50):
+        n = rnd.randrange(1, 7)
+        own = [(f"g{g}c{rnd.randrange(n)}", f"g{g}c{rnd.randrange(n)}") for _ in range(rnd.randrange(1, 12))]
+        for i in range(rnd.randrange(7)):       # leaves: senders, receivers, both
+            a, b = f"g{g}leaf{i}", f"g{g}c{rnd.randrange(n)}"
+            own += rnd.choice([[(a, b)], [(b, a)], [(a, b), (b, a)]])
+        twin = own[rnd.randrange(len(own))][0]
+        for i in range(rnd.randrange(4)):       # copies of one account
+            own += [(f"g{g}twin{i}" if s == twin else s, f"g{g}twin{i}" if r == twin else r) for s, r in own if twin in (s, r) and s != r and "twin" not in s + r]
+        edges += own
+    edges += [("p0", "p1"), ("q0", "q1"), ("q1", "q0"), ("s0", "s0")]
     g = frame(spark, edges).select("sender", "receiver")
     nodes = G.node_list(g)
-    n = nodes.count()
-    fast = C.path_centralities(g, nodes, n)
-    monkeypatch.setattr(C, "BROADCAST_EDGE_ROWS", 0)          # force the adaptive path
-    slow = C.path_centralities(g, nodes, n)
-    for a, b in ((fast.betweenness, slow.betweenness), (fast.closeness, slow.closeness)):
-        x = {r[0]: r[1] for r in a.collect()}
-        y = {r[0]: r[1] for r in b.collect()}
-        assert x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-12 for k in x)
+    got = C.path_centralities(g, nodes, nodes.count())
+    expect = py_centralities(edges)
+    betweenness = {r[0]: r[1] for r in got.betweenness.collect()}
+    closeness = {r[0]: r[1] for r in got.closeness.collect()}
+    assert betweenness.keys() == closeness.keys() == expect.keys()
+    for v, exp in expect.items():
+        assert betweenness[v] == pytest.approx(exp["betweenness"], rel=1e-9, abs=1e-15), v
+        assert closeness[v] == pytest.approx(exp["closeness"], rel=1e-12), v
+    ids, e = C._prepared(g, nodes, None)
+    core = C.reduce_graph(C._adjacency(e))
+    assert core.nodes.count() < 0.8 * len(expect)
+
+
+def test_path_centralities_of_an_empty_graph(spark):
+    g = spark.createDataFrame([], "sender string, receiver string")
+    nodes = G.node_list(g)
+    got = C.path_centralities(g, nodes, 0)
+    assert got.betweenness.collect() == got.closeness.collect() == []
 
 
 def test_dyad_substring_mode_matches_regex_over_the_list(spark):
