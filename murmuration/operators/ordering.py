@@ -1,9 +1,10 @@
 """Global order statistics without a single-partition window.
 
 ``Window.orderBy`` with no ``partitionBy`` moves every row into one task.
-These helpers range-partition on the order key instead (balanced by
-sampling), number rows inside each range, and add the sizes of the earlier
-ranges. Only one row per range partition ever meets in a single task.
+These helpers move the rows once, by ranges of the order key (balanced by
+sampling), sort each range where it lies and number its rows in place. Sums and
+followers inside a range are windows over the range's number (one more
+exchange), and only one row per range partition ever meets in a single task.
 """
 
 from __future__ import annotations
@@ -13,17 +14,20 @@ from pyspark.sql import functions as F
 
 from murmuration.session import cut_lineage
 
-
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+_IN_RANGE = 33    # lower bits of a row's number: its place in its range
 
 
 def _ranged(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
-    ranged = df.repartitionByRange(_partitions(df, partitions), *order).withColumn("_rp", F.spark_partition_id())
-    # Freeze the range assignment: both uses below must see the same split.
-    return cut_lineage(ranged)
+    """``df``, stored, in ranges of ``order``: ``_rp`` numbers the ranges and ``_local`` the rows of each, from 0.
+
+    The only exchange is the one that makes the ranges: rows are sorted and
+    numbered in their partition.
+    """
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    at = ranged.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # stored: every use sees the same ranges
+    own = cut_lineage(at)
+    return own.withColumns({"_rp": F.shiftright("_at", _IN_RANGE), "_local": F.col("_at").bitwiseAND(F.lit((1 << _IN_RANGE) - 1))}).drop("_at")
 
 
 def _offsets(ranged: DataFrame, value: Column) -> DataFrame:
@@ -37,11 +41,9 @@ def row_number0(df: DataFrame, order: list[Column], name: str = "pos",
                 partitions: int | None = None) -> DataFrame:
     """0-based position of every row in ``order`` (which must break all ties)."""
     ranged = _ranged(df, order, partitions)
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_rp").orderBy(*order)) - 1)
-    offsets = _offsets(ranged, F.lit(1))
-    return (local.join(F.broadcast(offsets), "_rp")
-                 .withColumn(name, (F.col("_offset") + F.col("_local")).cast("long"))
-                 .drop("_rp", "_local", "_offset"))
+    return (ranged.join(F.broadcast(_offsets(ranged, F.lit(1))), "_rp")
+                  .withColumn(name, (F.col("_offset") + F.col("_local")).cast("long"))
+                  .drop("_rp", "_local", "_offset"))
 
 
 def running_total(df: DataFrame, order: list[Column], value: str, name: str,
@@ -66,9 +68,8 @@ def next_in_order(df: DataFrame, order: list[Column], value: str, name: str,
     ranged = _ranged(df, order, partitions)
     w = Window.partitionBy("_rp").orderBy(*order)
     local = ranged.withColumn("_lead", F.lead(value).over(w))
-    firsts = (ranged.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-                    .select("_rp", F.col(value).alias("_first")))
+    firsts = ranged.filter("_local = 0").select("_rp", F.col(value).alias("_first"))
     nxt = firsts.select("_rp", F.lead("_first").over(Window.orderBy("_rp")).alias("_next_first"))
     return (local.join(F.broadcast(nxt), "_rp")
                  .withColumn(name, F.coalesce(F.col("_lead"), F.col("_next_first")))
-                 .drop("_rp", "_lead", "_next_first"))
+                 .drop("_rp", "_local", "_lead", "_next_first"))

@@ -136,3 +136,13 @@ def test_small_scores_stay_apart(spark):
                                "node string, degree double, closeness double, eigenvector double")
     pct = {r["node"]: r["pct"] for r in R.percentile_rank(R.combined_score(df)).collect()}
     assert pct["c"] < pct["a"] < pct["b"]
+
+
+def test_positions_cost_one_range_exchange(spark):
+    df = spark.range(0, 2000, 1, 6).select((F.col("id") * 7919 % 2003).alias("id"))
+    plan = OD.row_number0(df, [F.col("id")]).select("id", "pos")
+    assert [r.pos for r in plan.orderBy("id").collect()] == list(range(2000))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    # the rows lie in their ranges already: what is left to move is one row per range
+    assert "rangepartitioning" not in text and "hashpartitioning(id" not in text and "Window" in text
+    assert OD.row_number0(df.limit(0), [F.col("id")]).collect() == []
