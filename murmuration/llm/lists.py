@@ -62,11 +62,13 @@ class ListSearch:
 
     def _link(self, pairs: DataFrame) -> None:
         found = self.compare(pairs)
-        self.links = found if self.links is None else cut_lineage(self.links.unionByName(found))
+        self.links = found if self.links is None else self.links.unionByName(found)    # both are stored
 
     def _star(self, keyed: DataFrame) -> DataFrame:
-        """Compares every node with the smallest of its lists; returns the lists of two nodes at least."""
-        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).filter("size > 1")
+        """Compares every node with the smallest of its lists; returns the lists of two nodes at least, one of each set of members."""
+        mark = [F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64(F.lit("b"), "node")).alias("b")]
+        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep"), *mark).filter("size > 1")
+        sizes = sizes.groupBy("size", "rep", "a", "b").agg(F.min("key").alias("key")).select("key", "size", "rep")
         members = cut_lineage(keyed.join(sized(cut_lineage(sizes)), "key"))
         self.prepare(members)
         self._link(members.filter(F.col("node") != F.col("rep")).select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct())

@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,61 +81,8 @@ def sketches(docs: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
     return map_texts(rows, fn, {"id": "string", "h": "long", "node": "binary", "n": "long", "sketch": "array<long>"})
 
 
-def similar_pairs(sketches: list[np.ndarray], part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs in different parts that share enough retained values for a Jaccard estimate of ``least``; and that share.
-
-    Shared values are counted by one matrix product of the nodes outside the
-    largest part with all nodes.
-    """
-    size = np.array([len(s) for s in sketches])
-    row = np.repeat(np.arange(len(size)), size)
-    _, value, n = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
-    on = n[value] > 1
-    row, value = row[on], np.cumsum(n > 1)[value[on]] - 1
-    _, code, members = np.unique(part, return_inverse=True, return_counts=True)
-    other = np.flatnonzero(code != members.argmax())
-    shared = np.zeros((len(other), len(size)), np.float32)
-    width = 4096
-    for lo in range(0, int((n > 1).sum()), width):    # columns in blocks: bounded memory
-        x = np.zeros((len(size), width), np.float32)
-        at = (value >= lo) & (value < lo + width)
-        x[row[at], value[at] - lo] = 1
-        shared += x[other] @ x.T
-    share = shared / np.maximum(size[other][:, None], size[None])
-    i, j = np.nonzero((share >= least) & (code[other][:, None] != code[None]))
-    return other[i], j, share[i, j]
-
-
-def linked(sets: list[np.ndarray], part: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join parts of one list: candidates by sketch, most similar first, confirmed on whole sets.
-
-    A pair whose parts are joined already adds nothing and is passed over, so
-    at most one link per node comes out.
-    """
-    i, j, shared = similar_pairs([s[:SKETCH] for s in sets], part, percent / 100 - SLACK)
-    parent = {p: p for p in set(part.tolist())}
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out, part = [], part.tolist()
-    for k in np.argsort(-shared, kind="stable").tolist():
-        a, b = int(i[k]), int(j[k])
-        x, y = find(part[a]), find(part[b])
-        if x != y:
-            n = len(sets[a]) + len(sets[b])
-            both = n - len(np.union1d(sets[a], sets[b]))
-            if both * 100 >= (n - both) * percent:
-                parent[x] = y
-                out.append((a, b))
-    return out
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
-    """(node, grams): the whole sets of the nodes in ``wanted`` (node, h), from one text of each."""
+    """(node, grams): the whole sets of the nodes in ``wanted`` (node, digest, h), from one text of each."""
     def fn(rows, texts, _):
         sets = shingle_sets(texts, k)
         return [[_node(s) for s in sets], [s.view(np.int64) for s in sets]]
@@ -144,7 +90,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFram
     texts = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     wanted = cut_lineage(wanted)
     one = texts.join(sized(wanted.select("h").distinct()), "h", "left_semi").dropDuplicates(["h"])
-    return map_texts(one, fn, {"node": "binary", "grams": "array<long>"}).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = map_texts(one, fn, {"digest": "binary", "grams": "array<long>"})
+    return sets.join(wanted.select("node", "digest"), "digest").drop("digest").dropDuplicates(["node"])
 
 
 def list_keys(percent: int) -> Column:
@@ -161,10 +108,12 @@ def list_keys(percent: int) -> Column:
 
 
 class _Search(ListSearch):
-    """Candidate pairs of one table of nodes, compared and linked."""
+    """Candidate pairs of one table of nodes (node, digest, h, n, sketch), compared and linked.
 
-    bound = 1024             # nodes of a list that one task searches,
-    bound_grams = 1 << 21    # with so many shingles in all (16 MB)
+    Lists of more than ``small`` nodes that still hold several components are
+    dealt anew at once: their rarest shingles tell their nodes apart sooner
+    than comparing them does.
+    """
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int, text: str):
         self.docs, self.nodes, self.k, self.percent, self.text = docs, nodes, k, percent, text
@@ -187,45 +136,30 @@ class _Search(ListSearch):
 
     def prepare(self, members: DataFrame) -> None:
         """Whole sets of all nodes that share a list, made once."""
-        wanted = members.select("node").distinct().join(self.nodes.select("node", "h"), "node")
+        wanted = members.select("node").distinct().join(self.nodes.select("node", "digest", "h"), "node")
         self.sets = cut_lineage(full_sets(self.docs, wanted, self.k, self.text)) if self.sets is None else self.sets
 
-    def fits(self, left: DataFrame) -> DataFrame:
-        sized = left.join(self.nodes.select("node", "n"), "node")
-        grams = sized.filter(F.col("size") <= self.bound).groupBy("key").agg(F.sum("n").alias("grams"))
-        return left.join(grams, "key", "left").withColumn("fits", (F.col("size") <= self.small) | (
-            (F.col("size") <= self.bound) & (F.coalesce("grams", F.lit(0)) <= self.bound_grams)))
-
-    def waves(self, left: DataFrame) -> int:
-        """Two where the lists would move more than the nodes' whole sets once; most lists close after the first."""
-        moved = left.agg(F.sum(F.col("grams") / F.col("size"))).first()[0] or 0
-        held = self.sets.agg(F.sum(F.size("grams"))).first()[0] or 1
-        return 0 if not moved else 2 if moved > held else 1
-
-    def inside(self, left: DataFrame) -> DataFrame:
-        percent = self.percent
-
-        def search(group):
-            nodes = group["node"].tolist()
-            at = linked([np.asarray(g, np.int64).view(np.uint64) for g in group["grams"]], group["part"].to_numpy(), percent)
-            return pd.DataFrame({"u": [nodes[a] for a, _ in at], "v": [nodes[b] for _, b in at]}, dtype=object)
-
-        return left.select("key", "node", "part").join(self.sets, "node").groupBy("key").applyInPandas(search, "u binary, v binary")
-
     def deal(self, hot: DataFrame) -> DataFrame:
         return by_rarest(self.sets, hot, self.percent)
 
 
+def numbered_nodes(rows: DataFrame) -> DataFrame:
+    """(node, digest, h, n, sketch) of every set among ``sketches``; ``node`` is a number: joins and groups work on longs."""
+    one = rows.filter("node IS NOT NULL").groupBy(F.col("node").alias("digest")).agg(F.min("h").alias("h"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    return cut_lineage(one.withColumn("node", F.monotonically_increasing_id()))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, h, n_shingles, node, part) of every row; rows of one component share ``part`` (null for an empty set)."""
     key = dict(docs.dtypes)[id_col]
     rows = cut_lineage(sketches(docs, k, id_col, text))
-    nodes = cut_lineage(rows.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("h").alias("h"), F.max("n").alias("n"), F.first("sketch").alias("sketch")))
+    nodes = numbered_nodes(rows)
     keyed = nodes.select("node", F.explode(list_keys(percent)).alias("key"))
     label = _Search(docs, nodes, k, percent, text).run(keyed)
-    return (rows.select(F.col("id").cast(key).alias(id_col), "h", F.col("n").alias("n_shingles"), "node").join(label, "node", "left")
-                .withColumn("part", F.coalesce("label", "node")).drop("label"))
+    named = label.join(nodes.select("node", "digest"), "node").select(F.col("digest").alias("node"), "label")
+    part = F.struct(F.coalesce("label", F.lit(-1)).alias("label"), F.when(F.col("label").isNull(), F.col("node")).otherwise(F.lit(b"")).alias("alone"))
+    return (rows.select(F.col("id").cast(key).alias(id_col), "h", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+                .withColumn("part", F.when(F.col("node").isNotNull(), part)).drop("label"))
 
 
 def component_ids(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:

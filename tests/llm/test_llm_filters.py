@@ -60,7 +60,6 @@ def test_near_duplicates(docs, empty):
 def test_near_duplicates_with_every_list_large(docs, monkeypatch):
     """Tiny bounds send the lists through dealing and rounds; the links stay the same."""
     monkeypatch.setattr(neardup._Search, "small", 2)
-    monkeypatch.setattr(neardup._Search, "bound", 3)
     monkeypatch.setattr(lists, "ROUND_PAIRS", 40_000)
     same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.op9(docs).collect()], brute.near_duplicates(cases.pairs()))
 

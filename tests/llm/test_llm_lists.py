@@ -22,12 +22,12 @@ def inside_pairs(n, words=200):
 
 def test_large_list_of_documents_loses_no_pair(spark, monkeypatch):
     monkeypatch.setattr(neardup._Search, "small", 2)
-    monkeypatch.setattr(neardup._Search, "bound", 3)
     rows = inside_pairs(40)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     own = cut_lineage(neardup.sketches(docs, 4, "doc_id", "text"))
-    nodes = cut_lineage(own.select("node", "h", "n", "sketch"))
+    nodes = neardup.numbered_nodes(own)
     label = neardup._Search(docs, nodes, 4, 80, "text").run(nodes.select("node", F.lit(1).cast("long").alias("key")))
+    label = label.join(nodes.select("node", "digest"), "node").select(F.col("digest").alias("node"), "label")
     got = own.join(label, "node").groupBy("label").agg(F.sort_array(F.collect_list(F.col("id").cast("long"))).alias("ids")).collect()
     assert sorted(list(r["ids"]) for r in got) == [[2 * i, 2 * i + 1] for i in range(40)]
     assert [c for i, _, c in brute.near_duplicates(rows)] == [i // 2 * 2 for i in range(80)]
