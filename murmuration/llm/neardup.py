@@ -122,9 +122,11 @@ class _Search(ListSearch):
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (u, v): sizes, then sketches, then whole sets."""
         t = self.percent / 100
-        a = self.nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
-        b = self.nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-        near = pairs.join(a, "u").join(b, "v").filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * self.percent)
+        n = self.nodes.select("node", "n")
+        near = (pairs.join(n.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(n.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
+                     .filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * self.percent))    # sizes first: few bytes
+        near = (near.join(self.nodes.select(F.col("node").alias("u"), F.col("sketch").alias("su")), "u")
+                    .join(self.nodes.select(F.col("node").alias("v"), F.col("sketch").alias("sv")), "v"))
         both = F.slice(F.sort_array(F.array_union("su", "sv")), 1, SKETCH)   # bottom-k of the union
         near = near.withColumn("both", both).withColumn("shared", F.size(F.array_intersect("both", F.array_intersect("su", "sv"))))
         near = near.filter(F.col("shared") >= F.size("both") * (t - SLACK)).select("u", "v", "nu", "nv")
