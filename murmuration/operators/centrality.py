@@ -394,27 +394,30 @@ def eigenvector_centrality(graph: DataFrame, nodes: DataFrame, n: int, max_iter:
 
 def centrality_table(graph: DataFrame, eigen_graph: DataFrame | None = None,
                      state_budget: int | None = None, digits: int | None = 10,
-                     **eigen_kwargs) -> tuple[DataFrame, Eigen]:
+                     want_betweenness: bool = True, **eigen_kwargs) -> tuple[DataFrame, Eigen]:
     """Node, degree, in_degree, out_degree, closeness, betweenness, eigenvector.
 
     ``graph`` is the multigraph (degree counts repeats); paths and the
     eigenvector use its simple form (or ``eigen_graph`` if given). ``digits``
-    leading digits of the two summed metrics are kept (None: all).
+    leading digits of the two summed metrics are kept (None: all). No score reads
+    betweenness: ``want_betweenness=False`` leaves its column out.
     """
     nodes = cut_lineage(node_list(graph))
     n = _count(nodes)
     deg = degree_centrality(graph, nodes, n)
     prepared = _prepared(graph, nodes, None)
-    paths = path_centralities(graph, nodes, n, state_budget=state_budget, prepared=prepared)
+    paths = path_centralities(graph, nodes, n, want_betweenness, state_budget=state_budget, prepared=prepared)
     if eigen_graph is not None:
         eig = eigenvector_centrality(eigen_graph, nodes, n, **eigen_kwargs)
     else:
         eig = eigenvector_centrality(graph, nodes, n, prepared=prepared, **eigen_kwargs)
-    table = (deg.join(paths.closeness, "node").join(paths.betweenness, "node")
-                .join(eig.scores, "node"))
+    table = deg.join(paths.closeness, "node")
+    if want_betweenness:
+        table = table.join(paths.betweenness, "node")
+    table = table.join(eig.scores, "node")
     if digits is not None:
         # sums of doubles depend on their order: keep the leading digits only, so that
         # equal scores compare equal, however small they are (degree and closeness are
         # computed from whole numbers and need no rounding)
-        table = table.withColumns({c: significant(F.col(c), digits) for c in ("betweenness", "eigenvector")})
+        table = table.withColumns({c: significant(F.col(c), digits) for c in ("betweenness", "eigenvector") if c in table.columns})
     return table, eig

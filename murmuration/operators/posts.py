@@ -15,6 +15,16 @@ def _cap(df: DataFrame, max_posts: int | None) -> DataFrame:
     return df.orderBy(F.col("created_at").desc(), F.col("post_id").desc()).limit(max_posts)
 
 
+def as_posts(posts: DataFrame) -> DataFrame:
+    """P1 for a whole table: API-shaped records (id, user, created_at, lang, full_text,
+    entities, retweeted_status) become posts with their full text; posts stay as they are."""
+    if "full_text" not in posts.columns:
+        return posts
+    return posts.select(F.col("id").alias("post_id"), F.col("user.screen_name").alias("author"), "created_at",
+                        F.col("full_text").contains(T.RETWEET_MARK).alias("is_retweet"), "lang",
+                        T.resolve_full_text("full_text", "entities.user_mentions", "retweeted_status.full_text").alias("text"))
+
+
 def topic_filter(posts: DataFrame, query: str) -> DataFrame:
     """case-insensitive literal substring match."""
     return posts.filter(F.lower("text").contains(query.lower()))

@@ -116,9 +116,12 @@ def q_mentions_on_topic(spark, sf):
     return P.mentions_on_topic(_posts(spark, sf), "User7", O.TOPIC).select("post_id", "author", "text")
 
 
-@query("account_ids", with_fixtures("SELECT DISTINCT account_id FROM friend_ids", "friend_ids"))
+@query("account_ids", with_fixtures("SELECT account_id FROM friend_ids", "friend_ids"))
 def q_account_ids(spark, sf):
-    return A.unique_ids(fx.friend_ids(spark, sf))
+    """The listing as it came, repeats included, stored and read from the cached copy."""
+    path = _scratch(spark, "id-listing")
+    SK.save_account_ids(fx.friend_ids(spark, sf), path)
+    return RD.read_account_ids(spark, path)
 
 
 # ================================================================== 2.3 projections
@@ -703,14 +706,25 @@ def q_centrality(spark, sf):
     return rounded(_network(spark, sf).centrality)
 
 
+_PREV_NET = [("prev_posts", f"SELECT * FROM posts WHERE created_at < TIMESTAMP '{fx.RUN_CUTOFF}'")] + O.network_ctes(prefix="p_", src="prev_posts")
+
+
 @query("network_summary", net_sql(
-    f"SELECT nodes, edges, round(density_pct, 6) AS density_pct, self_loops, NULL::DOUBLE AS transitivity, "
+    f"SELECT s.nodes, s.edges, round(s.density_pct, 6) AS density_pct, s.self_loops, NULL::DOUBLE AS transitivity, "
     f"true AS allow_retweets, true AS repeated_contact, true AS remove_duplicates, false AS self_loops_allowed, "
-    f"false AS user_activity FROM ({_SIZE_SQL}) s"))
+    f"false AS user_activity, p.nodes AS previous_nodes, s.nodes - p.nodes AS delta_nodes, p.edges AS previous_edges, "
+    f"s.edges - p.edges AS delta_edges, round(p.density_pct, 6) AS previous_density_pct, "
+    f"round(s.density_pct - p.density_pct, 6) AS delta_density_pct FROM ({_SIZE_SQL}) s CROSS JOIN ({O.size_sql('p_edges')}) p",
+    extra=_PREV_NET))
 def q_network_summary(spark, sf):
-    from murmuration.plans.network import network_summary
-    e = _network_edges(spark, sf)
-    return rounded(network_summary(G.build_graph(e, True), _params()))
+    """G13 next to the network of the run before."""
+    from murmuration.plans.network import NETWORK_METRICS, network_summary
+    p = _params()
+    now = network_summary(G.build_graph(_network_edges(spark, sf), True), p)
+    earlier = network_posts(_earlier(_posts(spark, sf)), p)
+    raw = G.mention_edges(earlier, p.selfloop)
+    edges = protect_edges(raw, handle_map(raw, fx.verified_dictionary(spark, sf), p.given, p.hashing, p.hash_bits))
+    return rounded(H.with_previous(now, G.network_size(edges), NETWORK_METRICS))
 
 
 def _lcc_ctes() -> list[tuple]:
@@ -947,43 +961,41 @@ def _scratch(spark, name: str) -> str:
     return f"{base.rstrip('/')}/state-{name}-{uuid.uuid4().hex}"
 
 
-def _run_row(spark, sf, posts_df: DataFrame, run_ts: str) -> DataFrame:
-    p = _params()
-    corpus = network_posts(posts_df, p)
-    raw = G.mention_edges(corpus, p.selfloop)
-    edges = protect_edges(raw, handle_map(raw, fx.verified_dictionary(spark, sf), p.given, p.hashing, p.hash_bits))
-    lex = fx.lexicon(spark)
-    s_all = S.sentiment_summary(corpus, lex).select(F.col("mean").alias("sentiment_all"))
-    s_user = S.sentiment_summary(S.mention_corpus(corpus, p.given), lex).select(F.col("mean").alias("sentiment_user"))
-    return (G.network_size(edges).crossJoin(s_all).crossJoin(s_user)
-            .select(F.lit(p.given).alias("given_user"), F.lit(p.query).alias("query"),
-                    F.lit(run_ts).cast("timestamp").alias("run_ts"), "nodes", "edges", "density_pct",
-                    "sentiment_all", "sentiment_user"))
+HISTORY_METRICS = ("nodes", "edges", "density_pct", "percentile", "sentiment_all", "sentiment_user")
+
+
+def _run(spark, sf, posts_df: DataFrame, **kw):
+    return analyse_network(posts_df, fx.verified_dictionary(spark, sf), _params(betweenness=False, **kw))
+
+
+def _earlier(posts_df: DataFrame) -> DataFrame:
+    return posts_df.filter(F.col("created_at") < F.lit(fx.RUN_CUTOFF).cast("timestamp"))
 
 
 def _runs(spark, sf):
-    posts = _posts(spark, sf)
-    prev = _run_row(spark, sf, posts.filter(F.col("created_at") < F.lit(fx.RUN_CUTOFF).cast("timestamp")), fx.RUN_CUTOFF)
-    cur = _run_row(spark, sf, posts, fx.AS_OF)
-    return prev, cur
-
-
-def _runs_sql() -> list[tuple]:
-    out = [("prev_posts", f"SELECT * FROM posts WHERE created_at < TIMESTAMP '{fx.RUN_CUTOFF}'")]
-    out += O.network_ctes(prefix="p_", src="prev_posts") + O.network_ctes(prefix="c_", src="posts")
-    out += O.sentiment_ctes("p_net_posts", prefix="pa")
-    out += [("p_ment", "SELECT post_id, text FROM p_net_posts WHERE contains(text, '@user7 ')")] + O.sentiment_ctes("p_ment", prefix="pu")
-    out += O.sentiment_ctes("c_net_posts", prefix="ca")
-    out += [("c_ment", "SELECT post_id, text FROM c_net_posts WHERE contains(text, '@user7 ')")] + O.sentiment_ctes("c_ment", prefix="cu")
-    for r, ts in (("p", fx.RUN_CUTOFF), ("c", O.AS_OF)):
+    posts, lex = _posts(spark, sf), fx.lexicon(spark)
+    return (_run(spark, sf, _earlier(posts)).metrics(lex, fx.RUN_CUTOFF), _run(spark, sf, posts).metrics(lex, fx.AS_OF))
+
+
+def _runs_sql(src: str = "posts") -> list[tuple]:
+    out = [("prev_posts", f"SELECT * FROM {src} WHERE created_at < TIMESTAMP '{fx.RUN_CUTOFF}'")]
+    for r, ts, of in (("p", fx.RUN_CUTOFF, "prev_posts"), ("c", O.AS_OF, src)):
+        out += O.network_ctes(prefix=f"{r}_", src=of)
+        out += O.sentiment_ctes(f"{r}_net_posts", prefix=f"{r}a")
+        out += [(f"{r}_ment", f"SELECT post_id, text FROM {r}_net_posts WHERE contains(text, '@user7 ')")]
+        out += O.sentiment_ctes(f"{r}_ment", prefix=f"{r}u") + O.score_ctes(f"{r}_", f"{r}_edges")
         out.append((f"{r}_row", f"SELECT 'user7' AS given_user, 'launch' AS query, TIMESTAMP '{ts}' AS run_ts, nodes, edges, "
-                                f"density_pct, (SELECT mean FROM {r}a_sum) AS sentiment_all, (SELECT mean FROM {r}u_sum) AS sentiment_user "
-                                f"FROM ({O.size_sql(r + '_edges')}) s"))
+                                f"density_pct, (SELECT max(pct) FROM {r}_score_t WHERE node = {O.q(O.GIVEN)}) AS percentile, "
+                                f"(SELECT mean FROM {r}a_sum) AS sentiment_all, (SELECT mean FROM {r}u_sum) AS sentiment_user "
+                                f"FROM ({O.size_sql(r + '_edges')}) s", True))
     return out
 
 
-def _hist_sql(body: str) -> str:
-    return with_fixtures(body, "posts", "verified_dictionary", "lexicon", extra=_runs_sql())
+def _hist_sql(body: str, src: str = "posts", extra=lambda: []) -> str:
+    api = [("api_posts", "SELECT id AS post_id, screen_name AS author, created_at, contains(full_text, 'RT @') AS is_retweet, lang, "
+                         "CASE WHEN contains(full_text, 'RT @') THEN coalesce('RT @' || first_mention || ': ' || rt_full_text, full_text) "
+                         "ELSE full_text END AS text FROM raw_posts")] if src == "api_posts" else []
+    return with_fixtures(body, "posts", "raw_posts", "verified_dictionary", "lexicon", extra=api + _runs_sql(src) + extra())
 
 
 _TS = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
@@ -992,7 +1004,7 @@ _TS = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
 @query("compare_last_run", _hist_sql(
     f"SELECT c.given_user, c.query, {_TS.format(c='c.run_ts')} AS run_ts, {_TS.format(c='p.run_ts')} AS previous_run_ts, "
     + ", ".join(f"round(c.{m}, 6) AS {m}, round(p.{m}, 6) AS previous_{m}, round(c.{m} - p.{m}, 6) AS delta_{m}"
-                for m in ("nodes", "edges", "density_pct", "sentiment_all", "sentiment_user"))
+                for m in HISTORY_METRICS)
     + " FROM c_row c LEFT JOIN p_row p ON c.given_user = p.given_user AND c.query = p.query AND p.run_ts < c.run_ts"))
 def q_compare_last_run(spark, sf):
     prev, cur = _runs(spark, sf)
@@ -1003,27 +1015,73 @@ def q_compare_last_run(spark, sf):
 
 @query("previous_value", _hist_sql(
     f"SELECT given_user, query, {_TS.format(c='run_ts')} AS run_ts, nodes, "
-    f"lag(nodes) OVER (PARTITION BY given_user, query ORDER BY run_ts) AS previous_nodes "
+    f"lag(nodes) OVER (PARTITION BY given_user, query ORDER BY run_ts) AS previous_nodes, round(percentile, 6) AS percentile, "
+    f"round(lag(percentile) OVER (PARTITION BY given_user, query ORDER BY run_ts), 6) AS previous_percentile "
     f"FROM (SELECT * FROM p_row UNION ALL SELECT * FROM c_row) h"))
 def q_previous_value(spark, sf):
     prev, cur = _runs(spark, sf)
-    return H.previous_value(prev.unionByName(cur), "nodes").withColumn(
-        "run_ts", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss"))
+    return rounded(H.previous_value(prev.unionByName(cur), "nodes", "percentile").withColumn(
+        "run_ts", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss")))
 
 
 @query("read_run_history", _hist_sql(
-    f"SELECT given_user, query, {_TS.format(c='run_ts')} AS run_ts, nodes, edges, round(density_pct, 6) AS density_pct "
-    f"FROM c_row"))
+    f"SELECT given_user, query, {_TS.format(c='run_ts')} AS run_ts, nodes, edges, round(density_pct, 6) AS density_pct, "
+    f"round(percentile, 6) AS percentile FROM c_row"))
 def q_read_run_history(spark, sf):
     """S8 + K6: both runs appended to a history table, read back, newest per key."""
     prev, cur = _runs(spark, sf)
     path = _scratch(spark, "history")
     empty = RD.read_run_history(spark, path)          # first run: no table yet
-    SK.append_run_history(prev.unionByName(empty.select(*prev.columns)), path)
+    SK.append_run_history(prev.unionByName(empty), path)
     SK.append_run_history(cur, path)
-    hist = H.latest_runs(RD.read_run_history(spark, path).select(*prev.columns))
+    hist = H.latest_runs(RD.read_run_history(spark, path))
     return rounded(hist.select("given_user", "query", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts"),
-                               "nodes", "edges", "density_pct"))
+                               "nodes", "edges", "density_pct", "percentile"))
+
+
+@query("influence_run", _hist_sql(
+    "SELECT section, node AS item, round(pct, 6) AS value, CAST(NULL AS DOUBLE) AS previous, CAST(NULL AS DOUBLE) AS delta FROM "
+    "(SELECT * FROM top_block UNION ALL SELECT * FROM given_row UNION ALL SELECT * FROM tail_block) r "
+    + "".join(f"UNION ALL SELECT 'comparison', '{m}', round(CAST(c.{m} AS DOUBLE), 6), round(CAST(p.{m} AS DOUBLE), 6), "
+              f"round(CAST(c.{m} - p.{m} AS DOUBLE), 6) FROM c_row c CROSS JOIN p_row p " for m in HISTORY_METRICS)
+    + "".join(f"UNION ALL SELECT 'network', '{m}', round(CAST(c.{m} AS DOUBLE), 6), round(CAST(p.{m} AS DOUBLE), 6), "
+              f"round(CAST(c.{m} - p.{m} AS DOUBLE), 6) FROM c_row c CROSS JOIN p_row p " for m in ("nodes", "edges", "density_pct"))
+    + "UNION ALL SELECT 'export', 'nodes', CAST((SELECT count(*) FROM ids) AS DOUBLE), NULL, NULL "
+      "UNION ALL SELECT 'export', 'links', CAST((SELECT count(*) FROM kept_edges) AS DOUBLE), NULL, NULL",
+    src="api_posts", extra=lambda: [("edges", "SELECT * FROM c_edges", True),
+                                    ("cent", "SELECT d.node, degree, in_degree, out_degree, closeness, CAST(printf('%.9e', eigenvector) "
+                                             "AS DOUBLE) AS eigenvector, score FROM c_deg_c d JOIN c_close_c c ON d.node = c.node "
+                                             "JOIN c_eig_c e ON d.node = e.node JOIN c_summed s ON d.node = s.node", True)]
+    + O.ranking_ctes() + _lcc_ctes()))
+def q_influence_run(spark, sf):
+    """Entry 1 end to end on API-shaped posts: two runs, the second compared with the stored first, both exported."""
+    from murmuration.plans.network import run_and_store
+    raw, lex, folder = fx.raw_posts(spark, sf), fx.lexicon(spark), _scratch(spark, "influence-run")
+    run_and_store(_run(spark, sf, _earlier(raw)), lex, fx.RUN_CUTOFF, folder)
+    rep = run_and_store(_run(spark, sf, raw), lex, fx.AS_OF, folder)
+    none = F.lit(None).cast("double")
+
+    def unpivot(df: DataFrame, section: str, cols) -> DataFrame:
+        return df.select(F.explode(F.array(*[F.struct(
+            F.lit(c).alias("item"), F.col(c).cast("double").alias("value"), F.col(f"previous_{c}").cast("double").alias("previous"),
+            F.col(f"delta_{c}").cast("double").alias("delta")) for c in cols])).alias("r")).select(F.lit(section).alias("section"), "r.*")
+
+    out = rep.accounts.select("section", F.col("node").alias("item"), F.col("pct").alias("value"), none.alias("previous"), none.alias("delta"))
+    out = out.unionByName(unpivot(rep.comparison, "comparison", HISTORY_METRICS))
+    out = out.unionByName(unpivot(rep.network, "network", ("nodes", "edges", "density_pct")))
+    for table in ("nodes", "links"):
+        n = spark.read.option("header", True).csv(f"{folder}/{table}").agg(F.count(F.lit(1)).cast("double").alias("value"))
+        out = out.unionByName(n.select(F.lit("export").alias("section"), F.lit(table).alias("item"), "value", none.alias("previous"), none.alias("delta")))
+    return rounded(out)
+
+
+@query("read_verified_dictionary_object", with_fixtures("SELECT account_id, screen_name FROM verified_dictionary", "accounts",
+                                                        "verified_dictionary"))
+def q_read_verified_dictionary_object(spark, sf):
+    """K1 + S6: the dictionary written as one {id: handle} object over many part files and read back."""
+    path = _scratch(spark, "dictionary-object")
+    SK.write_verified_dictionary(fx.verified_dictionary(spark, sf), path, fmt="object")
+    return RD.read_verified_dictionary(spark, path, fmt="object")
 
 
 @query("read_verified_dictionary", with_fixtures("SELECT account_id, screen_name FROM verified_dictionary", "accounts",
@@ -1233,8 +1291,8 @@ def q_append_outcome_ids(spark, sf):
 
 
 @query("append_run_history", _hist_sql(
-    f"SELECT given_user, query, {_TS.format(c='run_ts')} AS run_ts, nodes, edges FROM "
-    f"(SELECT * FROM p_row UNION ALL SELECT * FROM c_row) h"))
+    f"SELECT given_user, query, {_TS.format(c='run_ts')} AS run_ts, nodes, edges, round(percentile, 6) AS percentile "
+    f"FROM (SELECT * FROM p_row UNION ALL SELECT * FROM c_row) h"))
 def q_append_run_history(spark, sf):
     """K6: every run is kept (append), not overwritten."""
     prev, cur = _runs(spark, sf)
@@ -1242,7 +1300,7 @@ def q_append_run_history(spark, sf):
     SK.append_run_history(prev, path)
     SK.append_run_history(cur, path)
     h = RD.read_run_history(spark, path)
-    return h.select("given_user", "query", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts"), "nodes", "edges")
+    return rounded(h.select("given_user", "query", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts"), "nodes", "edges", "percentile"))
 
 
 @query("network_summary_simple", net_sql(

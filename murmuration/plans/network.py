@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 
 from murmuration.functions.privacy import protected_handle
 from murmuration.operators import centrality as C
+from murmuration.operators import export as X
 from murmuration.operators import graph as G
+from murmuration.operators import history as H
 from murmuration.operators import posts as P
 from murmuration.operators import ranking as R
 from murmuration.operators import sentiment as S
 from murmuration.operators.accounts import flag_verified
 from murmuration.session import cut_lineage
+from murmuration.sources import readers as RD
+from murmuration.sources import sinks as SK
+
+
+NETWORK_METRICS = ("nodes", "edges", "density_pct")
 
 
 @dataclass
@@ -37,6 +44,7 @@ class NetworkParams:
     get_user_activity: bool = False
     mentions_of_user: bool = False
     score: str = "sum"                  # sum | eigenvector
+    betweenness: bool = True            # no score reads it; False leaves the column out
     seed: str = "123456789"
     mention_match: str = "substring"    # F5 mode for the mentions corpus
     eigen: dict = field(default_factory=dict)
@@ -91,8 +99,10 @@ class NetworkResult:
         pct = R.percentile_rank(self.centrality, "score", "pct")
         return pct.filter(F.col("node") == self.params.given).select(F.col("pct").alias("percentile"))
 
-    def summary(self) -> DataFrame:
-        return network_summary(self.graph, self.params)
+    def summary(self, previous: DataFrame | None = None) -> DataFrame:
+        """G13; with ``previous`` (one stored run at most) also its values and the differences."""
+        out = network_summary(self.graph, self.params)
+        return out if previous is None else H.with_previous(out, previous, NETWORK_METRICS)
 
     def sentiment(self, lexicon: DataFrame, about_given: bool = False) -> DataFrame:
         c = self.corpus
@@ -100,6 +110,53 @@ class NetworkResult:
             c = S.mention_corpus(c, self.params.given, self.params.mention_match)
         return S.sentiment_summary(c, lexicon, self.params.remove_duplicates)
 
+    def metrics(self, lexicon: DataFrame, run_ts: str) -> DataFrame:
+        """The run as one row of the history table (K6); the percentile is NULL for an absent account."""
+        p = self.params
+        size = G.network_size(self.graph).select("nodes", "edges", "density_pct")
+        pct = self.percentile().agg(F.max("percentile").alias("percentile"))
+        every = self.sentiment(lexicon).select(F.col("mean").alias("sentiment_all"))
+        about = self.sentiment(lexicon, about_given=True).select(F.col("mean").alias("sentiment_user"))
+        row = size.crossJoin(pct).crossJoin(every).crossJoin(about)    # one row each
+        # stored: comparing and saving read the same row
+        return cut_lineage(row.select(F.lit(p.given).alias("given_user"), F.lit(p.query).alias("query"),
+                                      F.lit(run_ts).cast("timestamp").alias("run_ts"), "nodes", "edges", "density_pct",
+                                      "percentile", "sentiment_all", "sentiment_user"))
+
+    def previous(self, history: DataFrame, run_ts: str) -> DataFrame:
+        """The newest stored run of this account and topic before ``run_ts`` (one row at most)."""
+        p = self.params
+        mine = history.filter((F.col("given_user") == p.given) & (F.col("query") == p.query))
+        return H.latest_runs(mine.filter(F.col("run_ts") < F.lit(run_ts).cast("timestamp")))
+
+    def export(self, folder: str) -> None:
+        """G14 + K4 + K5: node and link table of the largest component as CSV below ``folder``."""
+        nodes, links = X.export_graph(self.edges, self.params.given, self.params.multi)
+        SK.export_csv(nodes, f"{folder}/nodes")
+        SK.export_csv(links, f"{folder}/links")
+
+
+@dataclass
+class RunReport:
+    accounts: DataFrame      # section, pct, score, node
+    network: DataFrame       # G13 with previous_* and delta_*
+    comparison: DataFrame    # J11: every metric, the previous one, the difference
+
+
+def run_and_store(result: NetworkResult, lexicon: DataFrame, run_ts: str, folder: str) -> RunReport:
+    """Entry 1 to its end: report, comparison with the stored run, export, and the run appended to the history.
+
+    State lives below ``folder``: ``history`` (parquet, one row a run), ``nodes`` and ``links`` (CSV, replaced).
+    A run repeated under the same ``run_ts`` (after a failure) is compared with the run before it, not with itself.
+    """
+    path = f"{folder}/history"
+    stored = cut_lineage(RD.read_run_history(result.edges.sparkSession, path))    # read before this run is appended
+    row = result.metrics(lexicon, run_ts)
+    report = RunReport(result.report(), result.summary(result.previous(stored, run_ts)), H.compare_last_run(row, stored))
+    result.export(folder)
+    SK.append_run_history(row, path)
+    return report
+
 
 def network_summary(graph: DataFrame, p: NetworkParams) -> DataFrame:
     """Nodes, edges, density %, self-loops, transitivity (simple graph only), settings."""
@@ -115,14 +172,15 @@ def network_summary(graph: DataFrame, p: NetworkParams) -> DataFrame:
 
 def analyse_network(posts: DataFrame, dictionary: DataFrame, p: NetworkParams | None = None,
                     state_budget: int | None = None) -> NetworkResult:
+    """``posts``: a post table, or API-shaped records (``operators.posts.as_posts``)."""
     p = p or NetworkParams()
-    corpus = network_posts(posts, p)
+    corpus = network_posts(P.as_posts(posts), p)
     raw_edges = G.mention_edges(corpus.select("post_id", "author", "text"), p.selfloop)
     mapping = handle_map(raw_edges, dictionary, p.given, p.hashing, p.hash_bits)
     # materialised once in the shared checkpoint folder: every later step reads it
     edges = cut_lineage(protect_edges(raw_edges, mapping))
     graph = G.build_graph(edges, p.multi)
     given_present = edges.filter((F.col("sender") == p.given) | (F.col("receiver") == p.given)).limit(1).count() > 0
-    table, eig = C.centrality_table(graph, state_budget=state_budget, **p.eigen)
+    table, eig = C.centrality_table(graph, state_budget=state_budget, want_betweenness=p.betweenness, **p.eigen)
     table = cut_lineage(R.combined_score(table, p.score))
     return NetworkResult(p, corpus, edges, graph, table, eig, given_present)

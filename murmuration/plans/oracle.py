@@ -9,6 +9,8 @@ converged one is picked.
 
 from __future__ import annotations
 
+import re
+
 # Fixed values of the registered queries (shared with catalog.py).
 TOPIC = "launch"
 GIVEN = "user7"
@@ -124,6 +126,18 @@ def centrality_ctes(graph: str = "graph", depth: int = BFS_DEPTH, max_iter: int
     return out
 
 
+def score_ctes(prefix: str, graph: str) -> list[tuple]:
+    """{p}score (node, score, pct): the percentile of every account of ``graph``, under names of their own."""
+    unread = ("bfs_check", "pairdep", "betw_c", "cent")
+    ctes = [c for c in centrality_ctes(graph) if c[0] not in unread]
+    ctes.append(("summed", "SELECT d.node, degree + closeness + CAST(printf('%.9e', eigenvector) AS DOUBLE) AS score FROM deg_c d "
+                           "JOIN close_c c ON d.node = c.node JOIN eig_c e ON d.node = e.node", True))
+    ctes.append(("score_t", "SELECT node, score, ((rank() OVER (ORDER BY score)) - 1 + count(*) OVER (ORDER BY score RANGE BETWEEN "
+                            "UNBOUNDED PRECEDING AND CURRENT ROW) + 1) * 50.0 / count(*) OVER () AS pct FROM summed"))
+    own = re.compile(r"(?<![\w.])(" + "|".join(c[0] for c in ctes) + r")\b")
+    return [(prefix + c[0], own.sub(lambda m: prefix + m.group(1), c[1]), *c[2:]) for c in ctes]
+
+
 def ranking_ctes(given: str = GIVEN, gain: float = GAIN, seed: str = SEED) -> list[tuple]:
     """pct (cent + percentile), rk (rank order), report rows."""
     u = f"(CAST(('0x' || substr(md5({q(seed)} || node), 1, 8)) AS BIGINT) / 4294967296.0)"

@@ -42,6 +42,7 @@ class TopicReport:
 
 def topic_report(posts: DataFrame, lexicon: DataFrame, p: TopicParams | None = None) -> TopicReport:
     p = p or TopicParams()
+    posts = P.as_posts(posts)
     if p.search == "by":
         sel = P.posts_by_account(posts, p.given_user, p.max_posts)
     elif p.search == "at":

@@ -18,15 +18,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_verified_dictionary(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
     """(account_id string, screen_name) from JSON lines, parquet, or the
-    legacy single JSON object ``{id: handle}`` (one object per file)."""
+    legacy single JSON object ``{id: handle}``, on one line or over many lines
+    and files (an entry must not be broken over lines)."""
     if fmt == "jsonl":
         return spark.read.schema("account_id string, screen_name string").json(path)
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "object":
-        whole = spark.read.text(path, wholetext=True)
-        m = F.from_json(F.col("value"), "map<string,string>")
-        return whole.select(F.explode(m).alias("account_id", "screen_name"))
+        entries = F.regexp_replace(F.trim("value"), r"^[{,]|[,}]$", "")    # a line holds some whole entries
+        m = F.from_json(F.concat(F.lit("{"), F.trim(entries), F.lit("}")), "map<string,string>")
+        return spark.read.text(path).select(F.explode(m).alias("account_id", "screen_name"))
     raise ValueError(fmt)
 
 

@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-OBJECT_EXPORT_MAX_ROWS = 1_000_000   # the legacy single-object export gathers one row
-
-
 def write_verified_dictionary(dictionary: DataFrame, path: str, fmt: str = "jsonl") -> None:
     """K1: the full dictionary, replacing the previous one.
 
-    ``jsonl``/``parquet`` are written by all tasks. ``object`` reproduces the
-    legacy single ``{id: handle}`` object and therefore gathers the whole
-    dictionary into one row: only for small exports.
+    ``jsonl``/``parquet`` are written as they lie. ``object`` is the legacy
+    single ``{id: handle}`` object: one entry a line in id order, over as many
+    part files as the order has ranges, which joined in file order are one
+    JSON object. Of an id with several handles the first in order stays.
     """
     d = dictionary.select("account_id", "screen_name")
     if fmt == "jsonl":
@@ -22,15 +20,23 @@ def write_verified_dictionary(dictionary: DataFrame, path: str, fmt: str = "json
     elif fmt == "parquet":
         d.write.mode("overwrite").parquet(path)
     elif fmt == "object":
-        n = d.count()
-        if n > OBJECT_EXPORT_MAX_ROWS:
-            raise ValueError(f"{n} entries: too many for a single JSON object; use fmt='jsonl' or 'parquet'")
-        obj = d.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("account_id", "screen_name")))).alias("value"))
-        obj.coalesce(1).write.mode("overwrite").text(path)
+        _object_lines(d).write.mode("overwrite").text(path)
     else:
         raise ValueError(fmt)
 
 
+def _object_lines(d: DataFrame) -> DataFrame:
+    """The lines of one JSON object in order: ``{``, an entry each (a comma before all but the first), ``}``."""
+    entries = d.filter(F.col("account_id").isNotNull()).groupBy("account_id").agg(F.min("screen_name").alias("screen_name"))
+    first = entries.agg(F.min("account_id").alias("_first"))     # one row
+    pair = F.to_json(F.create_map("account_id", "screen_name"), {"ignoreNullFields": "false"})
+    comma = F.when(F.col("account_id") == F.col("_first"), F.lit("")).otherwise(F.lit(","))
+    lines = entries.crossJoin(F.broadcast(first)).select(
+        F.lit(1).alias("part"), "account_id", F.concat(comma, pair.substr(F.lit(2), F.length(pair) - 2)).alias("value"))
+    ends = d.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "part int, account_id string, value string")
+    return lines.unionByName(ends).orderBy("part", "account_id").select("value")
+
+
 def checkpoint_progress(outcomes: DataFrame, path: str) -> None:
     """K2: append finished outcomes; a restart anti-joins against them."""
     outcomes.write.mode("append").parquet(path)
