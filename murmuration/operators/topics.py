@@ -133,27 +133,90 @@ def suggested_topics(features: DataFrame, k: int = 10, order: str = "alphabetica
 
 # ---------------------------------------------------------------- topic model
 
-def lda_topics(corpus: DataFrame, text_col: str = "text", k: int = 3, top_words: int = 5,
-               seed: int = 0, max_iter: int = 10, min_df: float = 1.0) -> DataFrame:
-    """M1: LDA with k topics, top words and weights per topic (one document per post).
+# The asymptotic series of the digamma function, used from x + 6 on.
+_DIGAMMA_SHIFT = 6
+DIGAMMA_SQL = ("(ln({x} + 6) - 1 / (2 * ({x} + 6)) - 1 / (12 * power({x} + 6, 2)) + 1 / (120 * power({x} + 6, 4)) "
+               "- 1 / (252 * power({x} + 6, 6)) - " + " - ".join(f"1 / ({{x}} + {i})" for i in range(_DIGAMMA_SHIFT)) + ")")
 
-    Every step draws as many documents as there are, with replacement (Spark's
-    online optimizer), so about 37 % are not read in a step. The vocabulary
-    holds every word of at least ``min_df`` documents, on the driver.
+
+def digamma(x: str) -> str:
+    """SQL text of digamma(x) for a positive double column ``x`` (error below 1e-8)."""
+    return DIGAMMA_SQL.format(x=x)
+
+
+def document_terms(corpus: DataFrame, doc_id: str, text_col: str = "text", min_df: int = 10, max_df: float = 0.9) -> DataFrame:
+    """F14 over whole documents: (doc, word, n) for words with min_df <= df <= max_df * documents.
+
+    Repeated rows of one id are one document. Kept words only (P7, P8, J12).
+    """
+    kept = kept_tokens(corpus, text_col).select(F.col(doc_id).alias("doc"), F.explode("kept").alias("word")).filter("word <> ''")
+    pairs = kept.groupBy("doc", "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = cut_lineage(pairs)      # read by the document count, the frequencies and every step
+    docs = pairs.select("doc").distinct().agg(F.count(F.lit(1)).alias("n_docs"))     # one row
+    words = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs))
+    frequent = words.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs"))).select("word")
+    return pairs.join(frequent, "word")
+
+
+def fit_topics(terms: DataFrame, k: int = 3, steps: int = 10, inner: int = 2) -> DataFrame:
+    """M1: variational LDA over all of ``terms`` (doc, word, n): one row per word with its pseudo-counts l0, l1, ...
+
+    Priors are 1/k as in the usual batch implementation; the start is a hash
+    of (word, topic). A step reads every pair once: it meets its word's
+    weights (one join), the documents' topic mixtures are refined ``inner``
+    times by sums over the document where its pairs lie (one exchange), and
+    partially aggregated sums by word give the next weights. Between steps
+    only the word table is stored, so nothing grows on the driver.
+    """
+    topics, prior = range(k), 1.0 / k
+    start = [(F.lit(1.0) + F.conv(F.substring(F.md5(F.concat(F.col("word"), F.lit(f"#{t}"))), 1, 8), 16, 10).cast("double")
+              / F.lit(4294967296.0)).alias(f"l{t}") for t in topics]
+    weights = cut_lineage(terms.select("word").distinct().select("word", *start))
+    for _ in range(steps):
+        totals = weights.agg(*[F.sum(f"l{t}").alias(f"s{t}") for t in topics])       # one row
+        b = weights.crossJoin(F.broadcast(totals)).select(
+            "word", *[F.expr(f"exp({digamma(f'l{t}')} - {digamma(f's{t}')})").alias(f"b{t}") for t in topics])
+        rows = terms.join(b, "word")
+        share = [F.col(f"b{t}") for t in topics]
+        for _ in range(inner):
+            rows = _mixtures(rows, share, prior)
+            share = [F.expr(f"exp({digamma(f'g{t}')})") * F.col(f"b{t}") for t in topics]
+        rows = _shares(rows, share)
+        weights = cut_lineage(rows.groupBy("word").agg(*[(F.lit(prior) + F.sum(F.col("n") * F.col(f"p{t}"))).alias(f"l{t}") for t in topics]))
+    return weights
+
+
+def _shares(rows: DataFrame, share: list) -> DataFrame:
+    """``p0..``: the normalised shares of each pair."""
+    own = rows.withColumns({f"e{t}": x for t, x in enumerate(share)})
+    total = sum((F.col(f"e{t}") for t in range(1, len(share))), F.col("e0"))
+    return own.withColumns({f"p{t}": F.col(f"e{t}") / total for t in range(len(share))})
+
+
+def _mixtures(rows: DataFrame, share: list, prior: float) -> DataFrame:
+    """``g0..``: topic pseudo-counts of each pair's document under ``share``."""
+    from pyspark.sql import Window
+    doc = Window.partitionBy("doc")
+    shared = _shares(rows, share)
+    return shared.select("doc", "word", "n", *[f"b{t}" for t in range(len(share))],
+                         *[(F.lit(prior) + F.sum(F.col("n") * F.col(f"p{t}")).over(doc)).alias(f"g{t}") for t in range(len(share))])
+
+
+def lda_topics(corpus: DataFrame, doc_id: str, text_col: str = "text", k: int = 3, top_words: int = 5,
+               steps: int = 10, min_df: int = 10, max_df: float = 0.9) -> DataFrame:
+    """M1: the ``top_words`` words of each of ``k`` topics: (topic, rank, word, weight), ties by word.
+
+    An empty vocabulary (too few documents) gives no rows.
     """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-
-    docs = kept_tokens(corpus, text_col).select(F.filter("kept", lambda t: t != "").alias("kept"))
-    docs = docs.filter(F.size("kept") > 0)
-    vocab_size = max(1, docs.select(F.explode("kept").alias("w")).distinct().count())
-    cv = CountVectorizer(inputCol="kept", outputCol="tf", minDF=min_df, vocabSize=vocab_size).fit(docs)
-    model = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="tf", optimizer="online", subsamplingRate=1.0).fit(cv.transform(docs))
-    # the fitted model already holds the vocabulary
-    vocab = corpus.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "term long, word string")
-    topics = model.describeTopics(top_words)
-    z = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "tw"))
-    z = z.select("topic", "rank", F.col("tw.termIndices").cast("long").alias("term"), F.col("tw.termWeights").alias("w"))
-    return (z.join(vocab, "term")
-             .select(F.col("topic").cast("long").alias("topic"), F.col("rank").cast("long").alias("rank"),
-                     "word", F.round(F.col("w"), 6).alias("weight")))
+    weights = fit_topics(document_terms(corpus, doc_id, text_col, min_df, max_df), k, steps)
+    totals = weights.agg(*[F.sum(f"l{t}").alias(f"s{t}") for t in range(k)])
+    scored = weights.crossJoin(F.broadcast(totals)).select("word", *[F.round(F.col(f"l{t}") / F.col(f"s{t}"), 6).alias(f"w{t}") for t in range(k)])
+    out = None
+    from pyspark.sql import Window  # bounded: top_words rows
+    for t in range(k):
+        order = [F.col(f"w{t}").desc(), F.col("word")]
+        top = scored.select("word", f"w{t}").orderBy(*order).limit(top_words)
+        top = top.select(F.lit(t).cast("long").alias("topic"), (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("rank"),
+                         "word", F.col(f"w{t}").alias("weight"))
+        out = top if out is None else out.unionByName(top)
+    return out

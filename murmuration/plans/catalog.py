@@ -940,10 +940,46 @@ def q_document_topics(spark, sf):
     return TP.suggested_topics(TP.frequent_features(_doc_items(spark, sf)), order="frequency")
 
 
-@query("lda_topics")
+def _lda_ctes(k: int = 3, steps: int = 10, inner: int = 2) -> list[tuple]:
+    """The steps of M1 unrolled: pairs (doc, word, n), w0 .. w{steps} (word, l0 ..)."""
+    ts = range(k)
+
+    def cols(pattern: str) -> str:
+        return ", ".join(pattern.format(t=t) for t in ts)
+
+    out = [
+        ("kept", _kept_sql("documents", "doc_id", "text", "doc_id AS d_key")),
+        ("counted", "SELECT post_id AS doc, word, CAST(count(*) AS DOUBLE) AS n FROM (SELECT post_id, unnest(kept) AS word FROM kept) u "
+                    "WHERE word <> '' GROUP BY ALL", True),
+        ("vocabulary", "SELECT word FROM counted GROUP BY word HAVING count(*) >= 10 AND "
+                       "count(*) <= 0.9 * (SELECT count(DISTINCT doc) FROM counted)"),
+        ("pairs", "SELECT * FROM counted WHERE word IN (SELECT word FROM vocabulary)", True),
+        ("w0", "SELECT word, " + cols("1.0::DOUBLE + CAST(('0x' || substr(md5(word || '#{t}'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS l{t}")
+               + " FROM (SELECT DISTINCT word FROM pairs) v", True),
+    ]
+    for step in range(1, steps + 1):
+        out.append((f"b_{step}", "SELECT word, " + ", ".join(f"exp({TP.digamma(f'l{t}')} - {TP.digamma(f's{t}')}) AS b{t}" for t in ts)
+                    + f" FROM w{step - 1} CROSS JOIN (SELECT " + cols("sum(l{t}) AS s{t}") + f" FROM w{step - 1}) s", True))
+        src, share = f"SELECT doc, word, n, {cols('b{t}')}, {cols('b{t} AS e{t}')} FROM pairs JOIN b_{step} USING (word)", None
+        for i in range(inner):
+            out.append((f"e_{step}_{i}", src, True))
+            total = " + ".join(f"e{t}" for t in ts)
+            out.append((f"g_{step}_{i}", "SELECT doc, " + cols(f"{1.0 / k!r} + sum(n * e{{t}} / ({total})) AS g{{t}}") + f" FROM e_{step}_{i} GROUP BY doc", True))
+            src = (f"SELECT doc, word, n, {cols('b{t}')}, " + ", ".join(f"exp({TP.digamma(f'g{t}')}) * b{t} AS e{t}" for t in ts)
+                   + f" FROM e_{step}_{i} JOIN g_{step}_{i} USING (doc)")
+        total = " + ".join(f"e{t}" for t in ts)
+        out.append((f"w{step}", "SELECT word, " + cols(f"{1.0 / k!r} + sum(n * e{{t}} / ({total})) AS l{{t}}") + f" FROM ({src}) f GROUP BY word", True))
+    return out
+
+
+@query("lda_topics", with_fixtures(" UNION ALL ".join(
+    f"SELECT * FROM (SELECT CAST({t} AS BIGINT) AS topic, CAST(row_number() OVER (ORDER BY weight DESC, word) - 1 AS BIGINT) AS rank, word, weight "
+    f"FROM (SELECT word, round(l{t} / (SELECT sum(l{t}) FROM w10), 6) AS weight FROM w10) x) y WHERE rank < 5" for t in range(3)),
+    "stop_words", extra=_lda_ctes()))
 def q_lda_topics(spark, sf):
-    """M1: no SQL twin; the driver checks rows only (3 topics x 5 words)."""
-    return TP.lda_topics(_posts(spark, sf).filter(F.col("lang") == "en"))
+    """M1 over all documents of every language: 3 topics x 5 words after ten full steps."""
+    from murmuration.sources.tables import read_table
+    return TP.lda_topics(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 # ================================================================== history, stored state
