@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+from fractions import Fraction
 
 
 def lower_ascii(t):
@@ -114,25 +115,23 @@ def quality(t):
             "base_failed": len(w) < 50 or 100 * len(repeat) > 50 * len(w)}
 
 
-def mixture(docs, frame, block_rows):
+def mixture(docs, block_rows, weight=None):
     """{(doc_id, source): (block, slot, row)} by a slot-by-slot simulation over rows (doc_id, source), ids distinct."""
     by = collections.defaultdict(list)
     for i, s in docs:
         by["-" if s is None else "+" + s].append(i)
     names = sorted(by)
-    weight = {s: math.sqrt(len(by[s])) for s in names}
+    weight = {s: Fraction(weight[s]) if weight else Fraction(int(math.sqrt(len(by[s])) * 2**20)) for s in names}
     total = sum(weight.values())
-    ideal = {s: weight[s] * (frame - len(names)) / total for s in names}
-    quanta = {s: 1 + int(ideal[s]) for s in names}
-    for s in sorted(names, key=lambda s: (int(ideal[s]) - ideal[s], s))[:frame - sum(quanta.values())]:
-        quanta[s] += 1
     blocks = {s: -(-len(by[s]) // block_rows) for s in names}
     had, slots, t = dict.fromkeys(names, 0), {}, 0
     while any(had[s] < blocks[s] for s in names):
-        ready = [(math.ceil((had[s] + 1) * frame / quanta[s]), s) for s in names if had[s] * frame // quanta[s] <= t]
-        s = min(ready)[1]
-        slots[s, had[s]] = t
-        had[s] += 1
+        ready = [(math.ceil((had[s] + 1) * total / weight[s]), s) for s in names
+                 if had[s] < blocks[s] and math.floor(had[s] * total / weight[s]) <= t]
+        if ready:
+            s = min(ready)[1]
+            slots[s, had[s]] = t
+            had[s] += 1
         t += 1
     out = {}
     for s in names:

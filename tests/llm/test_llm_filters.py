@@ -1,9 +1,12 @@
 """Quality rules, line and document deduplication, decontamination and mixing against brute force."""
 
 import collections
+import itertools
+from fractions import Fraction
 
 import brute
 import cases
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,28 +141,42 @@ def test_remove_contaminated(spark, docs, empty):
 def test_mixing(spark, docs, empty):
     rows = {(r[0], r[3]) for r in cases.rows() if r[0] not in (None, 500)}
     df = spark.createDataFrame(sorted(rows, key=str), "doc_id long, source string").withColumn("text", F.lit("t"))
-    out = mixing.mix(df, block_rows=3, frame=12)
+    out = mixing.mix(df, block_rows=3)
     got = {(r["doc_id"], r["source"]): (r["mix_block"], r["mix_slot"], r["mix_row"]) for r in out.collect()}
     assert len(got) == len(rows)
-    plain = brute.mixture(rows, 12, 3)
-    mine = {(k[0], "-" if k[1] is None else "+" + k[1]): v for k, v in got.items()}
-    assert {k: (v[0], v[2]) for k, v in mine.items()} == {k: (v[0], v[2]) for k, v in plain.items()}
+    marked = lambda rows: {(i, "-" if s is None else "+" + s): v for (i, s), v in rows.items()}
+    assert marked(got) == brute.mixture(rows, 3)
+    given = {s: w for s, w in zip(sorted({s for _, s in rows}, key=str), [0.1, 3, 0.7, 1e-3, 2.5, 11, 0.3, 5])}
+    out = {(r["doc_id"], r["source"]): (r["mix_block"], r["mix_slot"], r["mix_row"]) for r in mixing.mix(df, given, block_rows=2).collect()}
+    assert marked(out) == brute.mixture(rows, 2, {"-" if s is None else "+" + s: w for s, w in given.items()})
     # whole mixture: every row once, clashing columns kept
     all_rows = mixing.mix(docs)
     assert all_rows.count() == docs.count() and all_rows.columns[:len(docs.columns)] == docs.columns
     assert mixing.mix(empty).collect() == []
     with pytest.raises(ValueError):
         mixing.mix(docs, {"s0": 1.0})
-    with pytest.raises(ValueError):
-        mixing.mix(docs, frame=2)
-
-
-@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0, "b": 1.0, "c": 1.0, "d": 5.5}, {"a": 1.0}, {"a": 97.0, "b": 1.0, "c": 1.0}])
-def test_every_prefix_is_less_than_one_block_off(weights):
-    frame = 120
-    a = mixing.quanta(weights, frame)
-    slots = mixing.frame_slots(a, frame)
-    assert sum(a.values()) == frame and sorted(t for s in slots.values() for t in s) == list(range(frame))
-    for t in range(1, frame + 1):
-        for s in weights:
-            assert abs(sum(x < t for x in slots[s]) - t * a[s] / frame) < 1
+
+
+@pytest.mark.parametrize("n", [1, 3, 20, 400, 2000])
+def test_every_prefix_is_less_than_one_block_off_the_given_weights(n):
+    rng = np.random.default_rng(n)
+    given = rng.integers(1, 10**6, n) ** (2 if n == 20 else 1)      # squares: one source near 0.9 beside small ones
+    if n == 20:
+        given[0] = 9 * given[1:].sum()
+    total, had = int(given.sum()), np.zeros(n, np.int64)
+    for t, (i, k, at) in enumerate(itertools.islice(mixing.slots([int(x) for x in given], [10**9] * n), 10_000)):
+        assert at == t and k == had[i]                                # no slot is empty, blocks come in order
+        had[i] += 1
+        assert (np.abs(had * float(total) - given * float(t + 1)) < total).all()
+
+
+def test_weights_are_exact_fractions():
+    a = mixing.whole([0.1, 0.3, 1, 2.5])
+    assert [Fraction(x, sum(a)) for x in a] == [Fraction(w) / sum(map(Fraction, (0.1, 0.3, 1, 2.5))) for w in (0.1, 0.3, 1, 2.5)]
+
+
+def test_an_ended_source_leaves_the_others_in_their_windows():
+    share, blocks = [97, 2, 1], [5, 40, 30]
+    got = list(mixing.slots(share, blocks))
+    assert [sum(i == s for i, _, _ in got) for s in range(3)] == blocks
+    assert all(k * 100 // share[i] <= t < -(-(k + 1) * 100 // share[i]) for i, k, t in got)
