@@ -44,6 +44,11 @@ REMEMBERED = 300_000    # words a worker remembers
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, lower-cased one by one: lower-casing a whole text may shift its offsets."""
+    return " ".join(_WORD.findall(text)).lower().split()
+
+
 def features(word: str) -> tuple[str, ...]:
     """Word and prefix features of a lower-cased word."""
     out = ["w" + word]
@@ -69,7 +74,7 @@ def feature_counts(texts: DataFrame) -> DataFrame:
 
     def fn(rows, texts, seen):
         for t, y in zip(texts, rows.column(1).to_pylist()):
-            for f in {f for w in set(_WORD.findall(t.lower())) for f in features(w)}:
+            for f in {f for w in set(words_of(t)) for f in features(w)}:
                 pair = seen.get(f)
                 if pair is None:
                     pair = seen[f] = [0, 0]
@@ -198,7 +203,7 @@ class Tagger:
         """Feature ids (n x CHAIN x 3), which cells hold a token, and the row of each chain."""
         got, size = [], []
         for t in texts:
-            words = _WORD.findall(t.lower())
+            words = words_of(t)
             known = self.known
             got.append(np.array([known[w] if w in known else self._id(w) for w in words], np.int32))
             size.append(len(words))
@@ -229,7 +234,7 @@ class Tagger:
     def spans(self, text: str, hits: list[int]) -> tuple[list[int], list[int]]:
         """Code-point offsets of the tokens numbered in ``hits``."""
         want, begin, end = set(hits), [], []
-        for k, m in enumerate(_WORD.finditer(text.lower())):
+        for k, m in enumerate(_WORD.finditer(text)):
             if k in want:
                 begin.append(m.start())
                 end.append(m.end())

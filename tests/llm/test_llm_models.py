@@ -160,6 +160,14 @@ def test_toxic_spans(spark):
             assert "vilestuff" in [t[a:b] for a, b in zip(r["span_begin"], r["span_end"])]
 
 
+def test_offsets_are_of_the_original_text():
+    text = "İİİ bad ΣΑΣ, İx_9 worse"     # lower-casing the first word makes it longer
+    assert len(toxicity.words_of(text)) == 5
+    begin, end = toxicity.Tagger.spans(None, text, [1, 4])
+    assert [text[a:b] for a, b in zip(begin, end)] == ["bad", "worse"]
+    assert toxicity.words_of("") == toxicity.words_of(" 12 _ ") == []
+
+
 def test_crf_marginals_equal_enumeration():
     crf = toxicity.Crf(["a"])
     rng = np.random.default_rng(0)
