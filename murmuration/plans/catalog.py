@@ -27,8 +27,10 @@ from murmuration.operators import sentiment as S
 from murmuration.operators import topics as TP
 from murmuration.plans import oracle as O
 from murmuration.plans.network import NetworkParams, analyse_network, handle_map, network_posts, protect_edges
+from murmuration.plans.verified import update_dictionary
 from murmuration.sources import fixtures as fx
 from murmuration.sources.fixture_sql import with_fixtures
+from murmuration.sources.settled import SettledStore
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -389,6 +391,7 @@ def _current_run(spark, sf) -> A.DictionaryRun:
 
 
 _ACC = ("friend_ids", "previous_friend_ids", "accounts")
+_STORE_BUCKETS = 8      # of the stores that registered queries make for themselves
 
 
 @query("skip_known_valid", with_fixtures(
@@ -1152,13 +1155,52 @@ def q_write_verified_dictionary(spark, sf):
 @query("checkpoint_progress", with_fixtures(
     "SELECT account_id, status FROM prev_status", *_ACC, extra=_settled_sql()))
 def q_checkpoint_progress(spark, sf):
-    """K2: outcomes of an interrupted run appended batch by batch, then read back."""
-    path = _scratch(spark, "progress")
+    """K2: outcomes of a run stored batch by batch; a batch that runs again replaces itself."""
+    store = SettledStore(spark, _scratch(spark, "progress"), _STORE_BUCKETS)
     outcomes = _previous_run(spark, sf).outcomes
-    # two batches of the interrupted run: settled as valid first, then the rest
-    SK.checkpoint_progress(outcomes.filter(F.col("status") == A.VALID), path)
-    SK.checkpoint_progress(outcomes.filter(F.col("status") != A.VALID), path)
-    return spark.read.parquet(path).select("account_id", "status")
+    settled = F.col("status") == A.VALID
+    for key, rows in (("0", outcomes.filter(settled)), ("1", outcomes.filter(~settled)), ("1", outcomes.filter(~settled))):
+        store.commit(key, rows)
+    return store.settled().select("account_id", "status")
+
+
+class _CutOff(Exception):
+    pass
+
+
+def _interrupted_store(spark, sf) -> SettledStore:
+    """The older listing settled in three batches, cut off after the first and finished by the next call with the whole listing."""
+    folder = _scratch(spark, "resumed")
+
+    def cut(_):
+        raise _CutOff
+
+    profiles = fx.accounts(spark, sf)
+    try:
+        update_dictionary(spark, fx.previous_friend_ids(spark, sf), profiles, folder, parts=3, progress=cut, buckets=_STORE_BUCKETS)
+    except _CutOff:
+        pass
+    update_dictionary(spark, fx.friend_ids(spark, sf), profiles, folder, parts=2)
+    return SettledStore(spark, f"{folder}/outcomes")
+
+
+@query("resumed_dictionary", with_fixtures(
+    "SELECT f.account_id, CASE WHEN a.verified THEN a.screen_name END AS screen_name, CASE WHEN a.verified THEN 'valid' "
+    "WHEN NOT a.verified THEN 'invalid' ELSE 'error' END AS status FROM (SELECT DISTINCT account_id FROM friend_ids) f "
+    "LEFT JOIN accounts a ON f.account_id = a.account_id", "friend_ids", "accounts"))
+def q_resumed_dictionary(spark, sf):
+    """Entry 3 cut off after one batch and resumed: every listed id is settled once."""
+    return _interrupted_store(spark, sf).settled().select("account_id", "screen_name", "status")
+
+
+@query("dictionary_progress", with_fixtures(
+    "SELECT CAST(count(DISTINCT f.account_id) AS BIGINT) AS settled, CAST(count(DISTINCT f.account_id) FILTER (a.verified) AS BIGINT) AS valid, "
+    "CAST(5 AS BIGINT) AS batches FROM friend_ids f LEFT JOIN accounts a ON f.account_id = a.account_id", "friend_ids", "accounts"))
+def q_dictionary_progress(spark, sf):
+    """Progress of entry 3 from the ledger: ids settled and valid so far over all finished batches."""
+    return _interrupted_store(spark, sf).ledger().agg(
+        F.sum(F.col("valid") + F.col("invalid") + F.col("error")).alias("settled"), F.sum("valid").alias("valid"),
+        F.count(F.lit(1)).alias("batches"))
 
 
 @query("dictionary_stream", with_fixtures(
@@ -1171,7 +1213,7 @@ def q_dictionary_stream(spark, sf):
     prev = fx.previous_friend_ids(spark, sf)
     prev.write.mode("overwrite").parquet(f"{ids_dir}/part=0")
     fx.friend_ids(spark, sf).join(prev.distinct(), "account_id", "left_anti").write.mode("overwrite").parquet(f"{ids_dir}/part=1")
-    q = start_dictionary_stream(spark, f"{ids_dir}/*", fx.accounts(spark, sf), out, ckpt)
+    q = start_dictionary_stream(spark, f"{ids_dir}/*", fx.accounts(spark, sf), out, ckpt, buckets=_STORE_BUCKETS)
     q.awaitTermination()
     return dictionary_from_outcomes(spark, out)
 

@@ -3,50 +3,35 @@
 The single-machine tool walked a list of followed-account ids, saved its
 partial dictionary every 500 ids and, after a crash, skipped the ids it had
 already settled. Here new id-listing files arriving in a folder are the
-stream; every micro-batch drops ids settled by any earlier batch
-(anti-joins against the stored outcome table), looks the rest up in the
-profile table and appends the outcomes. The streaming checkpoint records
-which files were consumed, and each batch writes into its own
-``batch_id=<n>`` folder with overwrite, so a replayed batch after a failure
-replaces its own output instead of duplicating it.
+stream; every micro-batch drops ids settled by any other batch (one anti-join
+with the bucketed store, which is not shuffled), looks the rest up in the
+profile table and commits the outcomes. The streaming checkpoint records
+which files were consumed, and each micro-batch replaces its own batch of the
+store, so a replay after a failure duplicates nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from murmuration.operators.accounts import hydrate, unique_ids
+from murmuration.operators.accounts import hydrate
+from murmuration.sources.settled import BUCKETS, SettledStore
 
-OUTCOME_SCHEMA = "account_id long, screen_name string, status string"
 
-
-def process_batch(batch: DataFrame, batch_id: int, profiles: DataFrame, outcomes_path: str) -> None:
-    """One micro-batch: new ids -> anti-join settled -> lookup -> append (idempotent)."""
-    spark = batch.sparkSession
-    # only earlier batches count as settled: on a replay, this batch's own
-    # previous output must not hide its ids
-    todo = unique_ids(batch).join(_settled_before(spark, outcomes_path, batch_id), "account_id", "left_anti")
-    out = hydrate(todo, profiles)
-    (out.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite").partitionBy("batch_id")
-        .option("partitionOverwriteMode", "dynamic").parquet(outcomes_path))
-
-
-def _settled_before(spark: SparkSession, outcomes_path: str, batch_id: int) -> DataFrame:
-    from murmuration.sources.readers import _exists
-    if not _exists(spark, outcomes_path):
-        return spark.createDataFrame([], "account_id long")
-    return (spark.read.schema(OUTCOME_SCHEMA + ", batch_id long").parquet(outcomes_path)
-                 .filter(F.col("batch_id") < batch_id).select("account_id"))
+def process_batch(batch: DataFrame, batch_id: int, profiles: DataFrame, outcomes_path: str, buckets: int = BUCKETS) -> None:
+    """One micro-batch: new ids -> anti-join settled -> lookup -> commit (idempotent)."""
+    store, key = SettledStore(batch.sparkSession, outcomes_path, buckets), str(batch_id)
+    # on a replay, this batch's own previous output must not hide its ids
+    store.commit(key, hydrate(store.unsettled(batch, but=key), profiles))
 
 
 def start_dictionary_stream(spark: SparkSession, ids_folder: str, profiles: DataFrame, outcomes_path: str,
-                            checkpoint_path: str, max_files_per_trigger: int = 1, available_now: bool = True):
+                            checkpoint_path: str, max_files_per_trigger: int = 1, available_now: bool = True,
+                            buckets: int = BUCKETS):
     """Start the stream over parquet id listings (column ``account_id``)."""
     ids = (spark.readStream.schema("account_id long")
                 .option("maxFilesPerTrigger", max_files_per_trigger).parquet(ids_folder))
-    writer = (ids.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, profiles, outcomes_path))
+    writer = (ids.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, profiles, outcomes_path, buckets))
                  .option("checkpointLocation", checkpoint_path))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
@@ -54,5 +39,4 @@ def start_dictionary_stream(spark: SparkSession, ids_folder: str, profiles: Data
 
 def dictionary_from_outcomes(spark: SparkSession, outcomes_path: str) -> DataFrame:
     """K1 input: the current {id: handle} table from all stored outcomes."""
-    o = spark.read.schema(OUTCOME_SCHEMA + ", batch_id long").parquet(outcomes_path)
-    return o.filter(F.col("status") == "valid").select(F.col("account_id").cast("string").alias("account_id"), "screen_name")
+    return SettledStore(spark, outcomes_path).dictionary()

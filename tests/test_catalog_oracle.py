@@ -21,7 +21,7 @@ SUBSET = ["topic_posts", "resolve_full_text", "extract_mentions", "clean_for_top
           "post_polarity", "verified_status_filter", "skip_known_valid", "top_hashtags", "hashtag_substring_counts",
           "edge_weights", "network_size", "sentiment_summary", "outcome_counts", "centrality", "influence_report",
           "connected_components", "export_links", "words_and_bigrams", "suggested_topics", "compare_last_run",
-          "read_id_list", "dictionary_stream", "lda_topics",
+          "read_id_list", "dictionary_stream", "lda_topics", "checkpoint_progress", "resumed_dictionary", "dictionary_progress",
           "influence_run", "read_verified_dictionary_object", "account_ids"]
 
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
