@@ -52,24 +52,38 @@ def dyad_counts(edges: DataFrame) -> DataFrame:
 def dyad_substring_counts(edges: DataFrame) -> DataFrame:
     """A2 (``match='substring'``): the reference counted the pattern ``s;r``
     in the list of all ``S;R`` dyads, i.e. edges whose sender ends with ``s``
-    and whose receiver starts with ``r``. Exact, as two equi-joins: suffixes
-    of each distinct sender are matched against the senders, then prefixes
-    of the receiver against the receivers; no pair of dyads is compared.
+    and whose receiver starts with ``r``. Exact: the handles that end (start)
+    with another handle are found once per distinct handle (``_affixes``),
+    dyads follow by equi-joins; no pair of dyads is compared.
     """
     d = dyad_counts(edges)
-    senders = d.select(F.col("sender").alias("s")).distinct()
-    receivers = d.select(F.col("receiver").alias("r")).distinct()
-    suffixes = d.select("receiver", "weight", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("sender")), lambda i: F.col("sender").substr(i, F.length("sender")))).alias("s"))
-    by_sender = suffixes.join(senders, "s")
-    prefixes = by_sender.select("s", "weight", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("receiver")), lambda j: F.substring(F.col("receiver"), 1, j))).alias("r"))
-    hits = prefixes.join(receivers, "r").groupBy("s", "r").agg(F.sum("weight").alias("weight"))
+    ends = _affixes(d.select(F.col("sender").alias("handle")).distinct(), suffix=True)
+    starts = _affixes(d.select(F.col("receiver").alias("handle")).distinct(), suffix=False)
+    by_sender = d.join(ends.select(F.col("handle").alias("sender"), F.col("affix").alias("s")), "sender")
+    # summed before receivers fan out: one row of each (s, receiver)
+    by_sender = by_sender.groupBy("s", "receiver").agg(F.sum("weight").alias("weight"))
+    hits = (by_sender.join(starts.select(F.col("handle").alias("receiver"), F.col("affix").alias("r")), "receiver")
+                     .groupBy("s", "r").agg(F.sum("weight").alias("weight")))
     return (d.select(F.col("sender").alias("s"), F.col("receiver").alias("r"))
              .join(hits, ["s", "r"])
              .select(F.col("s").alias("sender"), F.col("r").alias("receiver"), F.col("weight").cast("long").alias("weight")))
 
 
+def _affixes(handles: DataFrame, suffix: bool) -> DataFrame:
+    """(handle, affix): the distinct ``handles`` that end (start) with another or the same one.
+
+    Only affixes of a length that some handle has are hashed; handles that
+    meet by hash are confirmed on their text.
+    """
+    own = cut_lineage(handles.select("handle", F.length("handle").alias("len"), F.xxhash64("handle").alias("h")))
+    lengths = own.agg(F.sort_array(F.collect_set("len")).alias("lengths"))     # one row
+    part = (lambda k: F.substring("handle", F.col("len") - k + 1, k)) if suffix else (lambda k: F.substring("handle", F.lit(1), k))
+    some = F.transform(F.filter("lengths", lambda k: k <= F.col("len")), lambda k: F.struct(k.alias("k"), F.xxhash64(part(k)).alias("h")))
+    cut = own.crossJoin(F.broadcast(lengths)).select("handle", F.explode(some).alias("a")).select("handle", "a.k", "a.h")
+    met = cut.join(own.select(F.col("handle").alias("affix"), F.col("len").alias("k"), "h"), ["k", "h"])
+    return met.filter(F.endswith("handle", "affix") if suffix else F.startswith("handle", "affix")).select("handle", "affix")
+
+
 def edge_weights(edges: DataFrame, match: str = "exact") -> DataFrame:
     """A2 (occurrence form): every edge row carries the total of its dyad.
 

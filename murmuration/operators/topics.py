@@ -17,7 +17,7 @@ def hashtag_counts(posts: DataFrame, force_lower: bool = True, match: str = "exa
                    text_col: str = "text") -> DataFrame:
     """A1: (tag, n). ``exact`` counts each tag; ``substring`` reproduces the
     reference's count of a tag inside every tag occurrence (``art`` also in
-    ``party``), via an equi-join on the substrings of each distinct tag."""
+    ``party``), see ``substring_hits``."""
     txt = F.lower(F.col(text_col)) if force_lower else F.col(text_col)
     tags = posts.select(F.explode(T.extract_hashtags(txt)).alias("tag"))
     exact = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
@@ -25,15 +25,29 @@ def hashtag_counts(posts: DataFrame, force_lower: bool = True, match: str = "exa
         return exact
     if match != "substring":
         raise ValueError(match)
-    # every distinct substring of every distinct tag, with its occurrence count
-    L = F.length("tag")
-    subs = exact.select("tag", "n", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), L), lambda i: F.transform(
-            F.sequence(i, L), lambda j: F.substring(F.col("tag"), i, j - i + 1)))))).alias("sub"))
-    occ = (F.length("tag") - F.length(F.replace(F.col("tag"), F.col("sub"), F.lit("")))) / F.length("sub")
-    hits = subs.select(F.col("sub").alias("t"), (F.col("n") * occ).cast("long").alias("c"))
-    return (exact.select(F.col("tag").alias("t")).join(hits, "t")
-                 .groupBy(F.col("t").alias("tag")).agg(F.sum("c").alias("n")))
+    hits = substring_hits(exact.select("tag")).join(exact, "tag")
+    return hits.groupBy(F.col("sub").alias("tag")).agg(F.sum(F.col("n") * F.col("occurrences")).cast("long").alias("n"))
+
+
+def substring_hits(tags: DataFrame) -> DataFrame:
+    """(tag, sub, occurrences): which of the distinct ``tags`` lie inside which, and how often without overlap.
+
+    Substrings are taken only at the lengths that some tag has, and leave
+    their task as 8-byte hashes; tags that meet are confirmed on their text.
+    A tag of n characters makes at most n hashes a length, never its n^2
+    substrings, and its text moves once per hit only.
+    """
+    own = cut_lineage(tags.select("tag", F.length("tag").alias("len"), F.xxhash64("tag").alias("h")))
+    # one row: the distinct lengths, of which k need tags of k^2 / 2 characters in all
+    lengths = own.agg(F.sort_array(F.collect_set("len")).alias("lengths"))
+    at = own.crossJoin(F.broadcast(lengths)).select("tag", "len", F.explode(F.filter("lengths", lambda k: k <= F.col("len"))).alias("k"))
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("len") - F.col("k") + 1), lambda i: F.xxhash64(F.substring("tag", i, F.col("k")))))
+    inside = at.select(F.md5("tag").alias("whole"), "k", F.explode(parts).alias("h"))
+    named = own.select("tag", F.md5("tag").alias("whole"))
+    met = inside.join(own.select(F.col("tag").alias("sub"), F.col("len").alias("k"), "h"), ["k", "h"]).select("whole", "sub")
+    occurrences = (F.length("tag") - F.length(F.replace(F.col("tag"), F.col("sub"), F.lit("")))) / F.length("sub")
+    return (met.join(named, "whole").select("tag", "sub", occurrences.cast("long").alias("occurrences"))
+               .filter(F.col("occurrences") > 0))
 
 
 def top_hashtags(counts: DataFrame, k: int = 10) -> DataFrame:

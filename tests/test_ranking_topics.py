@@ -110,6 +110,22 @@ def test_hashtag_substring_mode(spark):
     assert sub == {"art": 3, "party": 1}
 
 
+def test_substring_mode_equals_counting_in_the_list(spark):
+    rnd = random.Random(11)
+    tags = ["".join(rnd.choice("abé") for _ in range(rnd.randint(1, 6))) for _ in range(150)]
+    posts = spark.createDataFrame([(i, f"#{t}") for i, t in enumerate(tags)], "post_id long, text string")
+    got = {r.tag: r.n for r in TP.hashtag_counts(posts, match="substring").collect()}
+    assert got == {t: sum(x.count(t) for x in tags) for t in set(tags)}
+    assert TP.hashtag_counts(posts.limit(0), match="substring").count() == 0
+
+
+def test_substring_mode_takes_very_long_tags(spark):
+    tag = "abc" * 3333 + "x"            # 10,000 characters
+    posts = spark.createDataFrame([(1, f"#{tag} #abc #{tag} #bca #cabx")], "post_id long, text string")
+    got = {r.tag: r.n for r in TP.hashtag_counts(posts, match="substring").collect()}
+    assert got == {tag: 2, "abc": 2 * 3333 + 1, "bca": 2 * 3332 + 1, "cabx": 1}
+
+
 def _random_table(spark, n=200):
     rnd = random.Random(4)
     rows = [(f"user{i}", rnd.choice([0.1, 0.2, 0.3]), rnd.choice([1e-9, 4e-10, 0.5]), rnd.random() * 1e-9) for i in range(n)]
