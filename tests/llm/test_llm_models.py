@@ -190,21 +190,56 @@ def pages(spark, n=300):
 
 def test_fixity_finds_what_was_changed(spark):
     rows = fixity.op7(pages(spark)).collect()
-    assert len(rows) == 303
+    assert len(rows) == 302 and sum(r["copies"] for r in rows) == 303
     import hashlib
     for r in rows:
         mark = hashlib.md5(("" if r["page_id"] is None else str(r["page_id"])).encode()).hexdigest()[:2]
         assert r["state"] == {"07": "altered", "08": "altered", "09": "missing"}.get(mark, "intact")
     assert {r["state"] for r in rows} == {"intact", "altered", "missing"}
-    at = sorted((r["record_no"], r["offset"], r["length"]) for r in rows)
-    assert [a[0] for a in at] == list(range(303)) and all(a[1] + a[2] == b[1] for a, b in zip(at, at[1:]))
+    # every segment is laid out by itself, and the tree can be made again from its rows
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    level = {}
+    for segment in sorted({r["segment"] for r in rows}):
+        own = sorted((r for r in rows if r["segment"] == segment), key=lambda r: r["address"])
+        assert [r["record_no"] for r in own] == list(range(len(own))) and all(r["address"].startswith(segment) for r in own)
+        at = 0
+        for r in own:
+            assert r["offset"] == at
+            at += r["length"] * r["copies"]
+        leaves = [sha("|".join(str(r[c]) for c in ("address", "offset", "length", "copies", "digest"))) for r in own]
+        level[segment] = sha("".join(leaves))
+        assert {r["segment_hash"] for r in own} == {level[segment]}
+    while list(level) != [""]:
+        level = {p: sha("".join(level[n] for n in sorted(level) if n[:-1] == p)) for p in {n[:-1] for n in level}}
+    assert {r["root"] for r in rows} == {level[""]}
     assert fixity.op7(pages(spark).limit(0)).collect() == []
 
 
-def test_fixity_extra_records_and_equal_replicas(spark):
-    full = fixity.archive(pages(spark, 40)).withColumn("digest", F.sha2("record", 256))
-    own, fewer = fixity.leaves(full), fixity.leaves(full.filter("record_no < 40"))
-    depth = fixity._depth(own, fewer)
-    assert fixity.audit(fixity.tree(own, depth), fixity.tree(own, depth)).collect() == []
-    got = fixity.audit(fixity.tree(fewer, depth), fixity.tree(own, depth)).collect()
-    assert {(r["node"], r["state"]) for r in got} == {(40, "extra"), (41, "extra"), (42, "extra")}
+def found(spark, own, replica):
+    """{(page_id, state): number} and the differing segments of two lists of (page_id, url, record)."""
+    frame = lambda rows: spark.createDataFrame(rows, "page_id long, url string, record string")
+    a, b = fixity.entries(frame(own)), fixity.entries(frame(replica))
+    depth = fixity.depth_for(a.count(), b.count())
+    mine, theirs = fixity.archive(a, depth), fixity.archive(b, depth)
+    names = mine.placed.unionByName(theirs.placed).select("key", "digest", "page_id").distinct()
+    rows = fixity.audit(mine, theirs).join(names, ["key", "digest"]).collect()
+    return sorted((-1 if r["page_id"] is None else r["page_id"], r["state"]) for r in rows), fixity.differing(mine, theirs).count()
+
+
+def test_a_replica_archived_apart_without_one_record_misses_one(spark):
+    rows = [(i, f"u{i}", cases.prose(i, 4)) for i in range(200)]
+    assert found(spark, rows, rows[:87] + rows[88:]) == ([(87, "missing")], 1)
+    assert found(spark, rows[:87] + rows[88:], rows) == ([(87, "extra")], 1)
+    assert found(spark, rows, rows[::-1]) == ([], 0)
+    changed = [(i, u, r + "!" if i == 5 else r) for i, u, r in rows]
+    assert found(spark, rows, changed) == ([(5, "altered")], 1)
+
+
+def test_fixity_of_repeated_records_and_empty_archives(spark):
+    rows = [(1, "u", f"version {i}") for i in range(40)] + [(2, "v", "same")] * 30 + [(None, None, "")]
+    assert found(spark, rows, rows) == ([], 0)
+    # one version of many is gone, one of the copies is gone: the others are not suspected
+    assert found(spark, rows, rows[:11] + rows[12:40] + rows[41:])[0] == [(1, "missing"), (2, "missing")]
+    assert found(spark, rows, rows[:40] + [(None, None, "other")])[0] == [(-1, "altered"), (2, "missing")]
+    assert found(spark, [], []) == ([], 0)
+    assert found(spark, rows[:3], [])[0] == [(1, "missing")] * 3 and found(spark, [], rows[:3])[0] == [(1, "extra")] * 3
