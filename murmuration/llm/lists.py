@@ -47,7 +47,8 @@ class ListSearch:
     """Subclasses say how pairs are compared and how the nodes of large lists are dealt anew."""
 
     small = 32      # nodes of a list whose pairs are all compared by a join
-    links: DataFrame | None = None
+    label: DataFrame | None = None      # (node, label) of the nodes linked so far
+    fresh: DataFrame | None = None      # links found since
 
     def prepare(self, members: DataFrame) -> None:
         """Called with the lists (key, node, rep, size) before their nodes are compared."""
@@ -60,9 +61,29 @@ class ListSearch:
         """(key, node) of more selective lists for the nodes in ``hot`` (node)."""
         raise NotImplementedError
 
+    def _add(self, found: DataFrame) -> None:
+        """Takes materialised links (u, v)."""
+        self.fresh = found if self.fresh is None else self.fresh.unionByName(found)
+
     def _link(self, pairs: DataFrame) -> None:
-        found = self.compare(pairs)
-        self.links = found if self.links is None else self.links.unionByName(found)    # both are stored
+        self._add(self.compare(pairs))
+
+    def labels(self) -> DataFrame:
+        """(node, label) of all nodes linked so far; later links are contracted between the components there are."""
+        if self.fresh is not None and self.label is None:
+            self.label = components(self.fresh)
+        elif self.fresh is not None:
+            own = self.label.withColumnsRenamed({"node": "n", "label": "l"})
+            ends = self.fresh
+            for end in ("u", "v"):
+                ends = ends.join(own, F.col(end) == F.col("n"), "left").withColumn(end, F.coalesce("l", end)).drop("n", "l")
+            merged = cut_lineage(components(ends))
+            to = sized(merged).withColumnsRenamed({"node": "n", "label": "l"})
+            old = self.label.join(to, F.col("label") == F.col("n"), "left").select("node", F.coalesce("l", "label").alias("label"))
+            new = merged.join(self.label.select("node"), "node", "left_anti")
+            self.label = cut_lineage(old.unionByName(new))
+        self.fresh = None
+        return self.label
 
     def _star(self, keyed: DataFrame) -> DataFrame:
         """Compares every node with the smallest of its lists; returns the lists of two nodes at least, one of each set of members."""
@@ -76,7 +97,7 @@ class ListSearch:
 
     def _open(self, members: DataFrame) -> DataFrame:
         """(key, node, size, part) of the lists that hold several components (part)."""
-        label = components(self.links)
+        label = self.labels()
         m = members.select("key", "node", "size").join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
         several = m.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter(F.col("a") != F.col("b")).select("key")
         return cut_lineage(m.join(several, "key", "left_semi"))
@@ -112,7 +133,7 @@ class ListSearch:
             if turn:
                 middle = self._open(middle)     # lists whose nodes met elsewhere drop out
             mine = middle.filter(F.pmod(F.xxhash64("key"), F.lit(waves)) == turn)
-            self.links = cut_lineage(self.links.unionByName(self.inside(mine)))
+            self._add(cut_lineage(self.inside(mine)))
         return left.filter(~F.col("fits")).select("key", "node", "size", "part")
 
     def run(self, keyed: DataFrame) -> DataFrame:
@@ -128,4 +149,4 @@ class ListSearch:
                 self._link(self._across(left.filter(F.pmod(F.xxhash64("node"), F.lit(rounds)) == turn), left))
                 if turn + 1 < rounds:
                     left = self._open(left)
-        return components(self.links)
+        return self.labels()
