@@ -128,6 +128,42 @@ def test_source_batches_give_the_same_result(spark, monkeypatch):
     assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
+def test_search_states_do_not_move(spark, monkeypatch):
+    """What is shuffled is the arcs for every part and a row a node and part, whatever the number of sources and levels."""
+    from murmuration.operators import searches
+    seen = {}
+
+    def deal(parts, search, schema, arcs, nodes=None):
+        out = searches.deal(parts, search, schema, arcs, nodes)
+        seen[schema.split()[2]] = (parts, arcs.count(), out.count())
+        return out
+    monkeypatch.setattr(C, "deal", deal)
+    monkeypatch.setattr(C, "LANES", 2)
+    monkeypatch.setattr(C, "SOURCES", 2)
+    monkeypatch.setattr(C, "MASKS", 1)
+    ring = [(i, f"n{i:02d}", f"n{(i + 1) % 40:02d}") for i in range(40)] + [(40, "n00", "n20")]
+    g = spark.createDataFrame(ring, "post_id long, sender string, receiver string").select("sender", "receiver")
+    got = C.path_centralities(g, G.node_list(g), 40)
+    assert all(r.closeness > 0 for r in got.closeness.collect()) and got.betweenness.count() == 40
+    assert len(seen) == 2
+    for parts, arcs, rows in seen.values():
+        assert parts > 1 and arcs == 41 and rows <= parts * 40
+
+
+def test_parts_in_one_task_search_all_their_blocks(spark):
+    """Rows of several parts may meet in a task: arcs count once, blocks of all its parts are searched."""
+    from murmuration.operators import searches
+    search = searches.count_arrivals(1, 1)
+    arcs = {"sender": [0, 1, 2], "receiver": [1, 2, 0]}
+    import numpy as np
+    got = {c: np.array(x) for c, x in arcs.items()}
+    node, r, s, far = search(got, lambda block: block in (0, 2))
+    assert dict(zip(node.tolist(), zip(r.tolist(), s.tolist(), far.tolist()))) == {0: (1, 1, 1), 1: (2, 3, 2), 2: (1, 2, 2)}
+    rows = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "sender long, receiver long")
+    whole = searches.deal(3, search, "node long, r long, s long, far long", rows).groupBy("node").sum("r", "s").collect()
+    assert sorted(tuple(r) for r in whole) == [(0, 2, 3), (1, 2, 3), (2, 2, 3)]
+
+
 def test_eigenvector_failure_gives_zeros(spark):
     # a directed path never converges from the uniform start
     edges = [(f"p{i}", f"p{i + 1}") for i in range(30)]
