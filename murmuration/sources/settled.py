@@ -63,7 +63,8 @@ class SettledStore:
         is listed very often does not fill a task.
         """
         new = ids.select(F.col("account_id").cast("long").alias("account_id")).distinct().repartition(self.buckets, "account_id")
-        return new.join(self.settled(but).select("account_id"), "account_id", "left_anti")
+        # merged: the stored side lies in its buckets, and a broadcast would pass it through the driver
+        return new.join(self.settled(but).select("account_id").hint("merge"), "account_id", "left_anti")
 
     def commit(self, batch: str, outcomes: DataFrame) -> dict[str, int]:
         """Stores (account_id, screen_name, status) as ``batch``, replacing what it held; returns its ledger row."""

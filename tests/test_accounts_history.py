@@ -121,3 +121,26 @@ def test_topic_report(spark):
     assert n == rep.corpus.count() and n > 0
     assert rep.hashtags.count() <= 10 and rep.topics.count() <= 10
     assert rep.sentiment.first().n_posts == n
+
+
+def _listing(folder, spark, ids):
+    os.makedirs(folder, exist_ok=True)
+    spark.createDataFrame([(i,) for i in ids], "o_custkey long").write.parquet(os.path.join(folder, "orders.parquet"))
+    return folder
+
+
+def test_account_ids_are_distinct(spark):
+    import __spark_entry__ as E
+    sf = _listing(tempfile.mkdtemp(prefix="murm-ids-"), spark, (5, 3, 5, 5, 9))
+    assert sorted(r.account_id for r in E.queries()["account_ids"](spark, sf).collect()) == [3, 5, 9]
+
+
+def test_dictionary_joins_pass_nothing_through_the_driver(spark):
+    from murmuration.sources.settled import SettledStore
+    ids = spark.createDataFrame([(1,), (2,), (2,)], "account_id long")
+    profiles = spark.createDataFrame([(1, "User1", True)], "account_id long, screen_name string, verified boolean")
+    store = SettledStore(spark, os.path.join(tempfile.mkdtemp(prefix="murm-store-"), "out"), 2)
+    store.commit("0", A.hydrate(ids, profiles))
+    for df in (A.hydrate(ids, profiles), store.unsettled(spark.createDataFrame([(2,), (3,)], "account_id long"))):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() in (1, 3)
