@@ -37,3 +37,11 @@ def test_settings_change_the_graph(spark):
     assert all(len(x) < 56 for x in names)                # hashing='none' shows every handle
     hidden = {r.node for r in multi.centrality.select("node").collect() if len(r.node) >= 56}
     assert hidden                                         # 'valid' hides the non-verified
+
+
+def test_mentions_are_found_once_and_stored(spark):
+    import __spark_entry__ as E
+    from test_plans import plan_text
+    for name in ("protect_edges", "node_list"):
+        text = plan_text(E.queries()[name](spark, SF_SMALL))
+        assert "regexp_extract_all" not in text and "events.parquet" not in text, name
