@@ -128,3 +128,29 @@ def test_topics_of_nothing_and_of_repeated_rows(spark):
     assert TP.lda_topics(df.filter("false"), "doc_id").count() == 0
     out = TP.lda_topics(df, "doc_id", k=2, top_words=9, steps=3).collect()
     assert len(out) == 10 and all(abs(sum(r.weight for r in out if r.topic == t) - 1) < 1e-5 for t in (0, 1))
+
+
+def test_steps_find_the_pairs_at_their_documents(spark, monkeypatch):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from test_plans import plan_text
+    seen = []
+
+    def look(pairs, numbered, *rest):
+        seen.append(plan_text(pairs.withColumn("g", F.sum("n").over(Window.partitionBy("doc")))).split("InMemoryRelation")[0])
+        return numbered.select(F.col("wid").alias("word"), F.lit(1.0).alias("l0"))
+    monkeypatch.setattr(TP, "_steps", look)
+    rows = [(d, w, 1.0) for d in range(20) for w in ("b", "a", f"w{d % 3}")]
+    got = TP.fit_topics(spark.createDataFrame(rows, "doc long, word string, n double"), 1)
+    assert {r.word for r in got.collect()} == {"a", "b", "w0", "w1", "w2"}
+    assert "Window" in seen[0] and "Exchange" not in seen[0]
+
+
+def test_documents_are_dealt_before_they_are_cleaned(spark):
+    from murmuration.plans.catalog import _documents
+    from murmuration.sources.tables import read_table
+    from conftest import SF_SMALL
+    from test_plans import plan_text
+    docs = _documents(spark, SF_SMALL)
+    assert "REPARTITION_BY_COL" in plan_text(TP.kept_tokens(docs))
+    assert docs.exceptAll(read_table(spark, SF_SMALL, "documents").select("doc_id", "text")).isEmpty()
