@@ -335,3 +335,31 @@ def test_join_heavy_equals_a_join(spark, monkeypatch):
         got = skew.join_heavy(rows, table, "k", "n", 56, how).select("k", "i", "x").collect()
         want = rows.join(table.drop("n"), "k", how).select("k", "i", "x").collect()
         assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_arcs_are_packed_as_sorted_ints(spark):
+    """Every part gets a copy of the arcs: small numbers travel as ints, in order; large ones stay longs."""
+    from murmuration.operators import searches
+    rows = spark.createDataFrame([(5, 1 << 40), (3, -7), (3, -9)], "sender long, receiver long")
+    packed = searches._packed(rows)
+    assert dict(packed.dtypes) == {"sender": "array<int>", "receiver": "array<bigint>"}
+    assert [tuple(r) for r in packed.collect()] == [([3, 3, 5], [-9, -7, 1 << 40])]
+    assert searches._packed(rows.filter("sender > 9")).count() == 0
+
+
+def test_gather_adds_every_arc_once(monkeypatch):
+    """Few, most and all heads wanted, a hub with far more arcs than others, blocks of a few heads."""
+    import numpy as np
+    from murmuration.operators import searches
+    monkeypatch.setattr(searches, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(searches, "NARROW", 2)
+    rng = np.random.default_rng(1)
+    pairs = np.unique(np.concatenate((rng.integers(0, 20, (60, 2)), [(i, 19) for i in range(20)])), axis=0)
+    arcs = searches.Arcs(pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32), 22)
+    for some in (1, 4, 12, 22):
+        for wanted in (1, 9, 22):
+            tails, heads = np.arange(22) < some, np.arange(22) >= 22 - wanted
+            rows = rng.integers(1, 9, (22, 2)).astype(np.float64) * tails[:, None]
+            expect = np.zeros_like(rows)
+            np.add.at(expect, pairs[:, 1], rows[pairs[:, 0]])
+            assert (arcs.gather(np.add, rows, tails, heads)[heads] == expect[heads]).all()
