@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import deque
 
 import pytest
@@ -363,3 +364,14 @@ def test_gather_adds_every_arc_once(monkeypatch):
             expect = np.zeros_like(rows)
             np.add.at(expect, pairs[:, 1], rows[pairs[:, 0]])
             assert (arcs.gather(np.add, rows, tails, heads)[heads] == expect[heads]).all()
+
+
+def test_eigenvector_steps_are_planned_anew(spark, capsys):
+    e = frame(spark, random_edges(3))
+    nodes = G.node_list(e)
+    scores = C.eigenvector_centrality(e, nodes, nodes.count(), iterations=8).scores
+    assert abs(sum(r["eigenvector"] ** 2 for r in scores.collect()) - 1) < 1e-9
+    capsys.readouterr()
+    scores.explain(mode="cost")
+    # the planner's sizes: a chain of products doubles its digits with every step
+    assert max([int(x) for x in re.findall(r"E\+(\d+)", capsys.readouterr().out)], default=0) < 100
