@@ -117,29 +117,38 @@ class _Search(ListSearch):
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int, text: str):
         self.docs, self.nodes, self.k, self.percent, self.text = docs, nodes, k, percent, text
-        self.sets = None
+        self.listed = self.sets = None
+
+    @staticmethod
+    def beside(table: DataFrame, value: str, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (u, v, ...) with xu and xv, the ``value`` of both nodes in ``table``; of it, only what pairs ask for moves (up to a counted number of pairs)."""
+        pairs = cut_lineage(pairs)
+        firsts = table.select(F.col("node").alias("u"), F.col(value).alias("xu")).join(sized(pairs), "u")
+        wanted = sized(cut_lineage(pairs.select(F.col("v").alias("node")).distinct()))
+        seconds = table.join(wanted, "node", "left_semi").select(F.col("node").alias("v"), F.col(value).alias("xv"))
+        return firsts.join(seconds, "v")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (u, v): sizes, then sketches, then whole sets."""
         t = self.percent / 100
-        n = self.nodes.select("node", "n")
+        n = self.listed.select("node", "n")
         near = (pairs.join(n.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(n.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
-                     .filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * self.percent))    # sizes first: few bytes
-        near = (near.join(self.nodes.select(F.col("node").alias("u"), F.col("sketch").alias("su")), "u")
-                    .join(self.nodes.select(F.col("node").alias("v"), F.col("sketch").alias("sv")), "v"))
-        both = F.slice(F.sort_array(F.array_union("su", "sv")), 1, SKETCH)   # bottom-k of the union
-        near = near.withColumn("both", both).withColumn("shared", F.size(F.array_intersect("both", F.array_intersect("su", "sv"))))
+                     .filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * self.percent).select("u", "v", "nu", "nv"))    # sizes first: few bytes
+        near = self.beside(self.listed, "sketch", near)
+        both = F.slice(F.sort_array(F.array_union("xu", "xv")), 1, SKETCH)   # bottom-k of the union
+        near = near.withColumn("both", both).withColumn("shared", F.size(F.array_intersect("both", F.array_intersect("xu", "xv"))))
         near = near.filter(F.col("shared") >= F.size("both") * (t - SLACK)).select("u", "v", "nu", "nv")
-        full = (near.join(self.sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u")
-                    .join(self.sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v"))
-        inter = F.size(F.array_intersect("gu", "gv")).cast("long")
+        full = self.beside(self.sets, "grams", near)
+        inter = F.size(F.array_intersect("xu", "xv")).cast("long")
         found = full.withColumn("i", inter).filter(F.col("i") * 100 >= (F.col("nu") + F.col("nv") - F.col("i")) * self.percent).select("u", "v")
         return cut_lineage(found)
 
     def prepare(self, members: DataFrame) -> None:
-        """Whole sets of all nodes that share a list, made once."""
-        wanted = members.select("node").distinct().join(self.nodes.select("node", "digest", "h"), "node")
-        self.sets = cut_lineage(full_sets(self.docs, wanted, self.k, self.text)) if self.sets is None else self.sets
+        """Sketches and whole sets of all nodes that share a list, made once."""
+        if self.sets is None:
+            wanted = sized(cut_lineage(members.select("node").distinct()))
+            self.listed = cut_lineage(self.nodes.join(wanted, "node", "left_semi"))
+            self.sets = cut_lineage(full_sets(self.docs, self.listed.select("node", "digest", "h"), self.k, self.text))
 
     def deal(self, hot: DataFrame) -> DataFrame:
         return by_rarest(self.sets, hot, self.percent)

@@ -1,11 +1,13 @@
 """Pairs that share only one large list."""
 
 import random
+import re
 
 import brute
 from pyspark.sql import functions as F
 
 from murmuration.llm import linededup, neardup
+from murmuration.llm.lists import ListSearch
 from murmuration.session import cut_lineage
 
 
@@ -41,3 +43,27 @@ def test_large_list_of_lines_loses_no_pair(spark, monkeypatch):
     label = linededup._Search(found, 80).run(found.select(F.col("l").alias("node"), F.lit(1).cast("long").alias("key")))
     got = found.join(label.withColumnRenamed("node", "l"), "l").groupBy("label").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
     assert sorted(list(r["ids"]) for r in got) == [[2 * i, 2 * i + 1] for i in range(40)]
+
+
+def estimate(df, capsys):
+    """The largest power of ten among the planner's sizes."""
+    capsys.readouterr()
+    df.explain(mode="cost")
+    return max([int(x) for x in re.findall(r"E\+(\d+)", capsys.readouterr().out)], default=0)
+
+
+def test_labels_of_many_rounds_are_right_and_planned_anew(spark, capsys):
+    rng, search, every = random.Random(7), ListSearch(), []
+    for turn in range(5):
+        # the third turn links only what is linked already
+        links = every[:20] if turn == 2 else [(rng.randrange(300), rng.randrange(300)) for _ in range(40)]
+        every += links
+        search._add(cut_lineage(spark.createDataFrame(links, "u long, v long")))
+        label = search.labels()
+        low = {x: x for e in every for x in e if e[0] != e[1]}
+        while any(low[u] != low[v] for u, v in every if u != v):
+            for u, v in every:
+                if u != v:
+                    low[u] = low[v] = min(low[u], low[v])
+        assert {r["node"]: r["label"] for r in label.collect()} == low
+    assert estimate(label, capsys) < 30     # a chain of products had hundreds of digits here
