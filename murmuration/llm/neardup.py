@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from murmuration.llm.common import SPACE_TABLE, Words, map_texts, mix, sized, unused
 from murmuration.llm.lists import ListSearch, by_rarest
-from murmuration.session import cut_lineage
+from murmuration.session import cut_lineage, settle
 
 SKETCH = 64        # retained hashes
 PREFIX = 32        # of which the smallest are used for lists
@@ -165,7 +165,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     key = dict(docs.dtypes)[id_col]
     rows = cut_lineage(sketches(docs, k, id_col, text))
     nodes = numbered_nodes(rows)
-    keyed = nodes.select("node", F.explode(list_keys(percent)).alias("key"))
+    rows = cut_lineage(rows.drop("sketch"))     # the nodes have it
+    keys = settle(nodes.select("node", list_keys(percent).alias("keys")))     # read twice
+    keyed = keys.select("node", F.explode("keys").alias("key"))
     label = _Search(docs, nodes, k, percent, text).run(keyed)
     named = label.join(nodes.select("node", "digest"), "node").select(F.col("digest").alias("node"), "label")
     part = F.struct(F.coalesce("label", F.lit(-1)).alias("label"), F.when(F.col("label").isNull(), F.col("node")).otherwise(F.lit(b"")).alias("alone"))
