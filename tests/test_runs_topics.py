@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import re
 import tempfile
 
 from conftest import SF_SMALL
@@ -146,6 +147,26 @@ def test_steps_find_the_pairs_at_their_documents(spark, monkeypatch):
     assert "Window" in seen[0] and "Exchange" not in seen[0]
 
 
+def test_pairs_of_dealt_documents_do_not_move(spark, monkeypatch):
+    """The documents are dealt once; their pairs are counted, numbered and kept where they lie. The topics are those of moved pairs."""
+    from test_plans import plan_text
+    rows = [(i % 45, f"carp pike trout carp w{i % 3}x" if i % 2 else f"wheel motor brake w{i % 3}x") for i in range(60)] + [(None, "carp eel eel")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, steps = [], TP._steps
+
+    def look(pairs, *rest):
+        seen.append(plan_text(pairs))
+        return steps(pairs, *rest)
+    monkeypatch.setattr(TP, "_steps", look)
+    got = TP.lda_topics(TP.spread(df, "doc_id"), "doc_id", k=2, min_df=2, steps=3).collect()
+    assert "REPARTITION_BY_COL" in seen[0] and not re.search("ENSURE_REQUIREMENTS|REPARTITION_BY_NUM", seen[0])
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    plain = TP.fit_topics(TP.document_terms(df, "doc_id", min_df=2), 2, 3).collect()
+    total = [sum(r[f"l{t}"] for r in plain) for t in (0, 1)]
+    share = {(t, r.word): r[f"l{t}"] / total[t] for r in plain for t in (0, 1)}
+    assert got and all(abs(r.weight - share[r.topic, r.word]) < 2e-6 for r in got)
+
+
 def test_documents_are_dealt_before_they_are_cleaned(spark):
     from murmuration.plans.catalog import _documents
     from murmuration.sources.tables import read_table
